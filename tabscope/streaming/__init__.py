@@ -1,0 +1,5 @@
+"""Empty on purpose: the work this library covers is batch only.
+
+The row-level parts (``functions`` and the filters and projections of ``operators.clean``) hold no
+state, so they apply to a streaming DataFrame unchanged.
+"""
