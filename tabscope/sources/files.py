@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions.scalars import nan_to_null
@@ -19,13 +20,13 @@ def _delimited(
 ) -> DataFrame:
     reader = spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
     if schema is None:
-        reader = reader.option("inferSchema", True)
-    else:
-        reader = reader.schema(schema)
-        if header:
-            # a schema in another order than the file is matched by header name, not by position
-            reader = reader.option("enforceSchema", False)
-    return nan_to_null(reader.csv(path))
+        return nan_to_null(reader.option("inferSchema", True).csv(path))
+    if not header:
+        return nan_to_null(reader.schema(schema).csv(path))
+    # Columns are matched by header name, so the file's column order does not matter; a value
+    # that does not parse becomes NULL, as in the positional reader.
+    raw = reader.csv(path)
+    return nan_to_null(raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema]))
 
 
 def read_csv(
