@@ -85,6 +85,14 @@ def debt_index(df: DataFrame, debt: tuple[float, float] | None = None) -> DataFr
     return means.withColumn("indice_endeudamiento", round_half_even(index, 1))
 
 
+def in_selection(df: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Rows of the selected age groups with ``ord``, the caller's order of the groups."""
+    selected = F.array(*[F.lit(g) for g in groups])
+    place = F.array_position(selected, F.col("grupo_edad"))
+    rows = df.withColumn("grupo_edad", decade_label("edad")).filter(F.col("grupo_edad").isin(list(groups)))
+    return rows.withColumn("ord", (place - 1).cast("int"))
+
+
 def income_by_age_and_tier(filtered: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Mean income for each selected age group and each tier seen among them.
 

@@ -18,7 +18,8 @@ from tabscope.functions.scalars import nan_to_null
 def _delimited(
     spark: SparkSession, path: str, schema: T.StructType | None, sep: str, header: bool, encoding: str
 ) -> DataFrame:
-    reader = spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
+    # a doubled quote inside a quoted field is a quote
+    reader = spark.read.options(sep=sep, header=header, encoding=encoding, escape='"')
     if schema is None:
         return nan_to_null(reader.option("inferSchema", True).csv(path))
     if not header:
