@@ -1,2 +1,318 @@
+"""Feature preparation, models, clusterings and their scores.
+
+The credit features are the model input wherever a model takes several columns; the two numeric
+part columns serve the neighbour and density work, whose SQL compares all pairs of rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabscope.operators import clean, density, features, medoids, models, neighbors, report, silhouette
 from tabscope.plans import Catalog
+from tabscope.plans.views import FEATURES, on_credit, parts, rounded, scaled_sql, table, with_ctes, written_profile
+from tabscope.scratch import materialize, new_path
+
 catalog = Catalog()
+query = catalog.query
+
+PART = ["p_size", "p_retailprice"]
+PART_EPS = 0.1
+FOUR = ["edad", "radio_deuda", "uso_de_credito", "num_dependientes"]
+REST = [f for f in FEATURES if f != "ingreso_mensual"]
+EMBEDDING_SIZE = 64
+EMBEDDED = [f"x{i}" for i in range(EMBEDDING_SIZE)]
+SCORED_ROWS = 2000
+
+
+def scaled_credit(spark: SparkSession, folder: str) -> DataFrame:
+    rows = written_profile(spark, folder).select("ID", "nivel_riesgo", "delincuencia_reciente", *FEATURES).na.drop()
+    return features.standardize(rows, FEATURES)
+
+
+def scaled_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return features.standardize(parts(spark, folder), PART, digits=6)
+
+
+def embedded(spark: SparkSession, folder: str) -> DataFrame:
+    return features.spread_array(table(spark, folder, "embeddings"), "embedding", EMBEDDING_SIZE)
+
+
+def credit_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return features.assemble(scaled_credit(spark, folder).select("ID", *FEATURES), FEATURES).select("ID", "features")
+
+
+SCALED_PARTS = scaled_sql("part", PART, "p_partkey, p_type", "parts")
+
+
+# --- SQL building blocks -------------------------------------------------------------------
+
+
+def elimination(p: int, keep: str, source: str = "sys0") -> str:
+    """Gauss-Jordan steps as CTEs: ``source`` holds a_i_j and b_i, the last one the solution in b_i."""
+    steps = []
+    for k in range(p):
+        cols = []
+        for i in range(p):
+            for j in range(p):
+                cols.append(f"a_{k}_{j} / a_{k}_{k} AS a_{k}_{j}" if i == k else f"a_{i}_{j} - a_{i}_{k} * a_{k}_{j} / a_{k}_{k} AS a_{i}_{j}")
+            cols.append(f"b_{k} / a_{k}_{k} AS b_{k}" if i == k else f"b_{i} - a_{i}_{k} * b_{k} / a_{k}_{k} AS b_{i}")
+        steps.append(f"sys{k + 1} AS (SELECT {keep}, {', '.join(cols)} FROM {source if k == 0 else f'sys{k}'})")
+    return ", ".join(steps)
+
+
+def regression_sql(columns: list[str], target: str) -> str:
+    p = len(columns)
+    first = [f"covar_pop({a}, {b}) AS a_{i}_{j}" for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    first += [f"covar_pop({a}, {target}) AS b_{i}" for i, a in enumerate(columns)]
+    first += [f"covar_pop({a}, {target}) AS c_{i}" for i, a in enumerate(columns)]
+    first += [f"avg({a}) AS m_{i}" for i, a in enumerate(columns)]
+    keep = ", ".join(["my", "vy"] + [f"c_{i}" for i in range(p)] + [f"m_{i}" for i in range(p)])
+    r2 = "(" + " + ".join(f"b_{i} * c_{i}" for i in range(p)) + ") / vy"
+    terms = ["'intercept'"] + [f"'{c}'" for c in columns]
+    values = ["my - (" + " + ".join(f"b_{i} * m_{i}" for i in range(p)) + ")"] + [f"b_{i}" for i in range(p)]
+    return on_credit(
+        f"SELECT unnest([{', '.join(terms)}]) AS term, round(unnest([{', '.join(values)}]), 4) AS coefficient, round({r2}, 4) AS r2 FROM sys{p}",
+        f"sys0 AS (SELECT avg({target}) AS my, var_pop({target}) AS vy, {', '.join(first)} FROM order_profile)", elimination(p, keep),
+    )
+
+
+def discriminant_ctes(columns: list[str], target: str) -> list[str]:
+    p = len(columns)
+    grid = [(i, j) for i in range(p) for j in range(p)]
+    cls = [f"avg({c}) AS m_{i}" for i, c in enumerate(columns)] + [f"covar_pop({columns[i]}, {columns[j]}) AS c_{i}_{j}" for i, j in grid]
+    keep = ", ".join(["cls", "n", "total"] + [f"m_{i}" for i in range(p)])
+    score = " + ".join(f"{c} * b_{i}" for i, c in enumerate(columns)) + " - 0.5 * (" + " + ".join(f"m_{i} * b_{i}" for i in range(p)) + ") + ln(n / total)"
+    return [
+        scaled_sql("order_profile", columns, f'"ID", {target}'),
+        f"per_class AS (SELECT {target} AS cls, count(*) AS n, {', '.join(cls)} FROM scaled GROUP BY {target})",
+        f"pooled AS (SELECT sum(n) AS total, {', '.join(f'sum(n * c_{i}_{j}) / (sum(n) - count(*)) AS a_{i}_{j}' for i, j in grid)} FROM per_class)",
+        f"sys0 AS (SELECT cls, n, total, {', '.join(f'm_{i}, m_{i} AS b_{i}' for i in range(p))}, {', '.join(f'a_{i}_{j}' for i, j in grid)} FROM per_class, pooled)",
+        elimination(p, keep),
+        f'predicted AS (SELECT "ID", any_value({target}) AS {target}, arg_max(cls, {score}) AS prediction FROM scaled, sys{p} GROUP BY "ID")',
+    ]
+
+
+def component_ctes(columns: list[str]) -> list[str]:
+    """Leading two eigenvectors of the correlation matrix by repeated squaring and deflation."""
+    z = [f"(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()) AS {c}" for c in columns]
+    matrix = "[" + ", ".join("[" + ", ".join(f"corr({a}, {b})" for b in columns) + "]" for a in columns) + "]"
+    square = "list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c)))"
+    trace = "list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][i]))"
+    shrink = f"list_transform(m, lambda r: list_transform(r, lambda x: x / {trace}))"
+    lead = "m[list_position(list_transform(range(1, len(m) + 1), lambda i: m[i][i]), list_max(list_transform(range(1, len(m) + 1), lambda i: m[i][i])))]"
+    ctes = [f'z AS (SELECT "ID", {", ".join(z)} FROM order_profile)', f"m0 AS (SELECT {matrix} AS m FROM z)"]
+    for k, source in ((1, "m0"), (2, "m1")):
+        ctes += [
+            f"pow{k}(i, m) AS (SELECT 0, m FROM {source} UNION ALL SELECT i + 1, {shrink} FROM (SELECT i, {square} AS m FROM pow{k} WHERE i < 40))",
+            f"raw{k} AS (SELECT {lead} AS w FROM pow{k} WHERE i = 40)",
+            f"""vec{k} AS (SELECT list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))
+                * sign(w[list_position(list_transform(w, lambda y: abs(y)), list_max(list_transform(w, lambda y: abs(y))))])) AS v FROM raw{k})""",
+        ]
+        if k == 1:
+            ctes.append("""m1 AS (SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j:
+                m[i][j] - v[i] * v[j] * list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v))) AS m FROM m0, vec1)""")
+    return ctes
+
+
+NEAREST = """ranked AS (SELECT q.{key} AS id, q.{label} AS label, r.{label} AS near,
+  row_number() OVER (PARTITION BY q.{key} ORDER BY {distance}, r.{key}) AS place FROM {t} q, {t} r),
+votes AS (SELECT id, label, near, count(*) AS n FROM ranked WHERE place <= 5 GROUP BY ALL),
+predicted AS (SELECT id AS {key}, label AS {label}, near AS prediction FROM votes
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, near) = 1)"""
+PART_GAP2 = "((q.p_size - r.p_size) * (q.p_size - r.p_size) + (q.p_retailprice - r.p_retailprice) * (q.p_retailprice - r.p_retailprice))"
+
+DENSITY = f"""near AS (SELECT q.p_partkey AS a, r.p_partkey AS b FROM parts q, parts r WHERE {PART_GAP2} <= {PART_EPS * PART_EPS!r}),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
+links AS (SELECT a, b FROM near SEMI JOIN core ON a = core.id SEMI JOIN core AS other ON b = other.id),
+reach(root, id) AS (SELECT id, id FROM core UNION SELECT root, b FROM reach JOIN links ON reach.id = links.a),
+component AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+numbered AS (SELECT id, root, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM component),
+labelled AS (SELECT p_partkey, CAST(coalesce(own.cluster, (SELECT min(cluster) FROM near JOIN numbered ON near.b = numbered.id WHERE near.a = p_partkey), -1) AS INTEGER) AS cluster
+  FROM parts LEFT JOIN numbered own ON own.id = p_partkey)"""
+
+MEDOID_STEPS = 12
+
+
+def medoid_ctes(steps: int = MEDOID_STEPS) -> list[str]:
+    """Alternating assignment and exact medoids, unrolled; extra steps change nothing."""
+    out = [
+        f"""med0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY total, id) - 1 AS g, id, p_size, p_retailprice FROM (
+            SELECT q.p_partkey AS id, any_value(q.p_size) AS p_size, any_value(q.p_retailprice) AS p_retailprice, sum(sqrt({PART_GAP2})) AS total
+            FROM parts q, parts r GROUP BY q.p_partkey ORDER BY total, id LIMIT 3))"""
+    ]
+    for k in range(steps):
+        gap = PART_GAP2.replace("r.", "m.")
+        out += [
+            f"asg{k} AS MATERIALIZED (SELECT q.p_partkey, q.p_size, q.p_retailprice, arg_min(m.g, ({gap}, m.g)) AS g FROM parts q, med{k} m GROUP BY ALL)",
+            f"""tot{k} AS MATERIALIZED (SELECT q.g, q.p_partkey AS id, q.p_size, q.p_retailprice, sum(sqrt({PART_GAP2})) AS total
+                FROM asg{k} q JOIN asg{k} r ON q.g = r.g GROUP BY ALL)""",
+            f"""med{k + 1} AS MATERIALIZED (SELECT g, id, p_size, p_retailprice FROM tot{k}
+                QUALIFY row_number() OVER (PARTITION BY g ORDER BY total, id) = 1)""",
+        ]
+    return out
+
+
+# --- queries -------------------------------------------------------------------------------
+
+
+@query("m1_features_target", on_credit('SELECT "ID", nivel_riesgo, ' + ", ".join(f"CAST({c} AS DOUBLE) AS f{i}" for i, c in enumerate(FEATURES)) + " FROM order_profile"))
+def features_target(spark: SparkSession, folder: str) -> DataFrame:
+    data = features.assemble(written_profile(spark, folder), FEATURES).withColumn("f", vector_to_array("features"))
+    return data.select("ID", "nivel_riesgo", *[F.col("f")[i].alias(f"f{i}") for i in range(len(FEATURES))])
+
+
+@query("m2_standardize", on_credit('SELECT "ID", nivel_riesgo, delincuencia_reciente, ' + ", ".join(f"{c} + 0.0 AS {c}" for c in FEATURES) + " FROM scaled",
+                                   scaled_sql("order_profile", FEATURES, '"ID", nivel_riesgo, delincuencia_reciente')))
+def standardize(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(scaled_credit(spark, folder))
+
+
+@query("m3_principal_components", on_credit(
+    f"""SELECT "ID", round(list_dot_product([{', '.join(FEATURES)}], vec1.v), 6) + 0.0 AS pc1,
+    round(list_dot_product([{', '.join(FEATURES)}], vec2.v), 6) + 0.0 AS pc2 FROM z, vec1, vec2""", *component_ctes(FEATURES)).replace("WITH", "WITH RECURSIVE", 1))
+def principal_components(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(models.principal_components(scaled_credit(spark, folder), FEATURES, ["ID"]))
+
+
+@query("m4_elbow")
+def elbow(spark: SparkSession, folder: str) -> DataFrame:
+    return models.elbow(credit_vectors(spark, folder))
+
+
+@query("m5_simple_regression", on_credit("""SELECT round(regr_slope(ingreso_mensual, edad), 6) AS slope, round(regr_intercept(ingreso_mensual, edad), 6) AS intercept,
+round(regr_r2(ingreso_mensual, edad), 6) AS r2 FROM order_profile"""))
+def simple_regression(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(models.simple_regression(written_profile(spark, folder), "edad", "ingreso_mensual"))
+
+
+@query("m6_multiple_regression_four", regression_sql(FOUR, "ingreso_mensual"))
+def multiple_regression_four(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(models.multiple_regression(written_profile(spark, folder), FOUR, "ingreso_mensual"), 4)
+
+
+@query("m6_multiple_regression_all", regression_sql([*REST, "delincuencia_reciente"], "ingreso_mensual"))
+def multiple_regression_all(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(models.multiple_regression(written_profile(spark, folder), [*REST, "delincuencia_reciente"], "ingreso_mensual"), 4)
+
+
+@query("m7_neighbours_part", with_ctes("SELECT * FROM predicted", SCALED_PARTS, NEAREST.format(key="p_partkey", label="p_type", t="parts", distance=PART_GAP2)))
+def neighbours_part(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbors.knn_predict(scaled_parts(spark, folder), PART, "p_type", "p_partkey")
+
+
+@query("m7_neighbours_embeddings", with_ctes("SELECT * FROM predicted", "vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)",
+       NEAREST.format(key="vec_id", label="label", t="vectors", distance="list_distance(q.e, r.e)")))
+def neighbours_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbors.knn_predict(embedded(spark, folder), EMBEDDED, "label", "vec_id")
+
+
+@query("m7_neighbours_credit")
+def neighbours_credit(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbors.knn_predict(scaled_credit(spark, folder), FEATURES, "nivel_riesgo", "ID")
+
+
+@query("m8_logistic_binary")
+def logistic_binary(spark: SparkSession, folder: str) -> DataFrame:
+    return models.logistic_accuracy(scaled_credit(spark, folder), FEATURES, "delincuencia_reciente")
+
+
+@query("m8_logistic_tiers", on_credit("SELECT NULL::DOUBLE AS accuracy, 'No aplica' AS note FROM order_profile HAVING count(DISTINCT nivel_riesgo) <> 2"))
+def logistic_tiers(spark: SparkSession, folder: str) -> DataFrame:
+    return models.logistic_accuracy(scaled_credit(spark, folder), FEATURES, "nivel_riesgo")
+
+
+@query("m9_discriminant", on_credit("SELECT nivel_riesgo, prediction, count(*) AS n FROM predicted GROUP BY ALL", *discriminant_ctes(FEATURES, "nivel_riesgo")))
+def discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    predicted = models.discriminant_predict(scaled_credit(spark, folder), FEATURES, "nivel_riesgo")
+    return models.confusion(predicted, "nivel_riesgo")
+
+
+@query("m10_kmeans")
+def kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    return models.kmeans_labels(credit_vectors(spark, folder)).select("ID", "cluster")
+
+
+@query("m11_medoids", with_ctes(f"""SELECT p_partkey, CAST(a.g AS INTEGER) AS cluster, m.id AS medoid FROM asg{MEDOID_STEPS - 1} a JOIN med{MEDOID_STEPS} m ON a.g = m.g""",
+                                SCALED_PARTS, *medoid_ctes()))
+def medoid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return medoids.medoid_labels(scaled_parts(spark, folder), PART, "p_partkey").select("p_partkey", "cluster", "medoid")
+
+
+@query("m12_density", with_ctes("SELECT * FROM labelled", SCALED_PARTS, DENSITY).replace("WITH", "WITH RECURSIVE", 1))
+def density_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return density.dbscan(scaled_parts(spark, folder), PART, "p_partkey", eps=PART_EPS, min_samples=5)
+
+
+@query("p12_without_noise", with_ctes("SELECT * FROM labelled WHERE cluster <> -1", SCALED_PARTS, DENSITY).replace("WITH", "WITH RECURSIVE", 1))
+def without_noise(spark: SparkSession, folder: str) -> DataFrame:
+    return clean.without_noise(density.dbscan(scaled_parts(spark, folder), PART, "p_partkey", eps=PART_EPS, min_samples=5))
+
+
+@query("m13_mixture")
+def mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return models.mixture_labels(credit_vectors(spark, folder)).select("ID", "cluster")
+
+
+_TIER_CODE = "CASE nivel_riesgo WHEN 'Alto' THEN 0 WHEN 'Bajo' THEN 1 WHEN 'Medio' THEN 2 ELSE 3 END"
+_SQUARE = " + ".join(f"{c} * {c}" for c in FEATURES)
+
+
+@query("m14_silhouette_squared", on_credit(
+    "SELECT 'squared' AS metric, count(*) AS rows_scored, round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM sides",
+    scaled_sql("order_profile", FEATURES, f'"ID", {_TIER_CODE} AS k'),
+    f"sums AS (SELECT k, count(*) AS n, sum({_SQUARE}) AS q, {', '.join(f'sum({c}) AS s_{c}' for c in FEATURES)} FROM scaled GROUP BY k)",
+    f"""gaps AS (SELECT r."ID", r.k AS own, s.k, s.n, ({' + '.join(f'r.{c} * r.{c}' for c in FEATURES)}) * s.n + s.q
+        - 2 * ({' + '.join(f'r.{c} * s.s_{c}' for c in FEATURES)}) AS total FROM scaled r, sums s)""",
+    """sides AS (SELECT "ID", max(n) FILTER (WHERE k = own) AS n, max(total / nullif(n - 1, 0)) FILTER (WHERE k = own) AS a,
+        min(total / n) FILTER (WHERE k <> own) AS b FROM gaps GROUP BY "ID")"""))
+def silhouette_squared(spark: SparkSession, folder: str) -> DataFrame:
+    rows = features.category_codes(rounded(scaled_credit(spark, folder)), ["nivel_riesgo"])
+    return rounded(silhouette.silhouette_squared(materialize(rows, "scored"), FEATURES, "nivel_riesgo"))
+
+
+@query("m14_silhouette_euclidean", with_ctes(
+    "SELECT 'euclidean' AS metric, count(*) AS rows_scored, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM sides",
+    "vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)",
+    f"asked AS (SELECT * FROM vectors ORDER BY md5('1|' || vec_id), vec_id LIMIT {SCORED_ROWS})",
+    "gaps AS (SELECT q.vec_id, q.label AS own, r.label AS k, count(*) AS n, sum(list_distance(q.e, r.e)) AS total FROM asked q, vectors r GROUP BY ALL)",
+    """sides AS (SELECT vec_id, max(total / nullif(n - 1, 0)) FILTER (WHERE k = own) AS a, min(total / n) FILTER (WHERE k <> own) AS b
+        FROM gaps GROUP BY vec_id)"""))
+def silhouette_euclidean(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(silhouette.silhouette_euclidean(embedded(spark, folder), EMBEDDED, "vec_id", "label", sample_size=SCORED_ROWS))
+
+
+@query("m15_accuracy", on_credit("SELECT round(avg(CASE WHEN nivel_riesgo = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM predicted",
+                                 *discriminant_ctes(FEATURES, "nivel_riesgo")))
+def accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    predicted = models.discriminant_predict(scaled_credit(spark, folder), FEATURES, "nivel_riesgo")
+    return rounded(models.accuracy(predicted, "nivel_riesgo", "prediction"))
+
+
+def comparison(spark: SparkSession, folder: str) -> DataFrame:
+    scaled = materialize(scaled_parts(spark, folder), "scaled-parts")
+    return report.compare_models(parts(spark, folder), scaled, PART, "p_partkey", "p_type", "p_size", "p_retailprice", eps=PART_EPS)
+
+
+@query("m16_model_comparison")
+def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    return comparison(spark, folder)
+
+
+@query("m16_best_model")
+def best_model(spark: SparkSession, folder: str) -> DataFrame:
+    return report.best_model(comparison(spark, folder))
+
+
+@query("s7_report", on_credit("""SELECT count(*) AS lines, CAST(sum(n) AS BIGINT) AS n FROM (
+SELECT count(*) AS n FROM order_profile GROUP BY nivel_riesgo UNION ALL SELECT count(*) FROM order_profile GROUP BY num_dependientes)"""))
+def written_report(spark: SparkSession, folder: str) -> DataFrame:
+    view = written_profile(spark, folder)
+    counts = {
+        name: view.groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n"))
+        for name in ("nivel_riesgo", "num_dependientes")
+    }
+    paths = report.write_report(counts, new_path(spark, "report"))
+    return spark.read.parquet(*paths.values()).agg(F.count("*").alias("lines"), F.sum("n").alias("n"))
