@@ -109,15 +109,20 @@ def income_by_age_and_tier(filtered: DataFrame, groups: Sequence[str]) -> DataFr
     )
 
 
-def category_share(df: DataFrame, column: str) -> DataFrame:
-    """Rows per value and their percent of all rows, ascending by count.
+def category_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per value of each column and their percent of all rows, ascending by count.
 
-    Rows without a value count in the denominator and have no line of their own.
+    Rows without a value count in the denominator and have no line of their own. All columns are
+    counted in one pass.
     """
-    counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("t")).scalar()
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    counts = (
+        df.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
+    )
+    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
     return (
-        counts.filter(F.col(column).isNotNull())
-        .withColumn("percent", F.col("n") * 100.0 / total)
-        .orderBy("n", column)
+        counts.join(F.broadcast(totals), "column")
+        .filter(F.col("value").isNotNull())
+        .select("column", "value", "n", (F.col("n") * 100.0 / F.col("total")).alias("percent"))
+        .orderBy("column", "n", "value")
     )

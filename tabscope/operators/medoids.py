@@ -1,10 +1,12 @@
 """k-medoids with exact medoids in few passes.
 
-A medoid minimises the summed distance to its cluster. Evaluating every row is quadratic, but by
-the triangle inequality an evaluated row e bounds all others: the sum at x is at least
-``|sum(e) - n*d(x, e)|``. Each round evaluates the rows with the smallest bounds (one aggregate
-pass) and drops every row whose bound exceeds the best sum; it ends when no row is left.
-Evaluated rows and their sums are the only state, and no pair of rows is ever written.
+A medoid minimises the summed distance to its cluster. Evaluating every row is quadratic, but an
+evaluated row e bounds all others from below: by the triangle inequality the sum at x is at least
+``|sum(e) - n*d(x, e)|``, and because the sum is convex it is at least its tangent at e,
+``sum(e) + gradient(e)·(x - e)``. Each round evaluates the rows with the smallest bounds (one
+aggregate pass for sums and gradients) and drops every row whose bound exceeds the best sum; it
+ends when no row is left, so the result is exact. Evaluated rows with their sums are the only
+state, and no pair of rows is ever written.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql.window import Window
 
 from tabscope.scratch import materialize
 
-BATCH = 256
+BATCH = 128
 MAX_ITER = 300
 # relative slack when dropping rows, far above the rounding of a sum
 SLACK = 1e-9
@@ -71,8 +73,10 @@ def _candidates(points: DataFrame, centers: np.ndarray | None, width: int, known
                     low = _distances(mine, mean[None, :])[:, 0]
                     open_ = np.ones(len(mine), dtype=bool)
                 else:
-                    done_ids, done_x, sums = known[group]
-                    low = np.abs(sums[None, :] - n * _distances(mine, done_x)).max(axis=1)
+                    done_ids, done_x, sums, slopes = known[group]
+                    reach = np.abs(sums[None, :] - n * _distances(mine, done_x)).max(axis=1)
+                    tangent = (mine @ slopes.T + (sums - (slopes * done_x).sum(axis=1))[None, :]).max(axis=1)
+                    low = np.maximum(reach, tangent)
                     open_ = (low <= best[group] * (1 + SLACK)) & ~np.isin(mine_ids, done_ids)
                 at = np.flatnonzero(open_)
                 at = at[np.lexsort((mine_ids[at], low[at]))][:BATCH]
@@ -87,23 +91,33 @@ def _candidates(points: DataFrame, centers: np.ndarray | None, width: int, known
     return {g: (np.array([i for i, _ in rows]), np.array([v for _, v in rows])) for g, rows in out.items()}
 
 
-def _sums(points: DataFrame, centers: np.ndarray | None, width: int, chosen: dict) -> dict[int, np.ndarray]:
-    """Summed distance from every chosen row to its group, one pass for all groups."""
+def _sums(
+    points: DataFrame, centers: np.ndarray | None, width: int, chosen: dict
+) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Summed distance from every chosen row to its group and its gradient, one pass for all groups."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = {g: np.zeros(len(ids)) for g, (ids, _) in chosen.items()}
+        totals = {g: np.zeros((len(ids), width + 1)) for g, (ids, _) in chosen.items()}
         for batch in batches:
             x = _matrix(batch["x"], width)
             g = _groups(x, centers)
-            for group in totals:
-                totals[group] += _distances(x[g == group], chosen[group][1]).sum(axis=0)
-        for group, values in totals.items():
-            yield pd.DataFrame({"g": group, "at": np.arange(len(values)), "s": values})
-
-    rows = points.mapInPandas(partial, "g bigint, at bigint, s double").groupBy("g", "at").agg(F.sum("s").alias("s")).collect()
-    out = {g: np.zeros(len(ids)) for g, (ids, _) in chosen.items()}
-    for r in rows:
-        out[r["g"]][r["at"]] = r["s"]
+            for group, total in totals.items():
+                mine, at = x[g == group], chosen[group][1]
+                d = _distances(mine, at)
+                total[:, 0] += d.sum(axis=0)
+                inverse = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+                total[:, 1:] += at * inverse.sum(axis=0)[:, None] - inverse.T @ mine
+        for group, total in totals.items():
+            yield pd.DataFrame({"g": group, "at": np.arange(len(total)), "s": list(total)})
+
+    rows = points.mapInPandas(partial, "g bigint, at bigint, s array<double>").groupBy("g", "at").agg(
+        *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(width + 1)]
+    )
+    out = {g: (np.zeros(len(ids)), np.zeros((len(ids), width))) for g, (ids, _) in chosen.items()}
+    for r in rows.collect():
+        sums, slopes = out[r["g"]]
+        sums[r["at"]] = r["s0"]
+        slopes[r["at"]] = [r[f"s{j}"] for j in range(1, width + 1)]
     return out
 
 
@@ -123,12 +137,14 @@ def _lowest(points: DataFrame, centers: np.ndarray | None, width: int, winners:
             break
         sums = _sums(points, centers, width, chosen)
         for g, (ids, x) in chosen.items():
-            old = known.get(g, (np.zeros(0, dtype=np.int64), np.zeros((0, width)), np.zeros(0)))
-            known[g] = (np.append(old[0], ids), np.vstack([old[1], x]), np.append(old[2], sums[g]))
+            old = known.get(g, (np.zeros(0, dtype=np.int64), np.zeros((0, width)), np.zeros(0), np.zeros((0, width))))
+            known[g] = (
+                np.append(old[0], ids), np.vstack([old[1], x]), np.append(old[2], sums[g][0]), np.vstack([old[3], sums[g][1]])
+            )
             ordered = np.sort(known[g][2])
             best[g] = ordered[winners - 1] if len(ordered) >= winners else np.inf
     out = {}
-    for g, (ids, x, s) in known.items():
+    for g, (ids, x, s, _) in known.items():
         order = np.lexsort((ids, s))[:winners]
         out[g] = [(float(s[i]), int(ids[i]), x[i]) for i in order], dict(zip(ids.tolist(), s.tolist()))
     return out

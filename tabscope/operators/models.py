@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from contextlib import contextmanager
 from functools import reduce
 from itertools import combinations_with_replacement
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
@@ -23,6 +24,7 @@ from tabscope.operators.features import assemble
 CLUSTERS = 3
 ELBOW_RANGE = range(2, 10)
 SEED = 42
+FITS_AT_ONCE = 4
 
 
 @contextmanager
@@ -73,22 +75,38 @@ def principal_components(df: DataFrame, features: Sequence[str], keep: Sequence[
     return model.transform(data).select(*keep, *[(scores[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)])
 
 
-def fit_kmeans(vectors: DataFrame, k: int = CLUSTERS, seeds: Sequence[int] = (SEED, SEED + 1, SEED + 2)) -> KMeansModel:
-    """Best of several starts by within-cluster cost; Spark's own fit uses a single start."""
-    models = [KMeans(k=k, seed=s).fit(vectors) for s in seeds]
-    return min(models, key=lambda m: m.summary.trainingCost)
+def fit_kmeans(
+    vectors: DataFrame, ks: Sequence[int] = (CLUSTERS,), seeds: Sequence[int] = (SEED, SEED + 1, SEED + 2)
+) -> dict[int, KMeansModel]:
+    """Per k, the best of several starts by within-cluster cost; Spark's own fit uses a single start.
+
+    The fits are independent and share the input, so a few are submitted at a time.
+    """
+    tasks = [(k, seed) for k in ks for seed in seeds]
+
+    def fit(task: tuple[int, int]) -> KMeansModel:
+        return KMeans(k=task[0], seed=task[1]).fit(vectors)
+
+    with ThreadPool(min(FITS_AT_ONCE, len(tasks))) as pool:
+        fitted = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), tasks)
+    best: dict[int, KMeansModel] = {}
+    for (k, _), model in zip(tasks, fitted):
+        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
+            best[k] = model
+    return best
 
 
 def elbow(vectors: DataFrame, ks: Sequence[int] = ELBOW_RANGE, seeds: Sequence[int] = (SEED, SEED + 1)) -> DataFrame:
     """Within-cluster squared distance for each k."""
     with kept(vectors.select("features")) as held:
-        rows = [(k, float(fit_kmeans(held, k, seeds).summary.trainingCost)) for k in ks]
+        best = fit_kmeans(held, ks, seeds)
+        rows = [(k, float(best[k].summary.trainingCost)) for k in ks]
     return vectors.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
 def kmeans_labels(vectors: DataFrame, k: int = CLUSTERS, seeds: Sequence[int] = (SEED, SEED + 1, SEED + 2)) -> DataFrame:
     with kept(vectors.select("features")) as held:
-        model = fit_kmeans(held, k, seeds)
+        model = fit_kmeans(held, [k], seeds)[k]
     return model.transform(vectors).withColumnRenamed("prediction", "cluster")
 
 

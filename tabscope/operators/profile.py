@@ -139,15 +139,26 @@ def centre_and_spread(df: DataFrame, column: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson coefficient of every pair over the rows where both are present; NULL without spread."""
+    """Pearson coefficient of every pair over the rows where both are present; NULL without spread.
+
+    A first pass finds means and missing values; the second sums centred products. Only pairs with
+    missing values need sums of their own.
+    """
     columns = columns_of_class(df, "number") if columns is None else list(columns)
-    pairs = list(combinations_with_replacement(columns, 2))
+    first = df.agg(F.count("*").alias("rows"), *[
+        F.struct(F.avg(c).alias("mean"), F.count(c).alias("n")).alias(c) for c in columns
+    ]).first()
+    centred = {c: F.col(c).cast("double") - F.lit(float(first[c]["mean"] or 0.0)) for c in columns}
+    whole = {c for c in columns if first[c]["n"] == first["rows"]}
 
     def coefficient(a: str, b: str) -> Column:
-        x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-        y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+        x, y = centred[a], centred[b]
+        if a in whole and b in whole:
+            return F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y)))
+        x, y = F.when(F.col(b).isNotNull(), x), F.when(F.col(a).isNotNull(), y)
         return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
+    pairs = list(combinations_with_replacement(columns, 2))
     row = df.agg(*[coefficient(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     out = []
     for i, (a, b) in enumerate(pairs):

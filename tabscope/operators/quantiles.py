@@ -39,14 +39,10 @@ def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
         *[F.max(f"hi_{i}").alias(f"hi_{i}") for i in range(len(columns))],
     )
 
-    def at(i: int, p: float) -> Column:
-        return F.when(F.col(f"n_{i}") > 0, F.kll_sketch_get_quantile_double(f"k_{i}", F.lit(min(max(p, 0.0), 1.0))))
-
+    # both ends of every bracket from one call per column: each call unpacks the sketch
+    ranks = F.array(*[F.lit(min(max(p + side, 0.0), 1.0)) for p in probs for side in (-MARGIN, MARGIN)])
     ends = [
-        at(i, p + side).alias(f"{name}_{i}_{q}")
-        for i in range(len(columns))
-        for q, p in enumerate(probs)
-        for name, side in (("a", -MARGIN), ("b", MARGIN))
+        F.when(F.col(f"n_{i}") > 0, F.kll_sketch_get_quantile_double(f"k_{i}", ranks)).alias(f"e_{i}") for i in range(len(columns))
     ]
     extremes = [F.col(f"{name}_{i}") for i in range(len(columns)) for name in ("n", "lo", "hi")]
     row = merged.select(*ends, *extremes).first()
@@ -57,8 +53,8 @@ def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
             continue
         for q, p in enumerate(probs):
             at_rank = (n - 1) * p
-            low = row[f"lo_{i}"] if p <= MARGIN else row[f"a_{i}_{q}"]
-            high = row[f"hi_{i}"] if p >= 1 - MARGIN else row[f"b_{i}_{q}"]
+            low = row[f"lo_{i}"] if p <= MARGIN else row[f"e_{i}"][2 * q]
+            high = row[f"hi_{i}"] if p >= 1 - MARGIN else row[f"e_{i}"][2 * q + 1]
             found[column, q] = {
                 "n": n, "low": low, "high": high, "first": int(at_rank), "second": min(int(at_rank) + 1, n - 1),
                 "frac": at_rank - int(at_rank),
@@ -101,23 +97,24 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         F.inline(F.array(*[described(c, q, w, F.col(f"below_{i}").alias("below")) for i, ((c, q), w) in enumerate(wanted.items())]))
     )
 
-    inside = {key: value(key[0]).between(w["low"], w["high"]) for key, w in wanted.items()}
-    spans = [
-        F.when(inside[c, q], F.struct(
-            F.lit(c).alias("column"), F.lit(q).alias("qi"), value(c).alias("v"),
-            F.when(
-                F.lit(w["high"] > w["low"]),
-                F.least(F.floor((value(c) - w["low"]) / F.lit((w["high"] - w["low"]) or 1.0) * SLICES), F.lit(SLICES - 1)),
-            ).otherwise(F.lit(0)).cast("int").alias("slice"),
-        ))
-        for (c, q), w in wanted.items()
-    ]
-    counted = (
+    inside = {
+        c: _any([value(c).between(w["low"], w["high"]) for (name, _), w in wanted.items() if name == c])
+        for c in dict.fromkeys(name for name, _ in wanted)
+    }
+    kept = [F.when(hit, F.struct(F.lit(c).alias("column"), value(c).alias("v"))) for c, hit in inside.items()]
+    values = (
         df.filter(_any(list(inside.values())))
-        .select(F.explode(F.array_compact(F.array(*spans))).alias("s"))
-        .groupBy("s.column", "s.qi", "s.slice", "s.v")
+        .select(F.explode(F.array_compact(F.array(*kept))).alias("s"))
+        .groupBy("s.column", "s.v")
         .agg(F.count("*").alias("cnt"))
     )
+    width = F.col("high") - F.col("low")
+    slice_ = F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), width) * SLICES), F.lit(SLICES - 1))
+    counted = (
+        values.join(F.broadcast(targets.select("column", "qi", "low", "high")), "column")
+        .filter(F.col("v").between(F.col("low"), F.col("high")))
+        .select("column", "qi", "v", "cnt", F.coalesce(slice_, F.lit(0)).cast("int").alias("slice"))
+    )
     # at most SLICES rows per wanted quantile
     slices = counted.groupBy("column", "qi", "slice").agg(F.sum("cnt").alias("c"))
     before = Window.partitionBy("column", "qi").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

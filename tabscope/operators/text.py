@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabscope.scratch import materialize
+
 # A word is a letter, digit or underscore followed by at least one more of those or an
 # apostrophe; pair threshold and number of terms are the usual word-cloud ones.
 WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
@@ -99,19 +101,17 @@ def term_weights(
     """
     stop = default_stop_words() if stop_words is None else list(stop_words)
     words = df.select(tokens(text, **token_options).alias("t"))
-    singles = words.select(F.explode("t").alias("word"))
-    size = F.size("t")
-    neighbours = F.arrays_zip(
-        F.slice("t", F.lit(1), F.greatest(size - 1, F.lit(0))).alias("a"),
-        F.slice("t", F.lit(2), F.greatest(size - 1, F.lit(0))).alias("b"),
-    )
-    pairs = words.select(F.inline(neighbours).alias("a", "b"))
+    # every word with its right neighbour; a pair that cannot become a term keeps its first word
+    # only, so most rows collapse before the shuffle
+    following = F.slice("t", F.lit(2), F.size("t"))
+    runs = words.select(F.inline(F.arrays_zip(F.col("t").alias("a"), following.alias("b"))))
     if stop:
-        singles = singles.filter(~F.col("word").isin(stop))
-        pairs = pairs.filter(~F.col("a").isin(stop) & ~F.col("b").isin(stop))
-    counts = singles.groupBy("word").agg(F.count("*").cast("double").alias("n"))
-    pair_counts = pairs.groupBy("a", "b").agg(F.count("*").cast("double").alias("n"))
-    total = counts.agg(F.sum("n").alias("t")).scalar()
+        runs = runs.filter(~F.col("a").isin(stop)).withColumn("b", F.when(~F.col("b").isin(stop), F.col("b")))
+    # written, because words, pairs and the total all come from it: the texts are read once
+    together = materialize(runs.groupBy("a", "b").agg(F.count("*").cast("double").alias("n")), "pairs")
+    counts = together.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"))
+    pair_counts = together.filter(F.col("b").isNotNull())
+    total = F.lit(float(counts.agg(F.sum("n").alias("t")).first()["t"] or 0.0))
 
     scored = (
         pair_counts.join(counts.select(F.col("word").alias("a"), F.col("n").alias("na")), "a")

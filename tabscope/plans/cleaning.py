@@ -50,7 +50,7 @@ def text_columns(spark: SparkSession, folder: str) -> DataFrame:
 @query("p5_facet_filter", on_credit(f"""SELECT {CREDIT_COLUMNS}, nivel_riesgo FROM order_profile
 WHERE radio_deuda BETWEEN 0.02 AND 0.08 AND nivel_riesgo IN ('Alto', 'Bajo') AND num_dependientes = 2 AND edad BETWEEN 30 AND 55"""))
 def facet_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return facets.facet_filter(order_profile(spark, folder), (0.02, 0.08), ["Alto", "Bajo"], 2, (30, 55))
+    return facets.facet_filter(written_profile(spark, folder), (0.02, 0.08), ["Alto", "Bajo"], 2, (30, 55))
 
 
 @query("p6_facet_guard", on_credit("""
@@ -176,7 +176,7 @@ AGE_SQL = """ages AS (SELECT CAST(i AS INTEGER) AS ord, CAST(20 + 10 * i AS INTE
 
 @query("c9_age_groups", on_credit("SELECT ord, grupo_edad, low, high FROM ages", AGE_SQL))
 def age_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return facets.age_groups(order_profile(spark, folder))
+    return facets.age_groups(written_profile(spark, folder))
 
 
 @query("c10_right_closed_bins", on_credit("""SELECT "ID", edad, grupo_edad FROM order_profile LEFT JOIN ages
@@ -240,7 +240,7 @@ def head(spark: SparkSession, folder: str) -> DataFrame:
 @query("l4_page", on_credit(f"""SELECT * FROM (SELECT {CREDIT_COLUMNS}, nivel_riesgo FROM order_profile
 WHERE nivel_riesgo = 'Alto' AND num_dependientes = 0 ORDER BY "ID" LIMIT 20) ORDER BY "ID" LIMIT 7 OFFSET 14"""))
 def page(spark: SparkSession, folder: str) -> DataFrame:
-    rows = facets.facet_filter(order_profile(spark, folder), (0, 1), ["Alto"], 0, (0, 200), max_dependents=5)
+    rows = facets.facet_filter(written_profile(spark, folder), (0, 1), ["Alto"], 0, (0, 200), max_dependents=5)
     return clean.page(rows, 2, "ID")
 
 
