@@ -18,16 +18,21 @@ from functools import reduce
 from itertools import product
 from math import sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.operators import leaves as L
 from tabscope.operators.components import connected_components
 from tabscope.operators.ranks import value_codes
 from tabscope.scratch import materialize
 
 # how often a dense cell is split per dimension when two dense cells are compared
 SPLITS = {1: 8, 2: 4, 3: 2}
-COARSE_DIMS = 3
+# up to here a cell has a bounded number of neighbouring cells, which equal keys can find
+GRID_DIMS = 3
+LEAF_CELLS = 1000
 
 
 def _total(parts: Sequence[Column]) -> Column:
@@ -52,38 +57,85 @@ def _renamed(df: DataFrame, suffix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}{suffix}") for c in df.columns])
 
 
-def _cell_pairs(cells: DataFrame, p: int, eps: float, dims: Sequence[int]) -> DataFrame:
-    """Ordered pairs of different cells whose boxes come within eps of each other.
+def _pairs_by_grid(cells: DataFrame, p: int, eps: float) -> DataFrame:
+    """Ordered pairs of different cells whose boxes come within eps of each other, by equal keys.
 
     Two such cells differ by at most one coarse step, so each cell is offered to its neighbouring
-    coarse keys and matched by equality.
+    coarse keys.
     """
-    key = [F.floor(F.col(f"lo{d}") / F.lit(2 * eps)).alias(f"k{d}") for d in dims]
+    key = [F.floor(F.col(f"lo{d}") / F.lit(2 * eps)).alias(f"k{d}") for d in range(p)]
     keyed = cells.select("*", *key)
-    steps = F.array(*[F.array(*[F.lit(s).cast("bigint") for s in step]) for step in product((-1, 0, 1), repeat=len(dims))])
+    steps = F.array(*[F.array(*[F.lit(s).cast("bigint") for s in step]) for step in product((-1, 0, 1), repeat=p)])
     offered = keyed.withColumn("step", F.explode(steps))
-    offered = offered.withColumns({f"k{d}": F.col(f"k{d}") + F.col("step")[i] for i, d in enumerate(dims)}).drop("step")
-    right = _renamed(keyed, "_r").withColumnsRenamed({f"k{d}_r": f"k{d}" for d in dims})
+    offered = offered.withColumns({f"k{d}": F.col(f"k{d}") + F.col("step")[d] for d in range(p)}).drop("step")
+    right = _renamed(keyed, "_r").withColumnsRenamed({f"k{d}_r": f"k{d}" for d in range(p)})
     near = _gap2(
         _cols("lo", p), _cols("hi", p), [F.col(f"lo{i}_r") for i in range(p)], [F.col(f"hi{i}_r") for i in range(p)]
     ) <= eps * eps
     return (
-        offered.join(right, [f"k{d}" for d in dims])
+        offered.join(right, [f"k{d}" for d in range(p)])
         .filter((F.col("cell") != F.col("cell_r")) & near)
         .select("cell", F.col("cell_r").alias("other"), "dense", F.col("dense_r").alias("other_dense"))
     )
 
 
+def _pairs_by_leaves(cells: DataFrame, p: int, eps: float) -> DataFrame:
+    """The same pairs in more dimensions, where a grid has too many neighbours or too few keys.
+
+    Cells are split into leaves of similar size; each cell visits the leaves its box comes near.
+    """
+    boxes = cells.select("cell", "dense", F.array(*_cols("lo", p)).alias("lo"), F.array(*_cols("hi", p)).alias("hi"))
+    cuts = L.plan_cuts(boxes, "lo", p, LEAF_CELLS)
+    homes = materialize(L.with_leaf(boxes, "lo", p, cuts), "cell-leaves")
+    around, eps2 = L.leaf_boxes(homes, "lo", "hi", p), eps * eps
+
+    def visit(batches):
+        for batch in batches:
+            for at in range(0, len(batch), around.block):
+                part = batch.iloc[at:at + around.block]
+                reach = around.gap2(L.matrix(part["lo"], p), L.matrix(part["hi"], p)) <= eps2
+                yield part.assign(leaves=[around.leaf[r] for r in reach])
+
+    reached = boxes.mapInPandas(visit, "cell array<bigint>, dense boolean, lo array<double>, hi array<double>, leaves array<bigint>")
+    visits = materialize(reached.select("cell", "dense", "lo", "hi", F.explode("leaves").alias("leaf")), "cell-visits")
+    salts = materialize(L.visit_salts(visits), "cell-salts")
+    visitors, hosts = L.meet(visits, homes, salts, ["cell"])
+
+    def close(asking: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asking) and len(host):
+            there = L.Boxes(np.arange(len(host)), L.matrix(host["lo"], p), L.matrix(host["hi"], p))
+            for at in range(0, len(asking), there.block):
+                part = asking.iloc[at:at + there.block]
+                i, j = np.nonzero(there.gap2(L.matrix(part["lo"], p), L.matrix(part["hi"], p)) <= eps2)
+                found.append(pd.DataFrame({
+                    "cell": part["cell"].to_numpy()[i], "other": host["cell"].to_numpy()[j],
+                    "dense": part["dense"].to_numpy()[i], "other_dense": host["dense"].to_numpy()[j],
+                }))
+        return pd.concat(found) if found else pd.DataFrame(columns=["cell", "other", "dense", "other_dense"])
+
+    pairs = visitors.groupBy("leaf", "salt").cogroup(hosts.groupBy("leaf", "salt")).applyInPandas(
+        close, "cell array<bigint>, other array<bigint>, dense boolean, other_dense boolean"
+    )
+    return pairs.filter(F.col("cell") != F.col("other"))
+
+
+def _cell_pairs(cells: DataFrame, p: int, eps: float) -> DataFrame:
+    return _pairs_by_grid(cells, p, eps) if p <= GRID_DIMS else _pairs_by_leaves(cells, p, eps)
+
+
 def _dense_links(dense_rows: DataFrame, pairs: DataFrame, p: int, eps: float) -> DataFrame:
     """Pairs ``(cell, other)`` of dense cells that hold two rows within eps of each other."""
     eps2 = eps * eps
     splits, side = SPLITS.get(p, 1), eps / sqrt(p)
     sub = F.array(*[F.floor(F.col(f"x{i}") / F.lit(side / splits)) for i in range(p)])
     marked = dense_rows.withColumn("sub", sub)
+    # the outermost rows of a box in each direction: if two of them are close, the cells are linked
+    point = F.array(*_cols("x", p))
     boxes = materialize(
         marked.groupBy("cell", "sub").agg(
             *[F.min(f"x{i}").alias(f"lo{i}") for i in range(p)], *[F.max(f"x{i}").alias(f"hi{i}") for i in range(p)],
-            F.min(F.struct("id", *[f"x{i}" for i in range(p)])).alias("rep"),
+            F.array(*[by(point, F.col(f"x{i}")) for i in range(p) for by in (F.min_by, F.max_by)]).alias("reps"),
         ),
         "sub-boxes",
     )
@@ -91,11 +143,12 @@ def _dense_links(dense_rows: DataFrame, pairs: DataFrame, p: int, eps: float) ->
     both = (
         pairs.join(left, F.col("cell") == F.col("cell_a")).join(right, F.col("other") == F.col("cell_b"))
         .withColumn("gap2", _gap2(*[[F.col(f"{n}{i}_{s}") for i in range(p)] for s in "ab" for n in ("lo", "hi")]))
-        .withColumn("rep2", _distance2([F.col("rep_a")[f"x{i}"] for i in range(p)], [F.col("rep_b")[f"x{i}"] for i in range(p)]))
+        .withColumn("linked", F.exists("reps_a", lambda a: F.exists(
+            "reps_b", lambda b: _distance2([a[i] for i in range(p)], [b[i] for i in range(p)]) <= eps2)))
         .filter(F.col("gap2") <= eps2)
     )
     judged = materialize(
-        both.groupBy("cell", "other").agg(F.max(F.col("rep2") <= eps2).alias("sure"),
+        both.groupBy("cell", "other").agg(F.max("linked").alias("sure"),
                                           F.collect_set(F.struct("sub_a", "sub_b")).alias("subs")),
         "sub-pairs",
     )
@@ -106,8 +159,8 @@ def _dense_links(dense_rows: DataFrame, pairs: DataFrame, p: int, eps: float) ->
     )
     rows_a = marked.select(F.col("cell"), F.col("sub").alias("sub_a"), *[F.col(f"x{i}").alias(f"a{i}") for i in range(p)])
     rows_b = marked.select(F.col("cell").alias("other"), F.col("sub").alias("sub_b"), *[F.col(f"x{i}").alias(f"b{i}") for i in range(p)])
-    box_a = _renamed(boxes.drop("rep"), "_a").withColumnsRenamed({"cell_a": "cell"})
-    box_b = _renamed(boxes.drop("rep"), "_b").withColumnsRenamed({"cell_b": "other"})
+    box_a = _renamed(boxes.drop("reps"), "_a").withColumnsRenamed({"cell_a": "cell"})
+    box_b = _renamed(boxes.drop("reps"), "_b").withColumnsRenamed({"cell_b": "other"})
     a, b = _cols("a", p), _cols("b", p)
     near_a = (
         open_.join(box_b, ["other", "sub_b"]).join(rows_a, ["cell", "sub_a"])
@@ -144,9 +197,7 @@ def dbscan(
         *[F.min(f"x{i}").alias(f"lo{i}") for i in range(p)], *[F.max(f"x{i}").alias(f"hi{i}") for i in range(p)],
     ).withColumn("dense", F.col("n") >= min_samples)
     cells = materialize(cells, "cells")
-    spans = cells.agg(*[(F.max(f"hi{i}") - F.min(f"lo{i}")).alias(str(i)) for i in range(p)]).first()
-    dims = sorted(range(p), key=lambda i: -(spans[str(i)] or 0))[:COARSE_DIMS]
-    pairs = materialize(_cell_pairs(cells, p, eps, dims), "cell-pairs")
+    pairs = materialize(_cell_pairs(cells, p, eps), "cell-pairs")
 
     marked = rows.join(cells.select("cell", "dense", "n"), "cell")
     sparse = materialize(marked.filter(~F.col("dense")).drop("dense"), "sparse-rows")
