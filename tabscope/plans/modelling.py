@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabscope.operators import clean, density, features, medoids, models, neighbors, report, silhouette
 from tabscope.plans import Catalog
-from tabscope.plans.views import FEATURES, on_credit, parts, rounded, scaled_sql, table, with_ctes, written_profile
+from tabscope.plans.views import CREDIT_SQL, FEATURES, on_credit, parts, rounded, scaled_sql, table, with_ctes, written_profile
 from tabscope.scratch import materialize, new_path
 
 catalog = Catalog()
@@ -124,14 +124,20 @@ predicted AS (SELECT id AS {key}, label AS {label}, near AS prediction FROM vote
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, near) = 1)"""
 PART_GAP2 = "((q.p_size - r.p_size) * (q.p_size - r.p_size) + (q.p_retailprice - r.p_retailprice) * (q.p_retailprice - r.p_retailprice))"
 
-DENSITY = f"""near AS (SELECT q.p_partkey AS a, r.p_partkey AS b FROM parts q, parts r WHERE {PART_GAP2} <= {PART_EPS * PART_EPS!r}),
+def density_sql(source: str, columns: list[str], key: str, eps: float, result: str, *ctes: str) -> str:
+    """Neighbour pairs, core rows, reachability and the smallest-core numbering."""
+    gap2 = " + ".join(f"(q.{c} - r.{c}) * (q.{c} - r.{c})" for c in columns)
+    steps = f"""near AS MATERIALIZED (SELECT q.{key} AS a, r.{key} AS b FROM {source} q, {source} r WHERE {gap2} <= {eps * eps!r}),
 core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
 links AS (SELECT a, b FROM near SEMI JOIN core ON a = core.id SEMI JOIN core AS other ON b = other.id),
 reach(root, id) AS (SELECT id, id FROM core UNION SELECT root, b FROM reach JOIN links ON reach.id = links.a),
 component AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
-numbered AS (SELECT id, root, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM component),
-labelled AS (SELECT p_partkey, CAST(coalesce(own.cluster, (SELECT min(cluster) FROM near JOIN numbered ON near.b = numbered.id WHERE near.a = p_partkey), -1) AS INTEGER) AS cluster
-  FROM parts LEFT JOIN numbered own ON own.id = p_partkey)"""
+numbered AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM component),
+edge AS (SELECT a, min(cluster) AS cluster FROM near JOIN numbered ON near.b = numbered.id GROUP BY a),
+labelled AS (SELECT s.{key}, CAST(coalesce(own.cluster, edge.cluster, -1) AS INTEGER) AS cluster
+  FROM {source} s LEFT JOIN numbered own ON own.id = s.{key} LEFT JOIN edge ON edge.a = s.{key})"""
+    return with_ctes(result, *ctes, steps).replace("WITH", "WITH RECURSIVE", 1)
+
 
 MEDOID_STEPS = 12
 
@@ -209,9 +215,18 @@ def neighbours_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return neighbors.knn_predict(embedded(spark, folder), EMBEDDED, "label", "vec_id")
 
 
-@query("m7_neighbours_credit")
+_CREDIT_GAP2 = " + ".join(f"(q.{c} - r.{c}) * (q.{c} - r.{c})" for c in FEATURES)
+
+
+@query("m7_neighbours_credit", on_credit(
+    """SELECT id AS "ID", label AS nivel_riesgo, near AS prediction FROM votes QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, near) = 1""",
+    scaled_sql("order_profile", FEATURES, '"ID", nivel_riesgo'),
+    f"""closest AS (SELECT q."ID" AS id, q.nivel_riesgo AS label, min({{'d': {_CREDIT_GAP2}, 'id': r."ID", 'near': r.nivel_riesgo}}, 5) AS five
+        FROM scaled q, scaled r GROUP BY q."ID", q.nivel_riesgo)""",
+    "votes AS (SELECT id, label, one.near AS near, count(*) AS n FROM (SELECT id, label, unnest(five) AS one FROM closest) GROUP BY ALL)"))
 def neighbours_credit(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbors.knn_predict(scaled_credit(spark, folder), FEATURES, "nivel_riesgo", "ID")
+    rows = written_profile(spark, folder).select("ID", "nivel_riesgo", *FEATURES)
+    return neighbors.knn_predict(features.standardize(rows, FEATURES, digits=6), FEATURES, "nivel_riesgo", "ID")
 
 
 @query("m8_logistic_binary")
@@ -241,12 +256,18 @@ def medoid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return medoids.medoid_labels(scaled_parts(spark, folder), PART, "p_partkey").select("p_partkey", "cluster", "medoid")
 
 
-@query("m12_density", with_ctes("SELECT * FROM labelled", SCALED_PARTS, DENSITY).replace("WITH", "WITH RECURSIVE", 1))
+@query("m12_density", density_sql("parts", PART, "p_partkey", PART_EPS, "SELECT * FROM labelled", SCALED_PARTS))
 def density_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return density.dbscan(scaled_parts(spark, folder), PART, "p_partkey", eps=PART_EPS, min_samples=5)
 
 
-@query("p12_without_noise", with_ctes("SELECT * FROM labelled WHERE cluster <> -1", SCALED_PARTS, DENSITY).replace("WITH", "WITH RECURSIVE", 1))
+@query("m12_density_credit", density_sql("scaled", FEATURES, '"ID"', 0.5, "SELECT * FROM labelled", CREDIT_SQL, scaled_sql("order_profile", FEATURES, '"ID"')))
+def density_credit(spark: SparkSession, folder: str) -> DataFrame:
+    scaled = features.standardize(written_profile(spark, folder).select("ID", *FEATURES), FEATURES, digits=6)
+    return density.dbscan(scaled, FEATURES, "ID", eps=0.5, min_samples=5)
+
+
+@query("p12_without_noise", density_sql("parts", PART, "p_partkey", PART_EPS, "SELECT * FROM labelled WHERE cluster <> -1", SCALED_PARTS))
 def without_noise(spark: SparkSession, folder: str) -> DataFrame:
     return clean.without_noise(density.dbscan(scaled_parts(spark, folder), PART, "p_partkey", eps=PART_EPS, min_samples=5))
 
