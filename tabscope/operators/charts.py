@@ -111,7 +111,9 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
         edges[c] = (lo, (hi - lo) / bins, bins)
-        index[c] = F.least(F.floor((F.col(c) - lo) / F.lit(hi - lo) * bins), F.lit(bins - 1))
+        # least() skips NULLs, so missing values have to stay out explicitly
+        place = F.least(F.floor((F.col(c) - lo) / F.lit(hi - lo) * bins), F.lit(bins - 1))
+        index[c] = F.when(F.col(c).isNotNull(), place)
     return _densify(df, _count_bins(df, index), edges)
 
 
