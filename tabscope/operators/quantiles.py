@@ -22,6 +22,8 @@ SKETCH_K = 4096
 MARGIN = 0.006
 SLICES = 1024
 SKETCH_SALTS = 64
+# value ranges in one plan; the optimiser's effort grows steeply with the ranges of many columns
+RANGES_PER_PLAN = 9
 
 
 def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, int], dict]:
@@ -69,11 +71,19 @@ def _any(conditions: list[Column]) -> Column:
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(column, q, value)`` with linear interpolation between neighbouring ranks; missing ignored.
 
-    ``df`` is read three times and should be a table or a written view. A column without values
-    gets NULLs.
+    Each column is read three times, so ``df`` should be a table or a written view. A column
+    without values gets NULLs. Many columns are handled a few at a time: every part reads its own
+    columns only, and plans stay small.
     """
+    size = max(1, RANGES_PER_PLAN // max(1, len(probs)))
+    found = _brackets(df, columns, probs)
+    parts = [_quantiles(df, columns[i:i + size], probs, found) for i in range(0, len(columns), size)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], found: dict) -> DataFrame:
     spark = df.sparkSession
-    wanted = _brackets(df, columns, probs)
+    wanted = {key: bracket for key, bracket in found.items() if key[0] in columns}
     everything = spark.createDataFrame(
         [(c, q, float(p)) for c in columns for q, p in enumerate(probs)], "column string, qi int, q double"
     )
