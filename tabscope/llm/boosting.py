@@ -26,7 +26,7 @@ class Tree:
 
 
 class Boosted:
-    def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.2, least: float = 5.0):
+    def __init__(self, trees: int = 50, depth: int = 5, rate: float = 0.25, least: float = 5.0):
         self.trees, self.depth, self.rate, self.least = trees, depth, rate, least
         self.edges: list[np.ndarray] = []
         self.fitted: list[Tree] = []

@@ -29,8 +29,8 @@ from tabscope.llm.boosting import Boosted
 from tabscope.llm.dom import Page
 from tabscope.llm.rows import with_columns_from
 
-TRAIN_PAGES = 300  # sampled pages, about
-LAYOUTS = 4  # training pages made of each
+TRAIN_PAGES = 250  # sampled pages, about
+LAYOUTS = 5  # training pages made of each
 # fixed values: roots of attribute words, each a feature
 ROOTS = (
     "nav menu breadcrumb head foot side aside widget relat recommend ad ads banner sponsor promo cookie consent notice alert popup modal "
@@ -82,7 +82,7 @@ def features(page: Page) -> np.ndarray:
     plain = np.stack([
         np.log1p(chars), np.log1p(words), stops / np.maximum(words, 1), links / np.maximum(chars, 1), chars / blocks, chars / total,
         np.log1p(blocks), paragraphs, depth, order, siblings, order / np.maximum(siblings, 1), start, children.astype(float),
-        chars[up] / total, links[up] / np.maximum(chars[up], 1), chars / np.maximum(chars[up], 1), np.arange(n) / n, words / np.maximum(blocks, 1),
+        paragraphs[up], paragraphs[up] / blocks[up], np.log1p(chars[up]), chars[up] / total, links[up] / np.maximum(chars[up], 1), chars / np.maximum(chars[up], 1), np.arange(n) / n, words / np.maximum(blocks, 1),
     ], axis=1)
     return np.concatenate([plain, over, within, above], axis=1).astype(np.float32)
 
@@ -167,22 +167,40 @@ class Layout:
         tag, attribute = rng.choice(_MAIN)
         attribute = f'class="{rng.choice(_NEUTRAL)}"' if attribute is None else attribute
         out = []
-        for i, text in enumerate(self.good):
+        inserts = rng.choice([0.0, 0.0, 0.05])
+        for i, text in enumerate(self.pieces()):
             marked = self.marked(text)
             inside = self.inline(marked) if rng.random() < 0.3 else marked
-            block = "h1" if i == 0 and rng.random() < 0.7 else rng.choice(["p"] * 14 + ["h2", "blockquote", "pre", "div", "li"])
-            out.append(f"<ul><li>{inside}</li></ul>" if block == "li" else f"<{block}>{inside}" + ("" if block == "p" and rng.random() < 0.1 else f"</{block}>"))
-            if rng.random() < 0.04:
+            block = "h1" if i == 0 and rng.random() < 0.7 else rng.choice(["p"] * 16 + ["h2", "blockquote", "pre", "div", "li", ""])
+            if block == "li":
+                out.append(f"<ul><li>{inside}</li></ul>")
+            elif not block:
+                out.append(inside)
+            else:
+                out.append(f"<{block}>{inside}" + ("" if block == "p" and rng.random() < 0.1 else f"</{block}>"))
+            if rng.random() < inserts:
                 out.append(self.boiler())
-        if rng.random() < 0.2:
+        if rng.random() < 0.15:
             out.insert(0, f"<header>{out.pop(0)}</header>")
-        if rng.random() < 0.1:
+        if rng.random() < 0.05:
             out = ["<br>".join(self.marked(t) for t in self.good)]
         inner = "".join(out)
         if tag == "td":
-            return f"<table><tr><td>{self.links()}</td><td {attribute}>{inner}</td></tr></table>"
+            return f"<table><tr><td><ul>{self.links()}</ul></td><td {attribute}>{inner}</td></tr></table>"
         return f"<{tag} {attribute}>{inner}</{tag}>"
 
+    def pieces(self) -> list[str]:
+        """The article's words, cut anew: article paragraphs may be of any length."""
+        rng = self.rng
+        words = " ".join(self.good).split()[: rng.choice([8, 30, 120, 400, 800])]
+        low, high = rng.choice([(1, 12), (4, 30), (15, 80), (1, 80)])
+        out, at = [], 0
+        while at < len(words):
+            n = rng.randint(low, high)
+            out.append(" ".join(words[at : at + n]))
+            at += n
+        return out
+
     def marked(self, text: str) -> str:
         return self.MARK + html.escape(text)
 
@@ -205,7 +223,7 @@ class Layout:
         source = self.rng.choice(self.rest if self.rng.random() < 0.5 else self.good)
         words = source.split()
         at = self.rng.randrange(len(words)) if words else 0
-        return html.escape(" ".join(words[at : at + self.rng.randint(5, 45)]))
+        return html.escape(" ".join(words[at : at + self.rng.choice([3, 8, 20, 45, 90])]))
 
     def links(self, n: int | None = None) -> str:
         return "".join(f'<li><a href="/{k}">{self.short()}</a></li>' for k in range(n or self.rng.randint(2, 9)))
