@@ -1,9 +1,10 @@
 """Language-model scores: exact add-one unigrams, and a bigram model in a log-frequency Bloom filter.
 
-One pass turns every shard of texts into numbers of its own words and writes, in the shared folder,
-the numbered texts, the shard's distinct words with their training counts, and the counts of its
-training bigrams by block of hash values. Word counts are joined to the shards' word lists (not to
-tokens); blocks of bigrams are summed, quantised and set into their part of the filter.
+One pass turns every shard of texts into one row: its numbered words, its list of distinct words and
+their training counts, packed. From these rows come, by block of hash values, the shards' word lists
+(summed over the shards and sent back as counts by word number) and the shards' training bigrams
+(summed, quantised, and set into their part of the filter). Tokens themselves are never shuffled
+one by one, and a frequent word or bigram is one entry per shard.
 
 Edge cases: null and empty texts are the end token alone; without training documents every score is
 log10(1) = 0; a null doc_id counts as the empty id and is training; repeated rows count as rows.
@@ -25,10 +26,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tabscope.llm.folds import held_out
 from tabscope.llm.rows import shards
 from tabscope.llm.words import NOT_SPACE, Words, mixed
-from tabscope.scratch import materialize, new_path
+from tabscope.scratch import materialize
 
-SHARD = 8 << 20  # bytes of text that share one word list
-BLOCK_BYTES = 2 << 20  # bytes of text for each block of the filter
+SHARD = 4 << 20  # bytes of text that share one word list
+BLOCK_WORDS = 1 << 19  # words of text for each block of hash values
 BITS_PER_ENTRY = 8
 MAX_FILTER_BITS = 1 << 31  # the broadcast's bound, 256 MB: beyond it an entry gets fewer bits
 PRIOR = 40.0  # weight of the unigram probability against the counts after a word
@@ -53,12 +54,12 @@ class LogBloom:
         self.first_bits, self.sizes, self.bits = first_bits, sizes, bits
 
     @staticmethod
-    def places(hashes: np.ndarray, level: int, probe: int, sizes: np.ndarray) -> np.ndarray:
-        mix = mixed(hashes ^ np.uint64((level << 32) + probe * 0x632BE5AB + 1))
+    def places(rests: np.ndarray, level: int, probe: int, sizes: np.ndarray) -> np.ndarray:
+        mix = mixed(rests.astype(np.uint64) ^ np.uint64((level << 40) + (probe + 1 << 32)))
         return (mix % sizes.astype(np.uint64)).astype(np.int64)
 
     @classmethod
-    def block(cls, hashes: np.ndarray, counts: np.ndarray, bits_per_entry: float) -> tuple[int, bytes]:
+    def block(cls, rests: np.ndarray, counts: np.ndarray, bits_per_entry: float) -> tuple[int, bytes]:
         """Bits of one block from its n-grams: (number of bits, bytes)."""
         q = levels(counts)
         size = max(64, int(q.sum() * bits_per_entry))
@@ -66,7 +67,7 @@ class LogBloom:
         held = np.zeros(size, np.uint8)
         sizes = np.array([size])
         for level in range(1, int(q.max(initial=0)) + 1):
-            mine = hashes[q >= level]
+            mine = rests[q >= level]
             for probe in range(_PROBES):
                 held[cls.places(mine, level, probe, sizes)] = 1
         return size, np.packbits(held, bitorder="little").tobytes()
@@ -84,12 +85,13 @@ class LogBloom:
         estimate = np.zeros(len(hashes))
         active = np.arange(len(hashes))
         blocks = block_of(hashes, len(self.sizes))
+        rests = rest_of(hashes, len(self.sizes))
         active = active[self.sizes[blocks] > 0]
         level = 1
         while len(active):
             for probe in range(_PROBES):
                 block = blocks[active]
-                at = self.first_bits[block] + self.places(hashes[active], level, probe, self.sizes[block])
+                at = self.first_bits[block] + self.places(rests[active], level, probe, self.sizes[block])
                 active = active[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             estimate[active] = (2.0 ** (level - 1) + 2.0**level - 1) / 2
             level += 1
@@ -101,54 +103,134 @@ def block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
     return (hashes >> np.uint64(65 - blocks.bit_length())).astype(np.int64) if blocks > 1 else np.zeros(len(hashes), np.int64)
 
 
-def numbered(docs: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, words, grams) from doc_id, held_out, text; see the module's text. Written once, by kind."""
-    spark = docs.sparkSession
-    id_type = docs.schema["doc_id"].dataType
+def packed(values: np.ndarray) -> bytes:
+    """An integer array as bytes: equal bytes of all values together, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return _squeezed(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(_whole(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(data, asbytes=True) if data else b"")
+
+
+def _whole(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd", 1).decompress(data[8:], size, asbytes=True) if size else b""
+
+
+def rest_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """The 32 bits of a hash after those that name its block."""
+    return ((hashes << np.uint64(blocks.bit_length() - 1)) >> np.uint64(32)).astype(np.uint32)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """One row per shard from doc_id, held_out, text: ids, folds, text sizes, word numbers, words, training counts."""
     schema = T.StructType([
-        T.StructField("kind", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("doc_id", id_type),
-        T.StructField("held_out", T.BooleanType()), T.StructField("word", T.BinaryType()), T.StructField("number", T.IntegerType()),
-        T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("more", T.BinaryType()),
+        T.StructField("shard", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)),
+        T.StructField("folds", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())),
+        T.StructField("numbers", T.BinaryType()), T.StructField("names", T.BinaryType()), T.StructField("counts", T.BinaryType()),
     ])
     arrow = to_arrow_schema(schema)
 
-    def rows(size: int, **columns) -> pa.RecordBatch:
-        made = {f.name: pa.nulls(size, f.type) for f in arrow}
-        for name, values in columns.items():
-            made[name] = values if isinstance(values, pa.Array) else pa.array(values, arrow.field(name).type)
-        return pa.RecordBatch.from_arrays([made[f.name] for f in arrow], schema=arrow)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts, out = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            texts, folds = batch.column(2).to_pylist(), batch.column(1).to_pylist()
             for start, stop in shards(texts, SHARD):
                 known: dict[bytes, int] = {}
                 ids = [[known.setdefault(w, len(known)) for w in (t or b"").lower().split()] for t in texts[start:stop]]
-                arrays = [np.array(x, np.int32) for x in ids]
-                mine = [a for a, h in zip(arrays, out[start:stop]) if not h]
-                names = list(known)
-                counts = np.bincount(np.concatenate([*mine, np.empty(0, np.int32)]), minlength=len(names))
-                yield rows(stop - start, kind=["text"] * (stop - start), shard=[shard] * (stop - start), doc_id=batch.column(0).slice(start, stop - start),
-                           held_out=batch.column(1).slice(start, stop - start), data=[a.tobytes() for a in arrays])
-                if names:
-                    yield rows(len(names), kind=["word"] * len(names), shard=[shard] * len(names), word=names, number=list(range(len(names))), n=counts)
-                if mine:
-                    grams, n = np.unique(bigrams(mine, word_hashes(names)), return_counts=True)
-                    edge = np.searchsorted(block_of(grams, blocks), np.arange(blocks + 1))
-                    full = [b for b in range(blocks) if edge[b] < edge[b + 1]]
-                    yield rows(len(full), kind=["gram"] * len(full), number=full, data=[grams[edge[b] : edge[b + 1]].tobytes() for b in full],
-                               more=[n[edge[b] : edge[b + 1]].astype(np.uint32).tobytes() for b in full])
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                stream = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+                training = np.repeat(~np.array(folds[start:stop], bool), sizes)
+                counts = np.bincount(stream[training], minlength=len(known)).astype(np.uint32)
+                one = pa.array([0, stop - start], pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shard], pa.int64()), pa.ListArray.from_arrays(one, batch.column(0).slice(start, stop - start)),
+                    pa.array([folds[start:stop]], arrow.field("folds").type), pa.array([sizes], arrow.field("sizes").type),
+                    pa.array([packed(stream)], pa.binary()), pa.array([_squeezed(b" ".join(known))], pa.binary()), pa.array([packed(counts)], pa.binary()),
+                ], schema=arrow)
                 shard += 1
 
-    path = new_path(spark, "lm-numbered")
-    docs.select("doc_id", "held_out", F.col("text").cast("binary")).mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
-    written = spark.read.schema(T.StructType([*schema.fields[1:], schema.fields[0]])).parquet(path)
-    return (
-        written.filter("kind = 'text'").select("shard", "doc_id", "held_out", "data"),
-        written.filter("kind = 'word'").select("shard", "word", "number", "n"),
-        written.filter("kind = 'gram'").select("number", "data", "more"),
-    )
+    rows = docs.select("doc_id", "held_out", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return materialize(rows, "lm-numbered")
+
+
+def _rows(table: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    for i in range(table.num_rows):
+        yield {n: table.column(k)[i].as_py() for k, n in enumerate(table.schema.names)}
+
+
+def _by_block(blocks_of: np.ndarray, blocks: int) -> list[tuple[int, slice]]:
+    """(block, places) of an array sorted by block."""
+    edge = np.searchsorted(blocks_of, np.arange(blocks + 1))
+    return [(b, slice(edge[b], edge[b + 1])) for b in np.flatnonzero(edge[1:] > edge[:-1])]
+
+
+def word_counts(texts: DataFrame, blocks: int) -> DataFrame:
+    """(words_of, numbers, counts, fresh): a shard's training counts over all shards, by word number.
+
+    Words meet by block of their hash. ``fresh`` is the number of distinct training words of a block,
+    told once.
+    """
+    sent = "block int, words_of long, names binary, numbers binary, counts binary"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                names = _whole(row["names"]).split()
+                counts = unpacked(row["counts"], np.uint32)
+                of = block_of(word_hashes(names)[:-1], blocks)
+                order = np.argsort(of, kind="stable").astype(np.uint32)
+                parts = _by_block(of[order], blocks)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([b for b, _ in parts], pa.int32()), pa.array([row["shard"]] * len(parts), pa.int64()),
+                    pa.array([_squeezed(b" ".join([names[i] for i in order[at]])) for _, at in parts], pa.binary()),
+                    pa.array([packed(order[at]) for _, at in parts], pa.binary()), pa.array([packed(counts[order[at]]) for _, at in parts], pa.binary()),
+                ], names=["block", "words_of", "names", "numbers", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = {}
+        places = []
+        for row in _rows(table.select(["names", "counts"])):
+            names = _whole(row["names"]).split()
+            for name, n in zip(names, unpacked(row["counts"], np.uint32).tolist()):
+                total[name] = total.get(name, 0) + n
+            places.append(names)
+        back = [packed(np.fromiter((total[n] for n in names), np.int64, len(names))) for names in places]
+        fresh = [sum(n > 0 for n in total.values())] + [0] * (len(back) - 1)
+        return pa.table({"words_of": table["words_of"], "numbers": table["numbers"], "counts": pa.array(back, pa.binary()), "fresh": pa.array(fresh, pa.int64())})
+
+    rows = texts.select("shard", "names", "counts").mapInArrow(send, sent)
+    return materialize(rows.groupBy("block").applyInArrow(add, "words_of long, numbers binary, counts binary, fresh long"), "lm-counts")
+
+
+def training_bigrams(texts: DataFrame, blocks: int) -> DataFrame:
+    """(block, data, more): distinct training bigrams of a shard by block, as 32-bit rests of their
+    hashes; ``more`` has the counts above one of the last of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                arrays = np.split(unpacked(row["numbers"], np.uint32), np.cumsum(row["sizes"])[:-1])
+                mine = [a for a, held in zip(arrays, row["folds"]) if not held]
+                if not mine:
+                    continue
+                grams, n = np.unique(bigrams(mine, word_hashes(_whole(row["names"]).split())), return_counts=True)
+                parts = _by_block(block_of(grams, blocks), blocks)
+                data, more = [], []
+                for _, at in parts:
+                    order = np.argsort(n[at] > 1, kind="stable")
+                    data.append(rest_of(grams[at], blocks)[order].tobytes())
+                    more.append(n[at][order][n[at][order] > 1].astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b for b, _ in parts], pa.int32()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], names=["block", "data", "more"])
+
+    return texts.select("folds", "sizes", "numbers", "names").mapInArrow(run, "block int, data binary, more binary")
 
 
 def word_hashes(names: list[bytes]) -> np.ndarray:
@@ -158,8 +240,8 @@ def word_hashes(names: list[bytes]) -> np.ndarray:
 
 def with_ends(texts: list[np.ndarray], end: int) -> np.ndarray:
     """All texts in a row, an end token after each."""
-    tail = np.array([end], np.int32)
-    return np.concatenate([x for t in texts for x in (t, tail)]) if texts else np.empty(0, np.int32)
+    tail = np.array([end], np.int64)
+    return np.concatenate([x for t in texts for x in (t, tail)]).astype(np.int64) if texts else np.empty(0, np.int64)
 
 
 def bigrams(texts: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
@@ -173,44 +255,57 @@ def build_filter(grams: DataFrame, blocks: int, tokens: int) -> LogBloom:
     per_entry = min(BITS_PER_ENTRY, MAX_FILTER_BITS / max(tokens, 1))
 
     def run(table: pa.Table) -> pa.Table:
-        hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["data"]])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["more"]])
-        grams, at = np.unique(hashes, return_inverse=True)
-        size, bits = LogBloom.block(grams, np.bincount(at, weights=counts).astype(np.int64), per_entry)
-        return pa.table({"number": pa.array([table["number"][0].as_py()], pa.int32()), "size": pa.array([size], pa.int64()), "bits": pa.array([bits], pa.binary())})
+        rests = [np.frombuffer(x.as_py(), np.uint32) for x in table["data"]]
+        counts = []
+        for rest, more in zip(rests, table["more"]):
+            n = np.ones(len(rest), np.int64)
+            high = np.frombuffer(more.as_py(), np.uint32)
+            n[len(n) - len(high) :] = high
+            counts.append(n)
+        grams, at = np.unique(np.concatenate(rests), return_inverse=True)
+        size, bits = LogBloom.block(grams, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64), per_entry)
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "size": pa.array([size], pa.int64()), "bits": pa.array([bits], pa.binary())})
 
-    made = grams.groupBy("number").applyInArrow(run, "number int, size long, bits binary")
-    return LogBloom.of([(r["number"], r["size"], bytes(r["bits"])) for r in made.collect()], blocks)
+    made = grams.groupBy("block").applyInArrow(run, "block int, size long, bits binary")
+    return LogBloom.of([(r["block"], r["size"], bytes(r["bits"])) for r in made.collect()], blocks)
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id, 7, 2).alias("held_out"), F.col(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")), F.sum(F.when(~F.col("held_out"), 1))).first()
-    blocks = 1 << max(0, (int(size[0] or 0) // BLOCK_BYTES).bit_length())
-    texts, words, grams = numbered(rows, blocks)
-    counted = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
-    totals = counted.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1))).first()
-    ends = int(size[1] or 0)
-    tokens, kinds = int(totals[0] or 0) + ends, int(totals[1] or 0) + (ends > 0)
-    model = spark.sparkContext.broadcast(build_filter(grams, blocks, tokens))
-    known = words.join(counted, "word").select(F.col("shard").alias("words_of"), "number", "word", "c")
-    id_type = docs.schema[doc_id].dataType
+    texts = numbered(rows)
+    facts = texts.agg(
+        F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)).alias("words"),
+        F.sum(F.aggregate(F.zip_with("folds", "sizes", lambda h, n: F.when(h, F.lit(0).cast("long")).otherwise(n)), F.lit(0).cast("long"), lambda s, x: s + x)).alias("training"),
+        F.sum(F.size(F.filter("folds", lambda h: ~h))).alias("ends"),
+    ).first()
+    blocks = 1 << max(0, (int(facts["words"] or 0) // BLOCK_WORDS).bit_length())
+    ends = int(facts["ends"] or 0)
+    tokens = int(facts["training"] or 0) + ends
+    known = word_counts(texts, blocks)
+    kinds = int(known.agg(F.sum("fresh")).first()[0] or 0) + (ends > 0)
+    model = spark.sparkContext.broadcast(build_filter(training_bigrams(texts, blocks), blocks, tokens))
     schema = T.StructType([
-        T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
+        T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
     arrow = to_arrow_schema(schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right["number"].to_numpy())
-        counts = np.append(right["c"].to_numpy()[order], ends).astype(np.float64)
-        names = right["word"].take(pa.array(order)).to_pylist()
-        arrays = [np.frombuffer(x.as_py(), np.int32) for x in left["data"]]
-        made = score_texts(arrays, names, counts, tokens, kinds, model.value)
-        columns = [left["doc_id"], left["held_out"], made["n_tokens"], made["n_known"], np.full(len(arrays), tokens, np.int64), made["base"], made["score"]]
+        parts = []
+        for row in _rows(left.select(["sizes", "numbers", "names"])):
+            names = _whole(row["names"]).split()
+            counts = np.zeros(len(names) + 1)
+            counts[-1] = ends
+            for back in _rows(right.select(["numbers", "counts"])):
+                counts[unpacked(back["numbers"], np.uint32)] = unpacked(back["counts"], np.int64)
+            arrays = np.split(unpacked(row["numbers"], np.uint32), np.cumsum(row["sizes"])[:-1])
+            parts.append(score_texts(arrays, names, counts, tokens, kinds, model.value))
+        made = pd.concat(parts)
+        ids, folds = pa.chunked_array([c.flatten() for c in left["ids"].chunks]), pa.chunked_array([c.flatten() for c in left["folds"].chunks])
+        columns = [ids, folds, made["n_tokens"], made["n_known"], np.full(len(made), tokens, np.int64), made["base"], made["score"]]
         return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], schema=arrow)
 
     return texts.groupBy("shard").cogroup(known.groupBy("words_of")).applyInArrow(run, schema)
