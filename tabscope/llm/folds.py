@@ -2,26 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0) -> F.Column:
+def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
     """crc32 of the id as text, modulo ``folds``, is ``fold``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+
+
+def _wanted(sizes: DataFrame, label: str, bytes_per_label: int, max_labels: int) -> Column:
+    """Share to take of each label, from rows of (label, size)."""
+    sums = sizes.filter(F.col(label).isNotNull()).groupBy(label).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    wanted = F.lit(0.0)
+    for row in sums.orderBy(F.desc("n"), label).limit(max_labels).collect():
+        share = min(1.0, bytes_per_label / max(row["size"], 1))
+        wanted = F.when(F.col(label) == F.lit(row[label]), F.lit(share)).otherwise(wanted)
+    return wanted
+
+
+def _size(text: str) -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 64).cast("long").alias("size")  # 64: a row is never free
+
+
 def bounded_sample(rows: DataFrame, label: str, text: str, bytes_per_label: int, max_labels: int, key: str = "doc_id") -> DataFrame:
     """Rows of ``rows`` picked by a hash of ``key``: about ``bytes_per_label`` bytes of text for each label.
 
     At most the ``max_labels`` most frequent labels are sampled, so the result is bounded by the two
     parameters however large the table is. The expected bytes of a label are min(all, the bound).
     """
-    sizes = rows.groupBy(label).agg(F.sum(F.octet_length(text)).alias("size"), F.count("*").alias("n"))
-    sizes = sizes.filter(F.col(label).isNotNull()).orderBy(F.desc("n"), label).limit(max_labels).collect()
-    wanted = F.lit(0.0)
-    for row in sizes:
-        share = min(1.0, bytes_per_label / max(row["size"] or 1, 1))
-        wanted = F.when(F.col(label) == F.lit(row[label]), F.lit(share)).otherwise(wanted)
-    place = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.filter(F.col(label).isNotNull() & (place < wanted))
+    wanted = _wanted(rows.select(label, _size(text)), label, bytes_per_label, max_labels)
+    return rows.filter(F.col(label).isNotNull() & (_place(key) < wanted))
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, text: str, bytes_per_label: int, max_labels: int, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(sample, sized): like ``bounded_sample`` when the labels are a table of (key, label).
+
+    Only keys and sizes meet the labels in a shuffle (``sized``). The picked keys, at most one for
+    64 bytes of the bound, go out to the documents, so no text is moved but that of the sample.
+    """
+    marks = marks.select(key, label).filter(F.col(label).isNotNull()).distinct()
+    sized = docs.select(key, _size(text)).join(marks, key)
+    picked = marks.filter(_place(key) < _wanted(sized.select(label, "size"), label, bytes_per_label, max_labels))
+    return docs.join(F.broadcast(picked), key), sized

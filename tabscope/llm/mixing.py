@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.folds import bounded_sample
+from tabscope.llm.folds import labelled_sample
 from tabscope.llm.rows import without
 from tabscope.scratch import materialize
 
@@ -52,9 +52,8 @@ def bucket(word: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, train_bytes: int = TRAIN_BYTES) -> tuple[list[float], list[list[float]]]:
     """(log prior by domain, log-probability by domain and bucket), counted in Spark; BUCKETS x domains numbers come back."""
     marks = labels.select("doc_id", domain_of().alias("domain")).filter("domain is not null")
-    rows = docs.select("doc_id", "text").join(marks, "doc_id")
-    priors = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
-    picked = bounded_sample(rows, "domain", "text", train_bytes, len(DOMAINS))
+    picked, sized = labelled_sample(docs.select("doc_id", "text"), marks, "domain", "text", train_bytes, len(DOMAINS))
+    priors = {r["domain"]: r["count"] for r in sized.groupBy("domain").count().collect()}
     counts = picked.select("domain", F.explode(words(F.col("text"))).alias("word")).groupBy("domain", bucket(F.col("word")).alias("b")).count().collect()
     table = [[0.5] * BUCKETS for _ in DOMAINS]
     for r in counts:
