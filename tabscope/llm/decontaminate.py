@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -221,7 +221,7 @@ def _pass(docs: DataFrame, block, text: str, number: int) -> DataFrame:
     return merged.drop(*fields.names)
 
 
-def merged_spans(name: str, other) -> F.Column:
+def merged_spans(name: str, other) -> Column:
     """Union of two arrays of spans; adjacent and overlapping ones join."""
     both = F.array_sort(F.concat(name, other))
     none = F.array().cast("array<array<bigint>>")
@@ -234,7 +234,7 @@ def merged_spans(name: str, other) -> F.Column:
     return F.aggregate(both, none, add)
 
 
-def is_contaminated() -> F.Column:
+def is_contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 

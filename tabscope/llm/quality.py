@@ -7,7 +7,7 @@ count as rows; an empty table gives no hosts; columns of the output's names are
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,7 @@ def with_facts(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_columns_from(docs, text, FACTS, run)
 
 
-def base_failed() -> F.Column:
+def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
