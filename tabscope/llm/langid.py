@@ -58,9 +58,10 @@ class Stream:
         pad = np.zeros(len(codes), bool)
         pad[((ends - sizes)[:, None] + np.arange(ORDER - 1)).ravel()] = True
         again = ~is_letter & np.concatenate(([False], ~is_letter[:-1])) & ~pad
+        self.letters = np.bincount(text_of[is_letter], minlength=len(texts))
         keep = ~again
+        keep[(ends - 1)[self.letters == 0]] = True
         self.codes, self.text_of, self.pad = codes[keep].astype(np.uint64), text_of[keep], pad[keep]
-        self.letters = np.bincount(text_of[is_letter], minlength=len(texts))
         self.scored = np.flatnonzero(~self.pad)
 
     def hashes(self, order: int) -> np.ndarray:

@@ -103,4 +103,4 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFra
 
 def report(docs: DataFrame) -> DataFrame:
     found = judged(docs.select("doc_id", "source", "text"))
-    return found.select("doc_id", *FACTS.names, "base_failed", "kept", "host_rate", "host_rejected")
+    return found.select("doc_id", *FACTS.names, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"), "host_rejected")

@@ -1,3 +1,124 @@
-"""Reference SQL of this folder's queries, for DuckDB."""
+"""Reference SQL of this folder's queries, for DuckDB. It recounts in its own way what the operators do."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from tabscope.llm import quality, secrets
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents
+), b AS (
+  SELECT row_number() OVER () AS ir, item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM benchmark
+), win AS (
+  SELECT ir, item_id, q, k, ws[q:q + k - 1] AS g
+  FROM (SELECT *, least(13, len(ws)) AS k FROM b WHERE len(ws) > 0), unnest(range(1, len(ws) - k + 2)) AS u(q)
+), dw AS (
+  SELECT r, i, k, ws[i:i + k - 1] AS g
+  FROM (SELECT r, ws, k FROM d, (SELECT DISTINCT k FROM win) WHERE len(ws) >= k), unnest(range(1, len(ws) - k + 2)) AS u(i)
+), hit AS (SELECT dw.r, dw.i, dw.k, win.ir, win.item_id, win.q FROM dw JOIN win USING (k, g)
+), words AS (
+  SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM hit) GROUP BY r
+), items AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY r
+), runs AS (
+  SELECT r, max(n) AS longest FROM (
+    SELECT r, count(*) + any_value(k) - 1 AS n
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY r, ir, i - q ORDER BY i) AS run FROM hit)
+    GROUP BY r, ir, i - q, run) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+       coalesce(longest, 0)::BIGINT AS longest_match
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN runs USING (r)
+"""
+
+QUALITY = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), win AS (
+  SELECT r, i, ws[i:i + 2] AS g FROM d, unnest(range(1, len(ws) - 1)) AS u(i)
+), covered AS (
+  SELECT r, count(DISTINCT j) AS n FROM (
+    SELECT r, unnest([i, i + 1, i + 2]) AS j FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1) GROUP BY r
+), facts AS (
+  SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN covered USING (r)
+), judged AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM facts
+), hosts AS (
+  SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM judged GROUP BY source
+), fit AS (
+  SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2 - (sum(f) / sum(n)) * (1 - sum(f) / sum(n)) * count(*) / sum(n) AS v FROM hosts
+), prior AS (
+  SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 10000 END, 1), 10000) AS s FROM fit
+), rated AS (SELECT source, (f + s * m) / (n + s) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate <= {quality.MAX_HOST_RATE} AS kept, round(rate, 6) AS host_rate, rate > {quality.MAX_HOST_RATE} AS host_rejected
+FROM judged JOIN rated ON judged.source IS NOT DISTINCT FROM rated.source
+"""
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v // {}) % 32 + 1)::BIGINT, 1)"
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS best, sha1(t) AS h FROM p)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(list_transform(range(0, 8), lambda j: ('0x' || substr(h, j * 5 + 1, 5))::BIGINT),
+         lambda v: {' || '.join(_DIGIT.format(32**k) for k in (3, 2, 1, 0))}), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to, CASE WHEN page_id = best THEN true END AS digest_ok
+FROM q
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _kind(number: int, pattern: str, keep: str) -> str:
+    p = _quoted(pattern)
+    return f"""
+  SELECT r, {number} AS kind, hits[k] AS found, (list_sum(list_transform(gaps[1:k], lambda x: length(x))) +
+         coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM (SELECT r, regexp_extract_all(t, {p}) AS hits, string_split_regex(t, {p}) AS gaps FROM d), unnest(range(1, len(hits) + 1)) AS u(k)
+  WHERE {keep}"""
+
+
+def _secrets() -> str:
+    allowed = " OR ".join(f"regexp_matches(hits[k], {_quoted(p)})" for p in secrets.ALLOWED)
+    base = " UNION ALL ".join([
+        _kind(0, secrets.ASSIGN, f"length(regexp_extract(hits[k], {_quoted(secrets.ASSIGN)}, 2)) >= {secrets.ASSIGN_LENGTH}"),
+        _kind(1, "AKIA[A-Z0-9]+", "length(hits[k]) >= 18"), _kind(2, "[0-9a-f]+", "length(hits[k]) >= 16"),
+    ])
+    parts = []
+    for k, (_, pattern, window, least) in enumerate(secrets.CLASSES):
+        table = "[" + ", ".join(map(str, secrets._table(window))) + "]"
+        parts.append(f"""
+  SELECT r, {3 + k} AS kind, start + min(i) AS start, start + max(i) + {window} AS stop FROM (
+    SELECT r, start, unnest(range(0, length(found) - {window} + 1)) AS i, found FROM ({_kind(3 + k, pattern, f"NOT ({allowed})")}))
+  WHERE list_sum(list_transform(map_values(list_aggregate(string_split(substr(found, i + 1, {window}), ''), 'histogram')), lambda c: {table}[c::BIGINT + 1]))
+        <= {secrets.entropy_limit(window, least)}
+  GROUP BY r, start, found""")
+    names = "[" + ", ".join(_quoted(n) for n in secrets.KINDS) + "]"
+    listed = f"string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (SELECT r, kind, start, start + length(found) AS stop FROM ({base})),
+dense AS ({' UNION ALL '.join(parts)}),
+more AS (SELECT * FROM dense x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = x.r AND b.start <= x.start AND x.stop <= b.stop)),
+n AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, {listed} AS s FROM base GROUP BY r),
+e AS (SELECT r, count(*) AS n FROM more GROUP BY r),
+every AS (SELECT r, {listed} AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY r)
+SELECT doc_id, coalesce(n.a, 0)::BIGINT AS n_assign, coalesce(n.b, 0)::BIGINT AS n_access, coalesce(n.c, 0)::BIGINT AS n_hex,
+       coalesce(e.n, 0)::BIGINT AS n_entropy, sha256(coalesce(n.s, '')) AS base_sha256, coalesce(every.s, '') AS spans
+FROM d LEFT JOIN n USING (r) LEFT JOIN e USING (r) LEFT JOIN every USING (r)
+"""
+
+
+SQL: dict[str, str] = {"op2_secrets": _secrets(), "op3_decontaminate": DECONTAMINATE, "op6_warc": WARC, "op10_quality": QUALITY}
