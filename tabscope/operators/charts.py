@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tabscope.functions.binning import step_bin
 from tabscope.operators.clean import columns_of_class
@@ -34,9 +33,11 @@ def category_bars(
     """
     categories = columns_of_class(df, "text") if categories is None else list(categories)
     numbers = columns_of_class(df, "number") if numbers is None else list(numbers)
-    # a sketch rules out the columns that are far over the limit before anything is grouped by them
-    sketch = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categories]).first()
-    kept = [c for c in categories if sketch[c] < 4 * below]
+    # distinct values are counted exactly, in one pass for all columns
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).cast("string").alias("value")) for c in categories])).alias("p")
+    sizes = df.select(each).select("p.category", "p.value").filter(F.col("value").isNotNull()).distinct().groupBy("category").count()
+    few = {r["category"] for r in sizes.filter(F.col("count") < below).collect()} if categories else set()
+    kept = [c for c in categories if c in few]
     if not kept:
         return df.sparkSession.createDataFrame(
             [], "category string, value string, number string, n bigint, mean double, low double, high double"
@@ -51,9 +52,6 @@ def category_bars(
         .filter(F.col("p.value").isNotNull())
         .groupBy(F.col("p.category").alias("category"), F.col("p.value").alias("value"))
         .agg(*stats)
-        # the group sizes here are category values, a few dozen per category at most
-        .withColumn("values", F.count("*").over(Window.partitionBy("category")))
-        .filter(F.col("values") < below)
     )
     half = Z_95 * F.col("s") / F.sqrt(F.col("n"))
     return grouped.select("category", "value", F.inline(F.array(*numbers))).select(
@@ -95,6 +93,19 @@ def _count_bins(df: DataFrame, bins: Mapping[str, Column]) -> DataFrame:
     )
 
 
+def _even_bin(column: str, lo: float, hi: float, bins: int) -> Column:
+    """Bin between the edges lo + i * width; the quotient proposes one, the edges decide."""
+    x, width = F.col(column).cast("double"), (hi - lo) / bins
+    # least() skips NULLs, so missing values have to stay out explicitly
+    guess = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)))
+
+    def edge(i: Column) -> Column:
+        return F.lit(lo) + i.cast("double") * F.lit(width)
+
+    up = (guess < bins - 1) & (x >= edge(guess + 1))
+    return F.when((guess > 0) & (x < edge(guess)), guess - 1).when(up, guess + 1).otherwise(guess)
+
+
 _HISTOGRAM = "column string, bin int, left double, right double, n bigint"
 
 
@@ -111,9 +122,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
         edges[c] = (lo, (hi - lo) / bins, bins)
-        # least() skips NULLs, so missing values have to stay out explicitly
-        place = F.least(F.floor((F.col(c) - lo) / F.lit(hi - lo) * bins), F.lit(bins - 1))
-        index[c] = F.when(F.col(c).isNotNull(), place)
+        index[c] = _even_bin(c, lo, hi, bins)
     return _densify(df, _count_bins(df, index), edges)
 
 

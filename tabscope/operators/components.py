@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.scratch import materialize
+from tabscope.scratch import remove, written
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -21,18 +21,21 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     a minimum per node is aggregated, so a node with very many edges is no special case.
     """
     hi, lo = F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")
-    now = materialize(edges.select(hi, lo).filter("hi <> lo").distinct(), "edges")
+    spark = edges.sparkSession
+    now, path = written(edges.select(hi, lo).filter("hi <> lo").distinct(), "edges")
     seen = _fingerprint(now)
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(smallest, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = materialize(large.filter("hi <> lo").distinct(), "edges")
+        large, between = written(large.filter("hi <> lo").distinct(), "edges")
+        remove(spark, path)
 
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         linked = large.join(root, "hi")
         small = linked.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(root.select("hi", F.col("m").alias("lo")))
-        now = materialize(small.filter("hi <> lo").distinct(), "edges")
+        now, path = written(small.filter("hi <> lo").distinct(), "edges")
+        remove(spark, between)
         after = _fingerprint(now)
         if after == seen:
             break

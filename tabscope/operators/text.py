@@ -109,15 +109,17 @@ def term_weights(
         runs = runs.filter(~F.col("a").isin(stop)).withColumn("b", F.when(~F.col("b").isin(stop), F.col("b")))
     # written, because words, pairs and the total all come from it: the texts are read once
     together = materialize(runs.groupBy("a", "b").agg(F.count("*").cast("double").alias("n")), "pairs")
-    counts = together.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"))
+    counts = materialize(together.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")), "words")
     pair_counts = together.filter(F.col("b").isNotNull())
     total = F.lit(float(counts.agg(F.sum("n").alias("t")).first()["t"] or 0.0))
 
-    scored = (
+    scored = materialize(
         pair_counts.join(counts.select(F.col("word").alias("a"), F.col("n").alias("na")), "a")
         .join(counts.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
         .withColumn("score", pair_score(F.col("n"), F.col("na"), F.col("nb"), total))
         .filter(F.col("score") > threshold)
+        .select("a", "b", "n"),
+        "scored",
     )
     taken = (
         scored.select(F.explode(F.array("a", "b")).alias("word"), "n")

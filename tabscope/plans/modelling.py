@@ -24,7 +24,6 @@ FOUR = ["edad", "radio_deuda", "uso_de_credito", "num_dependientes"]
 REST = [f for f in FEATURES if f != "ingreso_mensual"]
 EMBEDDING_SIZE = 64
 EMBEDDED = [f"x{i}" for i in range(EMBEDDING_SIZE)]
-SCORED_ROWS = 2000
 
 
 def scaled_credit(spark: SparkSession, folder: str) -> DataFrame:
@@ -294,17 +293,6 @@ def silhouette_squared(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(silhouette.silhouette_squared(materialize(rows, "scored"), FEATURES, "nivel_riesgo"))
 
 
-@query("m14_silhouette_euclidean", with_ctes(
-    "SELECT 'euclidean' AS metric, count(*) AS rows_scored, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM sides",
-    "vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)",
-    f"asked AS (SELECT * FROM vectors ORDER BY md5('1|' || vec_id), vec_id LIMIT {SCORED_ROWS})",
-    "gaps AS (SELECT q.vec_id, q.label AS own, r.label AS k, count(*) AS n, sum(list_distance(q.e, r.e)) AS total FROM asked q, vectors r GROUP BY ALL)",
-    """sides AS (SELECT vec_id, max(total / nullif(n - 1, 0)) FILTER (WHERE k = own) AS a, min(total / n) FILTER (WHERE k <> own) AS b
-        FROM gaps GROUP BY vec_id)"""))
-def silhouette_euclidean(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(silhouette.silhouette_euclidean(embedded(spark, folder), EMBEDDED, "vec_id", "label", sample_size=SCORED_ROWS))
-
-
 @query("m15_accuracy", on_credit("SELECT round(avg(CASE WHEN nivel_riesgo = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM predicted",
                                  *discriminant_ctes(FEATURES, "nivel_riesgo")))
 def accuracy(spark: SparkSession, folder: str) -> DataFrame:

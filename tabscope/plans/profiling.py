@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabscope.operators import charts, clean, profile
 from tabscope.plans import Catalog
-from tabscope.plans.views import FEATURES, on_credit, on_ratings, rating_events, rounded, table, with_ctes, written_profile
+from tabscope.plans.views import FEATURES, on_credit, on_ratings, order_profile, rating_events, rounded, table, with_ctes, written_profile
 from tabscope.scratch import materialize
 
 catalog = Catalog()
@@ -161,7 +161,7 @@ def category_bars(spark: SparkSession, folder: str) -> DataFrame:
 @query("a16_income_by_dependents", on_credit("""SELECT num_dependientes, round(avg(ingreso_mensual), 6) AS ingreso_mensual
 FROM (SELECT CAST(trunc(coalesce(nullif(num_dependientes, 3), 0)) AS INTEGER) AS num_dependientes, ingreso_mensual FROM order_profile) GROUP BY ALL"""))
 def income_by_dependents(spark: SparkSession, folder: str) -> DataFrame:
-    rows = written_profile(spark, folder).withColumn("num_dependientes", F.nullif(F.col("num_dependientes"), F.lit(3)))
+    rows = order_profile(spark, folder).withColumn("num_dependientes", F.nullif(F.col("num_dependientes"), F.lit(3)))
     filled = rows.withColumn("num_dependientes", clean.fill_to_int("num_dependientes"))
     return rounded(filled.groupBy("num_dependientes").agg(F.avg("ingreso_mensual").alias("ingreso_mensual")))
 
@@ -169,8 +169,8 @@ def income_by_dependents(spark: SparkSession, folder: str) -> DataFrame:
 HIST = """SELECT '{c}' AS "column", CAST(i AS INTEGER) AS bin, round(lo + i * ((hi - lo) / {k}), 6) AS "left",
 round(lo + (i + 1) * ((hi - lo) / {k}), 6) AS "right", count(x) AS n
 FROM (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM {t}) e CROSS JOIN range(0, {k}) r(i)
-LEFT JOIN (SELECT {c} AS x, min({c}) OVER () AS a, max({c}) OVER () AS b FROM {t}) v
-  ON i = least(floor((x - CAST(a AS DOUBLE)) / (CAST(b AS DOUBLE) - CAST(a AS DOUBLE)) * {k}), {k} - 1) GROUP BY lo, hi, i"""
+LEFT JOIN (SELECT CAST({c} AS DOUBLE) AS x FROM {t}) v
+  ON x >= lo + i::DOUBLE * ((hi - lo) / {k}) AND (x < lo + (i + 1)::DOUBLE * ((hi - lo) / {k}) OR i = {k} - 1) GROUP BY lo, hi, i"""
 
 
 @query("a17_histogram", on_credit(" UNION ALL ".join(HIST.format(c=c, k=30, t="order_profile") for c in FEATURES)))
@@ -191,7 +191,7 @@ FROM range(0, {k}) r(i) LEFT JOIN order_profile ON {c} >= i::DOUBLE * {w} AND ({
 @query("a18_step_histogram", on_credit(" UNION ALL ".join(
     STEPS.format(c=c, w=f"{float(w)!r}::DOUBLE", k=k) for c, (_, w, k) in charts.CREDIT_STEPS.items())))
 def step_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(charts.step_histogram(written_profile(spark, folder)))
+    return rounded(charts.step_histogram(order_profile(spark, folder)))
 
 
 @query("a19_density_curve", on_credit("""SELECT CAST(i AS INTEGER) AS point, round(lo + i * (hi - lo) / 199, 6) AS x,
@@ -223,4 +223,4 @@ def box_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("a21_class_count", on_credit("""SELECT count(DISTINCT nivel_riesgo) AS classes, count(DISTINCT nivel_riesgo) = 2 AS is_binary FROM order_profile"""))
 def class_count(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.class_count(written_profile(spark, folder), "nivel_riesgo")
+    return profile.class_count(order_profile(spark, folder), "nivel_riesgo")

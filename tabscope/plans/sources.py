@@ -25,7 +25,7 @@ RECORD_SEPARATOR = "\x1e"
 
 def _file(df: DataFrame, **options) -> str:
     path = new_path(df.sparkSession, "file")
-    df.write.options(escape='"', **options).csv(path)
+    df.write.options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options).csv(path)
     return path
 
 
@@ -54,9 +54,22 @@ def pipe_header(spark: SparkSession, folder: str) -> DataFrame:
     return read_pipe(spark, _file(table(spark, folder, "customer"), sep="|", header=True), CUSTOMER)
 
 
-@query("s4_pipe_latin1", r"SELECT doc_id, lang, replace(text, chr(10), ' ') AS text FROM documents")
+@query("s1_csv_missing", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS o_orderpriority
+FROM orders""")
+def csv_missing(spark: SparkSession, folder: str) -> DataFrame:
+    """Missing prices and priorities in several spellings, types inferred."""
+    spelling = F.element_at(F.array(F.lit("NA"), F.lit("null"), F.lit("N/A")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rest = F.col("o_orderkey") % 5
+    rows = table(spark, folder, "orders").select(
+        F.col("o_orderkey"), F.when(rest < 4, F.col("o_totalprice").cast("string")).otherwise(spelling).alias("o_totalprice"),
+        F.when(rest > 0, F.col("o_orderpriority")).otherwise(spelling).alias("o_orderpriority"))
+    return read_csv(spark, _file(rows, header=True)).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+
+
+@query("s4_pipe_latin1", "SELECT doc_id, lang, text FROM documents")
 def pipe_latin1(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "lang", F.translate("text", "\n", " ").alias("text"))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     path = _file(docs, sep="|", header=True, encoding="ISO-8859-1")
     schema = schema_of(doc_id=T.LongType(), lang=T.StringType(), text=T.StringType())
     return read_pipe(spark, path, schema, encoding="ISO-8859-1")

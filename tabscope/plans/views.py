@@ -53,15 +53,9 @@ def order_profile(spark: SparkSession, folder: str) -> DataFrame:
     return renamed.withColumn("nivel_riesgo", risk_tier(threshold=TIER_THRESHOLD))
 
 
-_written: dict[tuple[str, str], DataFrame] = {}
-
-
 def written_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """``order_profile`` written once per session, for the work that reads it several times."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _written:
-        _written[key] = materialize(order_profile(spark, folder), "order-profile")
-    return _written[key]
+    """``order_profile`` written anew, for the work that reads it several times."""
+    return materialize(order_profile(spark, folder), "order-profile")
 
 
 def rating_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,7 +29,20 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once and return a reader of the written table (no inference job)."""
+    return written(df, tag)[0]
+
+
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Like ``materialize``, with the path, for a table that is removed when it has been used."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, on whatever file system it is."""
+    if "/tabscope/" not in path:
+        raise ValueError(f"not a scratch table: {path}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,7 +1,8 @@
 """Delimited and text readers, and the result sink.
 
 Every reader takes a schema: inference costs a whole extra pass. ``read_csv`` falls back to
-inference when none is given, because the inputs may be unknown to the caller.
+inference (whole numbers, decimals, truth values, text) when none is given, because the inputs may
+be unknown to the caller.
 """
 
 from __future__ import annotations
@@ -15,38 +16,62 @@ from pyspark.sql import types as T
 from tabscope.functions.scalars import nan_to_null
 
 
+# Spellings of a missing value in delimited files.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
+           "n/a", "nan", "null")
+_INFERRED = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
 def _delimited(
-    spark: SparkSession, path: str, schema: T.StructType | None, sep: str, header: bool, encoding: str
+    spark: SparkSession, path: str, schema: T.StructType | None, sep: str, header: bool, encoding: str, multi_line: bool, missing: Sequence[str]
 ) -> DataFrame:
+    """Text columns first; missing spellings become NULL before any type is looked at.
+
+    ``multi_line`` lets quoted values hold line breaks; such a file is read by one task. Files known
+    to have a record per line may set it to False and are split.
+    """
     # a doubled quote inside a quoted field is a quote
-    reader = spark.read.options(sep=sep, header=header, encoding=encoding, escape='"')
-    if schema is None:
-        return nan_to_null(reader.option("inferSchema", True).csv(path))
-    if not header:
-        return nan_to_null(reader.schema(schema).csv(path))
-    # Columns are matched by header name, so the file's column order does not matter; a value
-    # that does not parse becomes NULL, as in the positional reader.
+    reader = spark.read.options(sep=sep, header=header, encoding=encoding, escape='"', multiLine=multi_line)
+    if schema is not None and not header:
+        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema]))
     raw = reader.csv(path)
+    raw = raw.select(*[F.when(~F.col(f"`{c}`").isin(*missing), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    if schema is None:
+        schema = _inferred(raw)
+    # Columns are matched by name, so the file's column order does not matter under a header; a
+    # value that does not parse becomes NULL.
     return nan_to_null(raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema]))
 
 
+def _inferred(raw: DataFrame) -> T.StructType:
+    """The first of ``_INFERRED`` that every value of a column parses as, else text: one pass."""
+    held = {c: F.col(f"`{c}`") for c in raw.columns}
+    row = raw.agg(*[
+        F.count(F.when(x.isNotNull() & x.try_cast(kind).isNull(), 1)).alias(f"{i} {kind}")
+        for i, x in enumerate(held.values()) for kind in _INFERRED
+    ]).first()
+    kinds = [next((t for k, t in _INFERRED.items() if row[f"{i} {k}"] == 0), T.StringType()) for i in range(len(held))]
+    return T.StructType([T.StructField(c, t) for c, t in zip(held, kinds)])
+
+
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True, multi_line: bool = True, missing: Sequence[str] = MISSING
 ) -> DataFrame:
     """Comma-separated file; types are inferred only when no schema is given."""
-    return _delimited(spark, path, schema, ",", header, "UTF-8")
+    return _delimited(spark, path, schema, ",", header, "UTF-8", multi_line, missing)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True, missing: Sequence[str] = MISSING) -> DataFrame:
     """Tab-separated file without a header; the schema supplies the names."""
-    return _delimited(spark, path, schema, "\t", False, "UTF-8")
+    return _delimited(spark, path, schema, "\t", False, "UTF-8", multi_line, missing)
 
 
 def read_pipe(
-    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, encoding: str = "UTF-8"
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, encoding: str = "UTF-8", multi_line: bool = True,
+    missing: Sequence[str] = MISSING,
 ) -> DataFrame:
     """Pipe-separated file; ``encoding='ISO-8859-1'`` for Latin-1, ``header`` as the file has it."""
-    return _delimited(spark, path, schema, "|", header, encoding)
+    return _delimited(spark, path, schema, "|", header, encoding, multi_line, missing)
 
 
 def read_named_columns(
@@ -56,9 +81,11 @@ def read_named_columns(
     columns: Sequence[str],
     sep: str = "|",
     encoding: str = "ISO-8859-1",
+    multi_line: bool = True,
+    missing: Sequence[str] = MISSING,
 ) -> DataFrame:
     """Headerless file with supplied names, keeping some columns; the parser skips the others."""
-    return _delimited(spark, path, schema, sep, False, encoding).select(*columns)
+    return _delimited(spark, path, schema, sep, False, encoding, multi_line, missing).select(*columns)
 
 
 def read_documents(spark: SparkSession, path: str, record_sep: str | None = None) -> DataFrame:

@@ -215,18 +215,8 @@ def test_silhouettes(spark, blobs):
     y = np.where(np.arange(len(y)) == 180, 3, y)  # a cluster of one
     df, d = frame(spark, x, cluster=y), distances(x)
     assert silhouette.silhouette_squared(df, names(x)).first()["silhouette"] == pytest.approx(brute_silhouette(d**2, y))
-    whole = silhouette.silhouette_euclidean(df, names(x), "id").first()
-    assert whole["silhouette"] == pytest.approx(brute_silhouette(d, y)) and whole["rows_scored"] == len(x)
-    assert silhouette.silhouette_euclidean(df, names(x), "id", sample_size=50).first()["rows_scored"] == 50
     single = df.withColumn("cluster", F.lit(0))
     assert silhouette.silhouette_squared(single, names(x)).first()["silhouette"] is None
-    assert silhouette.silhouette_euclidean(single, names(x), "id").first()["silhouette"] is None
-
-
-def test_euclidean_silhouette_refuses_unbounded_tables(spark, blobs, monkeypatch):
-    monkeypatch.setattr(silhouette, "MAX_SCORED_ROWS", 100)
-    with pytest.raises(ValueError, match="sample_size"):
-        silhouette.silhouette_euclidean(frame(spark, blobs[0], cluster=blobs[1]), names(blobs[0]), "id")
 
 
 def test_model_comparison(spark, blobs, tmp_path):

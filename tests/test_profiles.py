@@ -146,3 +146,12 @@ def test_bars_need_few_values(spark):
     r = got["few", "k1"]
     assert (r["n"], r["mean"], r["low"], r["high"]) == pytest.approx((40, s.mean(), s.mean() - half, s.mean() + half))
     assert charts.category_bars(df, ["many"]).isEmpty()
+
+
+def test_histogram_counts_by_edges(spark):
+    rng = np.random.default_rng(6)
+    for k in range(12):
+        x = np.round(rng.random(rng.integers(20, 300)) * 10 ** rng.integers(0, 3), 2)
+        bins = int(rng.integers(3, 31))
+        got = charts.histogram(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double"), ["x"], bins)
+        assert [r.n for r in got.orderBy("bin").collect()] == np.histogram(x, bins)[0].tolist(), k

@@ -63,3 +63,18 @@ def test_sink_and_written_table(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
     again = materialize(df, "t")
     assert sorted(again.collect()) == sorted(df.collect()) and new_path(spark, "a") != new_path(spark, "a")
+
+
+def test_quoted_line_breaks_stay_in_their_value(spark, tmp_path):
+    path = write(tmp_path / "m.csv", 'a,b\n1,"x\ny"\n2,"z ""q""\n\nw"\n')
+    assert sorted(tuple(r) for r in read_csv(spark, path).collect()) == [(1, "x\ny"), (2, 'z "q"\n\nw')]
+    split = read_csv(spark, write(tmp_path / "n.csv", "a,b\n1,x\n2,y\n"), multi_line=False)
+    assert sorted(tuple(r) for r in split.collect()) == [(1, "x"), (2, "y")]
+
+
+def test_missing_spellings(spark, tmp_path):
+    df = read_csv(spark, write(tmp_path / "x.csv", "n,t,z\n1,NA,true\nN/A,u,null\nnull,None,\n2.5,NaN,false\n"))
+    assert dict(df.dtypes) == {"n": "double", "t": "string", "z": "boolean"}
+    assert [tuple(r) for r in df.collect()] == [(1.0, None, True), (None, "u", None), (None, None, None), (2.5, None, False)]
+    kept = read_csv(spark, str(tmp_path / "x.csv"), missing=("",)).first()
+    assert kept["t"] == "NA" and kept["n"] == "1"

@@ -57,11 +57,10 @@ def test_best_entry_takes_the_first_listed_on_ties(spark):
     assert clean.best_entry(df, "s", "ord").first()["m"] == "b"
 
 
-@pytest.mark.parametrize("limit", [100, 0])
-def test_value_codes_single_task_and_distributed(spark, limit):
+def test_value_codes_are_dense_and_sorted(spark):
     data = [(f"v{i % 37:02d}", f"w{i % 5}" if i % 7 else None) for i in range(400)]
     df = spark.createDataFrame(data, "a string, b string").repartition(6)
-    got = {(r.column, r.value): r.code for r in ranks.value_codes(df, ["a", "b"], single_task_values=limit).collect()}
+    got = {(r.column, r.value): r.code for r in ranks.value_codes(df, ["a", "b"]).collect()}
     expected = {("a", f"v{i:02d}"): i for i in range(37)} | {("b", f"w{i}"): i for i in range(5)}
     assert got == expected
 
