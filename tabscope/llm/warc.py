@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tabscope.llm.rows import shards
-from tabscope.scratch import new_path
+from tabscope.scratch import materialize, new_path
 
 MIN_REVISIT_BYTES = 0
 RECORDS_PER_ARCHIVE = 2000
@@ -125,14 +125,18 @@ def typed(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     ids = rows.groupBy("digest", "size", "page_id").agg(
         F.count("*").alias("n"), F.min(F.struct(F.col("url").isNull().alias("none"), "url")).alias("first"))
-    best = ids.groupBy("digest", "size").agg(F.max(F.struct("page_id", "n", "first")).alias("best"), F.sum("n").alias("copies"))
-    best = best.select("digest", "size", F.col("best.page_id").alias("response_id"), F.col("best.n").alias("tied"), F.col("best.first.url").alias("first_url"), "copies")
-    joined = rows.join(best, ["digest", "size"])
+    best = ids.groupBy("digest", "size").agg(F.max(F.struct("page_id", "n", "first")).alias("best"))
+    best = best.select("digest", "size", F.col("best.page_id").alias("response_id"), F.col("best.n").alias("tied"), F.col("best.first.url").alias("first_url"))
+    best = materialize(best, "warc-best")
     small = F.col("size") < min_bytes
     is_best = F.col("page_id").eqNullSafe(F.col("response_id"))
+    joined = rows.join(best, ["digest", "size"])
     plain = joined.filter(small | ~is_best | (F.col("tied") == 1))
     plain = plain.select("page_id", "url", "payload", (~small & ~is_best).alias("revisit"), "response_id")
-    ties = joined.filter(~small & is_best & (F.col("tied") > 1))
+    repeated = best.filter("tied > 1")
+    if repeated.isEmpty():  # then no payload has to be moved for them
+        return plain
+    ties = rows.join(repeated, ["digest", "size"]).filter(~small & is_best)
     ties = ties.groupBy("digest", "size", "page_id", "url", "response_id", "first_url").agg(F.count("*").alias("n"), F.first("payload").alias("payload"))
     copies = ties.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
     first = (F.col("copy") == 1) & F.col("url").eqNullSafe(F.col("first_url"))
