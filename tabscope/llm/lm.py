@@ -31,7 +31,7 @@ from tabscope.scratch import materialize
 SHARD = 4 << 20  # bytes of text that share one word list
 BLOCK_WORDS = 1 << 19  # words of text for each block of hash values
 BITS_PER_ENTRY = 8
-MAX_FILTER_BITS = 1 << 31  # the broadcast's bound, 256 MB: beyond it an entry gets fewer bits
+MAX_FILTER_BITS = 1 << 31  # the broadcast's bound, 256 MB: beyond it the rarest bigrams have no entry
 PRIOR = 40.0  # weight of the unigram probability against the counts after a word
 _END = 0x2545F4914F6CDD1D  # stands for the hash of the end token, also before the first word
 _PROBES = 5
@@ -59,10 +59,17 @@ class LogBloom:
         return (mix % sizes.astype(np.uint64)).astype(np.int64)
 
     @classmethod
-    def block(cls, rests: np.ndarray, counts: np.ndarray, bits_per_entry: float) -> tuple[int, bytes]:
-        """Bits of one block from its n-grams: (number of bits, bytes)."""
+    def block(cls, rests: np.ndarray, counts: np.ndarray, most: int) -> tuple[int, bytes]:
+        """Bits of one block from its n-grams: (number of bits, bytes), ``BITS_PER_ENTRY`` for each entry.
+
+        If that is over ``most`` bits, the rarest counts stay out, so that the others keep their precision.
+        """
         q = levels(counts)
-        size = max(64, int(q.sum() * bits_per_entry))
+        of_count = np.bincount(counts, weights=q)
+        fits = np.flatnonzero(np.cumsum(of_count[::-1])[::-1] * BITS_PER_ENTRY <= most)
+        kept = counts >= (fits[0] if len(fits) else len(of_count))
+        rests, q = rests[kept], q[kept]
+        size = max(64, int(q.sum() * BITS_PER_ENTRY))
         size += -size % 8
         held = np.zeros(size, np.uint8)
         sizes = np.array([size])
@@ -250,9 +257,9 @@ def bigrams(texts: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
     return bigram(hashes[np.concatenate(([len(hashes) - 1], tokens[:-1]))], hashes[tokens])
 
 
-def build_filter(grams: DataFrame, blocks: int, tokens: int) -> LogBloom:
-    """Sum the bigram counts of each block and set its bits. An n-gram of count c has at most c entries."""
-    per_entry = min(BITS_PER_ENTRY, MAX_FILTER_BITS / max(tokens, 1))
+def build_filter(grams: DataFrame, blocks: int) -> LogBloom:
+    """Sum the bigram counts of each block and set its bits; blocks are random parts of equal bounds."""
+    most = MAX_FILTER_BITS // blocks
 
     def run(table: pa.Table) -> pa.Table:
         rests = [np.frombuffer(x.as_py(), np.uint32) for x in table["data"]]
@@ -263,7 +270,7 @@ def build_filter(grams: DataFrame, blocks: int, tokens: int) -> LogBloom:
             n[len(n) - len(high) :] = high
             counts.append(n)
         grams, at = np.unique(np.concatenate(rests), return_inverse=True)
-        size, bits = LogBloom.block(grams, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64), per_entry)
+        size, bits = LogBloom.block(grams, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64), most)
         return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "size": pa.array([size], pa.int64()), "bits": pa.array([bits], pa.binary())})
 
     made = grams.groupBy("block").applyInArrow(run, "block int, size long, bits binary")
@@ -285,7 +292,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     tokens = int(facts["training"] or 0) + ends
     known = word_counts(texts, blocks)
     kinds = int(known.agg(F.sum("fresh")).first()[0] or 0) + (ends > 0)
-    model = spark.sparkContext.broadcast(build_filter(training_bigrams(texts, blocks), blocks, tokens))
+    model = spark.sparkContext.broadcast(build_filter(training_bigrams(texts, blocks), blocks))
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),

@@ -272,7 +272,7 @@ def test_filter_counts_are_quantised_never_low(blocks):
     hashes = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
     counts = rng.integers(1, 100, len(hashes))
     of = lm.block_of(hashes, blocks)
-    rows = [(int(b), *lm.LogBloom.block(lm.rest_of(hashes[of == b], blocks), counts[of == b], 8)) for b in np.unique(of)]
+    rows = [(int(b), *lm.LogBloom.block(lm.rest_of(hashes[of == b], blocks), counts[of == b], 1 << 40)) for b in np.unique(of)]
     model = lm.LogBloom.of(rows, blocks)
     got = model.counts(hashes)
     level = lm.levels(counts)
@@ -282,6 +282,16 @@ def test_filter_counts_are_quantised_never_low(blocks):
     assert (model.counts(unseen) > 0).mean() < 0.08
 
 
+def test_a_full_filter_leaves_out_the_rarest():
+    rests = np.arange(3000, dtype=np.uint32)
+    counts = np.repeat([1, 2, 9], 1000)
+    size, bits = lm.LogBloom.block(rests, counts, 1000 * (4 + 2) * lm.BITS_PER_ENTRY)
+    model = lm.LogBloom.of([(0, size, bits)], 1)
+    got = model.counts(rests.astype(np.uint64) << np.uint64(32))
+    assert size == 1000 * 6 * lm.BITS_PER_ENTRY and (got[:1000] == 0).mean() > 0.9 and (got[1000:] > 0).all()
+    assert lm.LogBloom.block(rests, counts, 0)[0] == 64
+
+
 def spoken(lang, seed, n=40):
     words = {"en": PROSE, "de": "der schnelle braune fuchs springt über einen faulen hund während sieben kleine vögel in alten bäumen singen".split(),
              "el": "η γρήγορη αλεπού πηδά πάνω από το τεμπέλικο σκυλί ενώ επτά πουλιά τραγουδούν".split()}[lang]
