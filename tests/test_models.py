@@ -200,6 +200,24 @@ def test_components_of_a_chain_a_hub_and_a_ring(spark):
     assert components.connected_components(spark.createDataFrame([(1, 1)], "a long, b long"), "a", "b").isEmpty()
 
 
+def test_cuts_split_flags_and_repeated_values():
+    from tabscope.operators.leaves import best_cut
+
+    rng = np.random.default_rng(2)
+    part = np.column_stack([(rng.random(4000) < 0.7) * 100.0, rng.integers(0, 3, 4000), rng.normal(size=4000)])
+    sizes = [part]
+    for _ in range(5):
+        cut = []
+        for rows in sizes:
+            dim, at = best_cut(rows)
+            left = rows[:, dim] <= at
+            cut += [rows[left], rows[~left]]
+        sizes = cut
+    assert len(sizes) == 32 and min(map(len, sizes)) > 20 and max(map(len, sizes)) < 400
+    assert best_cut(np.ones((9, 2))) == (0, np.inf)
+    assert best_cut(np.array([[1.0, 5], [1, 5], [1, 5], [1, 6]])) == (1, 5.0)
+
+
 def brute_silhouette(d, y):
     out = []
     for i in range(len(d)):
