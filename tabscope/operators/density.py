@@ -32,6 +32,8 @@ from tabscope.scratch import materialize
 SPLITS = {1: 8, 2: 4, 3: 2}
 # up to here a cell has a bounded number of neighbouring cells, which equal keys can find
 GRID_DIMS = 3
+# rows of a dense cell in one chunk
+CELL_CHUNK = 20_000
 LEAF_CELLS = 1000
 
 
@@ -85,19 +87,10 @@ def _pairs_by_leaves(cells: DataFrame, p: int, eps: float) -> DataFrame:
     Cells are split into leaves of similar size; each cell visits the leaves its box comes near.
     """
     boxes = cells.select("cell", "dense", F.array(*_cols("lo", p)).alias("lo"), F.array(*_cols("hi", p)).alias("hi"))
-    cuts = L.plan_cuts(boxes, "lo", p, LEAF_CELLS)
-    homes = materialize(L.with_leaf(boxes, "lo", p, cuts), "cell-leaves")
-    around, eps2 = L.leaf_boxes(homes, "lo", "hi", p), eps * eps
-
-    def visit(batches):
-        for batch in batches:
-            for at in range(0, len(batch), around.block):
-                part = batch.iloc[at:at + around.block]
-                reach = around.gap2(L.matrix(part["lo"], p), L.matrix(part["hi"], p)) <= eps2
-                yield part.assign(leaves=[around.leaf[r] for r in reach])
-
-    reached = boxes.mapInPandas(visit, "cell array<bigint>, dense boolean, lo array<double>, hi array<double>, leaves array<bigint>")
-    visits = materialize(reached.select("cell", "dense", "lo", "hi", F.explode("leaves").alias("leaf")), "cell-visits")
+    leaves, eps2 = L.split(boxes, "lo", p, LEAF_CELLS, "cell-leaves"), eps * eps
+    homes = leaves.rows
+    asking = boxes.withColumn("reach2", F.lit(eps2))
+    visits = L.visits(asking, "lo", "hi", leaves, materialize(leaves.boxes("lo", "hi"), "cell-boxes"), "cell").drop("reach2")
     salts = materialize(L.visit_salts(visits), "cell-salts")
     visitors, hosts = L.meet(visits, homes, salts, ["cell"])
 
@@ -211,8 +204,13 @@ def dbscan(
     def others(source: DataFrame) -> DataFrame:
         return source.select(F.col("cell").alias("other"), F.col("id").alias("oid"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(p)])
 
+    # a dense cell is met in chunks of its rows, each beside all askers: no task holds a hot cell
+    chunks = F.ceil(F.col("n") / F.lit(CELL_CHUNK)).cast("int")
+    times = cells.filter("dense").select(F.col("cell").alias("other"), chunks.alias("chunks"))
+    many = asking.filter("other_dense").join(times, "other").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    parts = others(dense).join(times, "other").withColumn("chunk", F.pmod(F.xxhash64("oid"), "chunks").cast("int")).drop("chunks")
     near_dense = materialize(
-        asking.filter("other_dense").join(others(dense), "other").filter(_distance2(mine, theirs) <= eps2)
+        many.join(parts, ["other", "chunk"]).filter(_distance2(mine, theirs) <= eps2)
         .groupBy("id", "cell", "other").agg(F.count("*").alias("near")),
         "near-dense",
     )

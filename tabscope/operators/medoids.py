@@ -6,7 +6,8 @@ evaluated row e bounds all others from below: by the triangle inequality the sum
 ``sum(e) + gradient(e)·(x - e)``. Each round evaluates the rows with the smallest bounds (one
 aggregate pass for sums and gradients) and drops every row whose bound exceeds the best sum; it
 ends when no row is left, so the result is exact. Evaluated rows with their sums are the only
-state, and no pair of rows is ever written.
+state, and no pair of rows is ever written. Equal vectors are one row with a weight, so copies of the
+best row are evaluated once.
 """
 
 from __future__ import annotations
@@ -47,11 +48,11 @@ def _groups(x: np.ndarray, centers: np.ndarray | None) -> np.ndarray:
 def _group_means(points: DataFrame, centers: np.ndarray | None, width: int) -> dict[int, tuple[int, np.ndarray]]:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = _matrix(batch["x"], width)
+            x, w = _matrix(batch["x"], width), batch["n"].to_numpy()
             g = _groups(x, centers)
             for group in np.unique(g):
-                mine = x[g == group]
-                yield pd.DataFrame({"g": [group], "n": [len(mine)], "s": [mine.sum(axis=0)]})
+                at = g == group
+                yield pd.DataFrame({"g": [group], "n": [w[at].sum()], "s": [w[at] @ x[at]]})
 
     sums = points.mapInPandas(partial, "g bigint, n bigint, s array<double>").groupBy("g").agg(
         F.sum("n").alias("n"), *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(width)]
@@ -99,13 +100,13 @@ def _sums(
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = {g: np.zeros((len(ids), width + 1)) for g, (ids, _) in chosen.items()}
         for batch in batches:
-            x = _matrix(batch["x"], width)
+            x, w = _matrix(batch["x"], width), batch["n"].to_numpy(dtype=np.float64)
             g = _groups(x, centers)
             for group, total in totals.items():
-                mine, at = x[g == group], chosen[group][1]
+                mine, weight, at = x[g == group], w[g == group][:, None], chosen[group][1]
                 d = _distances(mine, at)
-                total[:, 0] += d.sum(axis=0)
-                inverse = np.divide(1.0, d, out=np.zeros_like(d), where=d > 0)
+                total[:, 0] += (d * weight).sum(axis=0)
+                inverse = np.divide(weight, d, out=np.zeros_like(d), where=d > 0)
                 total[:, 1:] += at * inverse.sum(axis=0)[:, None] - inverse.T @ mine
         for group, total in totals.items():
             yield pd.DataFrame({"g": group, "at": np.arange(len(total)), "s": list(total)})
@@ -162,6 +163,17 @@ def nearest_center(features: Sequence[str], centers: Sequence[Sequence[float]])
     return (F.array_position(every, F.array_min(every)) - 1).cast("int")
 
 
+def _first_medoids(rows: DataFrame, points: DataFrame, width: int, k: int) -> list[tuple[int, np.ndarray]]:
+    """The k rows with the smallest summed distance to the whole table; copies count as rows of their own."""
+    vectors, _ = _lowest(points, None, width, k)[0]
+    found = []
+    for total, _, x in vectors:
+        same = rows.filter(F.col("x") == F.array(*[F.lit(float(v)) for v in x]))
+        found += [(total, r["id"], x) for r in same.select("id").orderBy("id").limit(k).collect()]
+    found.sort(key=lambda f: f[:2])
+    return [(i, x) for _, i, x in found[:k]]
+
+
 def fit_medoids(
     df: DataFrame, features: Sequence[str], key: str, k: int = 3, max_iter: int = MAX_ITER
 ) -> list[tuple[int, np.ndarray]]:
@@ -171,11 +183,9 @@ def fit_medoids(
     assigning rows and replacing each medoid by a strictly better row of its cluster.
     """
     width = len(features)
-    points = materialize(
-        df.select(F.col(key).cast("bigint").alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("x")), "medoids"
-    )
-    start, _ = _lowest(points, None, width, k)[0]
-    medoids = [(i, x) for _, i, x in start]
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    points = materialize(rows.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("n")), "medoids")
+    medoids = _first_medoids(rows, points, width, k)
     for _ in range(max_iter):
         centers = np.array([x for _, x in medoids])
         held = {g: (np.array([i]), x[None, :]) for g, (i, x) in enumerate(medoids)}

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from functools import reduce
-from itertools import combinations_with_replacement
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.classification import LogisticRegression
@@ -25,6 +24,8 @@ CLUSTERS = 3
 ELBOW_RANGE = range(2, 10)
 SEED = 42
 FITS_AT_ONCE = 4
+# class scores a task keeps at a time
+SCORES_AT_ONCE = 4_000_000
 
 
 @contextmanager
@@ -135,41 +136,57 @@ def logistic_accuracy(df: DataFrame, features: Sequence[str], target: str) -> Da
     return df.sparkSession.createDataFrame([(score, "")], empty)
 
 
-def _sum(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def _scatter(df: DataFrame, x: Column, center: np.ndarray) -> np.ndarray:
+    """Sums of the products of centred features: one small matrix per task, added up by Spark."""
+    p = len(center)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((p, p))
+        for batch in batches:
+            gap = np.array(batch["x"].tolist(), dtype=np.float64).reshape(len(batch), p) - center
+            total += gap.T @ gap
+        yield pd.DataFrame({"at": np.arange(p * p), "s": total.ravel()})
+
+    sums = df.select(x.alias("x")).mapInPandas(partial, "at int, s double").groupBy("at").agg(F.sum("s").alias("s"))
+    out = np.zeros(p * p)
+    for r in sums.collect():
+        out[r["at"]] = r["s"]
+    return out.reshape(p, p)
 
 
 def fit_discriminant(df: DataFrame, features: Sequence[str], target: str) -> Column:
     """Linear discriminant classifier as a column: class means, pooled covariance, class priors.
 
-    One grouped aggregate over the data; the driver solves a p×p system for one row per class.
+    The model is one row of weights per class, any number of classes; rows meet it in blocks. Rows
+    with a missing feature or class take no part in the fit, and a missing feature gives NULL.
     """
-    pairs = list(combinations_with_replacement(range(len(features)), 2))
-    x = [F.col(f).cast("double") for f in features]
+    p = len(features)
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    whole = df.filter(F.col(target).isNotNull() & ~F.exists(x, lambda v: v.isNull()))
     stats = (
-        df.filter(F.col(target).isNotNull()).groupBy(F.col(target).alias("cls"))
-        .agg(
-            F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)],
-            *[F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs],
-        )
-        .orderBy("cls").limit(1001).collect()
+        whole.groupBy(F.col(target).alias("cls"))
+        .agg(F.count("*").alias("n"), *[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)])
+        .orderBy("cls").collect()
     )
-    if len(stats) > 1000:
-        raise ValueError("the target has more than 1000 classes")
-    total, p = sum(r["n"] for r in stats), len(features)
-    pooled = np.zeros((p, p))
-    for r in stats:
-        for i, j in pairs:
-            pooled[i, j] += r["n"] * r[f"c{i}_{j}"] / (total - len(stats))
-            pooled[j, i] = pooled[i, j]
-    scores = []
-    for r in stats:
-        mean = np.array([r[f"m{i}"] for i in range(p)])
-        weights = np.linalg.lstsq(pooled, mean, rcond=None)[0]
-        offset = float(np.log(r["n"] / total) - 0.5 * mean @ weights)
-        scores.append(_sum([c * float(w) for c, w in zip(x, weights)]) + F.lit(offset))
-    every = F.array(*scores)
-    return F.element_at(F.array(*[F.lit(r["cls"]) for r in stats]), F.array_position(every, F.array_max(every)).cast("int"))
+    if not stats:
+        return F.lit(None).cast(df.schema[target].dataType)
+    n = np.array([r["n"] for r in stats], dtype=np.float64)
+    means = np.array([[r[f"m{i}"] for i in range(p)] for r in stats])
+    center = n @ means / n.sum()
+    between = (means - center).T @ ((means - center) * n[:, None])
+    pooled = (_scatter(whole, x, center) - between) / max(1.0, n.sum() - len(stats))
+    weights = np.linalg.lstsq(pooled, means.T, rcond=None)[0]
+    offsets = np.log(n / n.sum()) - 0.5 * (means.T * weights).sum(axis=0)
+    classes = np.array([r["cls"] for r in stats], dtype=object)
+    step = max(1, SCORES_AT_ONCE // len(stats))
+
+    @F.pandas_udf(df.schema[target].dataType)
+    def classify(vectors: pd.Series) -> pd.Series:
+        rows = np.array([[np.nan] * p if v is None else v for v in vectors], dtype=np.float64).reshape(len(vectors), p)
+        best = np.concatenate([np.argmax(rows[i:i + step] @ weights + offsets, axis=1) for i in range(0, len(rows), step)] or [np.zeros(0, dtype=int)])
+        return pd.Series(np.where(np.isnan(rows).any(axis=1), None, classes[best]), dtype=object)
+
+    return classify(x)
 
 
 def discriminant_predict(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -3,30 +3,28 @@
 ``percentile`` keeps every distinct value of a column in one task, and a global sort moves all rows.
 Here a small quantile sketch first brackets each wanted rank (salted, then merged, so no task
 receives one sketch per input task). The values inside the brackets are the only ones
-shuffled, already counted per distinct value; rows below a bracket are only counted. A bracket
-narrows further by equal-width slices, so the last running sum touches one or two slices.
-The sketch never decides the result: a rank outside its bracket fails the job.
+shuffled, already counted per distinct value; rows below a bracket are only counted. They are
+sorted by ranges, so the last running sum touches one or two tasks' parts, outliers or not.
+The sketch never decides the result: a bracket that misses its rank is widened.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabscope.scratch import remove, written
+
 SKETCH_K = 4096
 # Several times the sketch's rank error at this k.
 MARGIN = 0.006
-SLICES = 1024
 SKETCH_SALTS = 64
-# value ranges in one plan; the optimiser's effort grows steeply with the ranges of many columns
-RANGES_PER_PLAN = 9
 
 
-def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, int], dict]:
+def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float], margin: float) -> dict[tuple[str, int], dict]:
     """Rank, value bracket and non-missing count of every wanted quantile (a few numbers per column)."""
     salted = df.groupBy((F.spark_partition_id() % SKETCH_SALTS).alias("_salt")).agg(
         *[F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH_K)).alias(f"k_{i}") for i, c in enumerate(columns)],
@@ -42,7 +40,7 @@ def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
     )
 
     # both ends of every bracket from one call per column: each call unpacks the sketch
-    ranks = F.array(*[F.lit(min(max(p + side, 0.0), 1.0)) for p in probs for side in (-MARGIN, MARGIN)])
+    ranks = F.array(*[F.lit(min(max(p + side, 0.0), 1.0)) for p in probs for side in (-margin, margin)])
     ends = [
         F.when(F.col(f"n_{i}") > 0, F.kll_sketch_get_quantile_double(f"k_{i}", ranks)).alias(f"e_{i}") for i in range(len(columns))
     ]
@@ -55,8 +53,8 @@ def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
             continue
         for q, p in enumerate(probs):
             at_rank = (n - 1) * p
-            low = row[f"lo_{i}"] if p <= MARGIN else row[f"e_{i}"][2 * q]
-            high = row[f"hi_{i}"] if p >= 1 - MARGIN else row[f"e_{i}"][2 * q + 1]
+            low = row[f"lo_{i}"] if p <= margin else row[f"e_{i}"][2 * q]
+            high = row[f"hi_{i}"] if p >= 1 - margin else row[f"e_{i}"][2 * q + 1]
             found[column, q] = {
                 "n": n, "low": low, "high": high, "first": int(at_rank), "second": min(int(at_rank) + 1, n - 1),
                 "frac": at_rank - int(at_rank),
@@ -64,95 +62,91 @@ def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) ->
     return found
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _long(df: DataFrame, columns: Sequence[str], brackets: DataFrame) -> DataFrame:
+    """Every value beside the brackets of its column; the plan does not grow with the columns."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    # one bracket per wanted quantile, so the broadcast side is as small as the question
+    return df.select(F.inline(pairs)).filter(F.col("v").isNotNull()).join(F.broadcast(brackets), "ci")
+
+
+_BRACKET = "ci int, qi int, low double, high double"
+
+
+def _table(spark: SparkSession, wanted: dict) -> DataFrame:
+    return spark.createDataFrame([(ci, qi, w["low"], w["high"]) for (ci, qi), w in wanted.items()], _BRACKET)
+
+
+def _settled(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[int, int], dict]:
+    """Brackets that hold their ranks, with the rows below each; a missed one is widened and counted again."""
+    settled: dict[tuple[int, int], dict] = {}
+    margin, names, spark = MARGIN, list(columns), df.sparkSession
+    found = {(names.index(c), q): w for (c, q), w in _brackets(df, names, probs, margin).items()}
+    while left := {key: w for key, w in found.items() if key not in settled}:
+        counts = _long(df, names, _table(spark, left)).groupBy("ci", "qi").agg(
+            F.count_if(F.col("v") < F.col("low")).alias("below"), F.count_if(F.col("v") <= F.col("high")).alias("upto")
+        )
+        for r in counts.collect():
+            w = left[r["ci"], r["qi"]]
+            if r["below"] <= w["first"] and w["second"] < r["upto"]:
+                settled[r["ci"], r["qi"]] = {**w, "below": r["below"]}
+        # at a margin of one every bracket is the whole range, so this ends
+        margin *= 4
+        if len(settled) < len(found):
+            found = {(names.index(c), q): w for (c, q), w in _brackets(df, names, probs, margin).items()}
+    return settled
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(column, q, value)`` with linear interpolation between neighbouring ranks; missing ignored.
 
     Each column is read three times, so ``df`` should be a table or a written view. A column
-    without values gets NULLs. Many columns are handled a few at a time: every part reads its own
-    columns only, and plans stay small.
+    without values gets NULLs. The answer is computed at once: a few numbers per column.
     """
-    size = max(1, RANGES_PER_PLAN // max(1, len(probs)))
-    found = _brackets(df, columns, probs)
-    parts = [_quantiles(df, columns[i:i + size], probs, found) for i in range(0, len(columns), size)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], found: dict) -> DataFrame:
     spark = df.sparkSession
-    wanted = {key: bracket for key, bracket in found.items() if key[0] in columns}
-    everything = spark.createDataFrame(
-        [(c, q, float(p)) for c in columns for q, p in enumerate(probs)], "column string, qi int, q double"
-    )
-    if not wanted:
-        return everything.select("column", "q", F.lit(None).cast("double").alias("value"))
-
-    def value(c: str) -> Column:
-        return F.col(c).cast("double")
-
-    def described(c: str, q: int, w: dict, *extra: Column) -> Column:
-        return F.struct(
-            F.lit(c).alias("column"), F.lit(q).alias("qi"),
-            F.lit(w["low"]).alias("low"), F.lit(w["high"]).alias("high"),
-            F.lit(w["first"]).cast("bigint").alias("first"), F.lit(w["second"]).cast("bigint").alias("second"),
-            F.lit(w["frac"]).alias("frac"), *extra,
+    wanted = _settled(df, columns, probs)
+    values: dict[tuple[int, int], float] = {}
+    if wanted:
+        # sorted by ranges of values: each task's part is a run of neighbouring ranks of a quantile
+        inside = (
+            _long(df, columns, _table(spark, wanted)).filter(F.col("v").between(F.col("low"), F.col("high")))
+            .groupBy("ci", "qi", "v").agg(F.count("*").alias("cnt"))
+            .repartitionByRange("ci", "qi", "v").withColumn("slice", F.spark_partition_id())
         )
-
-    # one row of counts, turned into one row per wanted quantile
-    below = df.agg(*[F.count_if(value(c) < w["low"]).alias(f"below_{i}") for i, ((c, _), w) in enumerate(wanted.items())])
-    targets = below.select(
-        F.inline(F.array(*[described(c, q, w, F.col(f"below_{i}").alias("below")) for i, ((c, q), w) in enumerate(wanted.items())]))
-    )
-
-    inside = {
-        c: _any([value(c).between(w["low"], w["high"]) for (name, _), w in wanted.items() if name == c])
-        for c in dict.fromkeys(name for name, _ in wanted)
-    }
-    kept = [F.when(hit, F.struct(F.lit(c).alias("column"), value(c).alias("v"))) for c, hit in inside.items()]
-    values = (
-        df.filter(_any(list(inside.values())))
-        .select(F.explode(F.array_compact(F.array(*kept))).alias("s"))
-        .groupBy("s.column", "s.v")
-        .agg(F.count("*").alias("cnt"))
+        counted, path = written(inside, "quantile-values")
+        try:
+            values = _pick(counted, wanted)
+        finally:
+            remove(spark, path)
+    rows = [(c, float(p), values.get((i, q))) for i, c in enumerate(columns) for q, p in enumerate(probs)]
+    return spark.createDataFrame(rows, "column string, q double, value double")
+
+
+def _pick(counted: DataFrame, wanted: dict) -> dict[tuple[int, int], float]:
+    """The values at the wanted ranks, from running sums over the slices that hold them."""
+    targets = counted.sparkSession.createDataFrame(
+        [(ci, qi, w["below"], w["first"], w["second"]) for (ci, qi), w in wanted.items()],
+        "ci int, qi int, below bigint, first bigint, second bigint",
     )
-    width = F.col("high") - F.col("low")
-    slice_ = F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), width) * SLICES), F.lit(SLICES - 1))
-    counted = (
-        values.join(F.broadcast(targets.select("column", "qi", "low", "high")), "column")
-        .filter(F.col("v").between(F.col("low"), F.col("high")))
-        .select("column", "qi", "v", "cnt", F.coalesce(slice_, F.lit(0)).cast("int").alias("slice"))
-    )
-    # at most SLICES rows per wanted quantile
-    slices = counted.groupBy("column", "qi", "slice").agg(F.sum("cnt").alias("c"))
-    before = Window.partitionBy("column", "qi").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per quantile and task of the sort
+    slices = counted.groupBy("ci", "qi", "slice").agg(F.sum("cnt").alias("c"))
+    before = Window.partitionBy("ci", "qi").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     needed = (
         slices.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
-        .join(F.broadcast(targets), ["column", "qi"])
+        .join(F.broadcast(targets), ["ci", "qi"])
         .withColumn("start", F.col("start") + F.col("below"))
         .filter((F.col("start") + F.col("c") > F.col("first")) & (F.col("start") <= F.col("second")))
-        .select("column", "qi", "slice", "start", "first", "second", "frac")
-    )
-    running = Window.partitionBy("column", "qi", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(F.broadcast(needed), ["column", "qi", "slice"]).withColumn(
-        "upto", F.col("start") + F.sum("cnt").over(running)
+        .select("ci", "qi", "slice", "start", "first", "second")
     )
-    picked = ranked.groupBy("column", "qi", "frac").agg(
-        F.min(F.when(F.col("upto") > F.col("first"), F.col("v"))).alias("v1"),
-        F.min(F.when(F.col("upto") > F.col("second"), F.col("v"))).alias("v2"),
-    )
-    checked = F.when(
-        F.col("has") & (F.col("v1").isNull() | F.col("v2").isNull()),
-        F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double"),
-    ).otherwise(F.col("v1") + (F.col("v2") - F.col("v1")) * F.col("frac"))
-    has = F.col("column").isin(sorted({c for c, _ in wanted}))
-    return (
-        everything.withColumn("has", has)
-        .join(picked, ["column", "qi"], "left")
-        .select("column", "q", checked.alias("value"))
+    running = Window.partitionBy("ci", "qi", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    picked = (
+        counted.join(F.broadcast(needed), ["ci", "qi", "slice"])
+        .withColumn("upto", F.col("start") + F.sum("cnt").over(running))
+        .groupBy("ci", "qi").agg(
+            F.min(F.when(F.col("upto") > F.col("first"), F.col("v"))).alias("v1"),
+            F.min(F.when(F.col("upto") > F.col("second"), F.col("v"))).alias("v2"),
+        )
     )
+    return {(r["ci"], r["qi"]): r["v1"] + (r["v2"] - r["v1"]) * wanted[r["ci"], r["qi"]]["frac"] for r in picked.collect()}
 
 
 def quartiles_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -48,13 +48,18 @@ def word_counts(
     return _fold_plurals(counts) if fold_plurals else counts
 
 
+def _standard_forms(counts: DataFrame, word: str = "word", beside: Sequence[str] = ()) -> DataFrame:
+    """``standard``: the word, without a last single s where the table has that word too (with equal ``beside``)."""
+    singular = counts.select(*beside, F.col(word).alias("base"), F.lit(True).alias("known"))
+    plural = F.col(word).endswith("s") & ~F.col(word).endswith("ss")
+    based = counts.withColumn("base", F.when(plural, F.substring(F.col(word), F.lit(1), F.length(word) - 1)))
+    joined = based.join(singular, [*beside, "base"], "left")
+    return joined.withColumn("standard", F.when(F.col("known"), F.col("base")).otherwise(F.col(word))).drop("base", "known")
+
+
 def _fold_plurals(counts: DataFrame) -> DataFrame:
     """Add the count of ``words`` to ``word`` where both occur (not for words ending in ``ss``)."""
-    singular = counts.select(F.col("word").alias("base"))
-    plural = F.col("word").endswith("s") & ~F.col("word").endswith("ss")
-    based = counts.withColumn("base", F.when(plural, F.expr("substring(word, 1, length(word) - 1)")))
-    folded = based.join(singular.withColumn("known", F.lit(True)), "base", "left")
-    return folded.groupBy(F.when(F.col("known"), F.col("base")).otherwise(F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
+    return _standard_forms(counts).groupBy("standard").agg(F.sum("n").alias("n")).withColumnRenamed("standard", "word")
 
 
 def _weights(counts: DataFrame, term: str, top: int) -> DataFrame:
@@ -92,12 +97,14 @@ def term_weights(
     stop_words: Sequence[str] | None = None,
     threshold: float = PAIR_THRESHOLD,
     top: int = MAX_WORDS,
+    fold_plurals: bool = False,
     **token_options: bool,
 ) -> DataFrame:
     """Word weights where strongly associated neighbours count as one term.
 
     Pairs are neighbours in the full word sequence of a document, neither being a stop word. A pair
     scoring over the threshold becomes a term, and its count is taken off both of its words.
+    ``fold_plurals`` counts ``words`` as ``word``, and pairs ending in it likewise, where both occur.
     """
     stop = default_stop_words() if stop_words is None else list(stop_words)
     words = df.select(tokens(text, **token_options).alias("t"))
@@ -109,20 +116,29 @@ def term_weights(
         runs = runs.filter(~F.col("a").isin(stop)).withColumn("b", F.when(~F.col("b").isin(stop), F.col("b")))
     # written, because words, pairs and the total all come from it: the texts are read once
     together = materialize(runs.groupBy("a", "b").agg(F.count("*").cast("double").alias("n")), "pairs")
-    counts = materialize(together.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n")), "words")
+    counts = together.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"))
     pair_counts = together.filter(F.col("b").isNotNull())
+    if fold_plurals:
+        forms = materialize(_standard_forms(counts), "forms")
+        counts = forms.groupBy("standard").agg(F.sum("n").alias("n")).withColumnRenamed("standard", "word")
+        pair_counts = _standard_forms(pair_counts, "b", ["a"]).groupBy("a", F.col("standard").alias("b")).agg(F.sum("n").alias("n"))
+        standard = forms.select("word", "standard")
+        named = pair_counts.join(standard.toDF("a", "wa"), "a").join(standard.toDF("b", "wb"), "b")
+    else:
+        named = pair_counts.withColumns({"wa": F.col("a"), "wb": F.col("b")})
+    counts = materialize(counts, "words")
     total = F.lit(float(counts.agg(F.sum("n").alias("t")).first()["t"] or 0.0))
 
     scored = materialize(
-        pair_counts.join(counts.select(F.col("word").alias("a"), F.col("n").alias("na")), "a")
-        .join(counts.select(F.col("word").alias("b"), F.col("n").alias("nb")), "b")
+        named.join(counts.select(F.col("word").alias("wa"), F.col("n").alias("na")), "wa")
+        .join(counts.select(F.col("word").alias("wb"), F.col("n").alias("nb")), "wb")
         .withColumn("score", pair_score(F.col("n"), F.col("na"), F.col("nb"), total))
         .filter(F.col("score") > threshold)
-        .select("a", "b", "n"),
+        .select("a", "b", "wa", "wb", "n"),
         "scored",
     )
     taken = (
-        scored.select(F.explode(F.array("a", "b")).alias("word"), "n")
+        scored.select(F.explode(F.array("wa", "wb")).alias("word"), "n")
         .groupBy("word").agg(F.sum("n").alias("taken"))
     )
     left = counts.join(taken, "word", "left").select(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabscope.operators import clean, density, features, medoids, models, neighbors, report, silhouette
 from tabscope.plans import Catalog
@@ -49,7 +50,7 @@ SCALED_PARTS = scaled_sql("part", PART, "p_partkey, p_type", "parts")
 # --- SQL building blocks -------------------------------------------------------------------
 
 
-def elimination(p: int, keep: str, source: str = "sys0") -> str:
+def elimination(p: int, keep: str, source: str = "sys0", name: str = "sys") -> str:
     """Gauss-Jordan steps as CTEs: ``source`` holds a_i_j and b_i, the last one the solution in b_i."""
     steps = []
     for k in range(p):
@@ -58,7 +59,7 @@ def elimination(p: int, keep: str, source: str = "sys0") -> str:
             for j in range(p):
                 cols.append(f"a_{k}_{j} / a_{k}_{k} AS a_{k}_{j}" if i == k else f"a_{i}_{j} - a_{i}_{k} * a_{k}_{j} / a_{k}_{k} AS a_{i}_{j}")
             cols.append(f"b_{k} / a_{k}_{k} AS b_{k}" if i == k else f"b_{i} - a_{i}_{k} * b_{k} / a_{k}_{k} AS b_{i}")
-        steps.append(f"sys{k + 1} AS (SELECT {keep}, {', '.join(cols)} FROM {source if k == 0 else f'sys{k}'})")
+        steps.append(f"{name}{k + 1} AS (SELECT {keep}, {', '.join(cols)} FROM {source if k == 0 else f'{name}{k}'})")
     return ", ".join(steps)
 
 
@@ -94,6 +95,33 @@ def discriminant_ctes(columns: list[str], target: str) -> list[str]:
     ]
 
 
+NEWTON_STEPS = 8
+
+
+def logistic_ctes(columns: list[str], target: str, steps: int = NEWTON_STEPS) -> list[str]:
+    """Newton steps of a logistic regression with half the squared weights as penalty, unrolled.
+
+    The weight of the constant comes last and goes without penalty.
+    """
+    p = len(columns) + 1
+    terms = [*columns, "1.0"]
+    out = [scaled_sql("order_profile", columns, f'"ID", {target} AS y'), f"w0 AS (SELECT {', '.join(f'0.0::DOUBLE AS w_{i}' for i in range(p))})"]
+    score = " + ".join(f"{t} * w_{i}" for i, t in enumerate(terms))
+    for k in range(steps):
+        a = [
+            f"sum(v * {terms[i]} * {terms[j]})" + (" + 1" if i == j and i < p - 1 else "") + f" AS a_{i}_{j}" for i in range(p) for j in range(p)
+        ]
+        b = [f"sum((y - pr) * {terms[i]})" + (f" - any_value(w_{i})" if i < p - 1 else "") + f" AS b_{i}" for i in range(p)]
+        keep = [f"w_{i}" for i in range(p)]
+        out += [
+            f"pr{k} AS (SELECT *, pr * (1 - pr) AS v FROM (SELECT *, 1 / (1 + exp(-({score}))) AS pr FROM scaled, w{k}))",
+            f"n{k}_0 AS (SELECT {', '.join(a + b)}, {', '.join(f'any_value({w}) AS {w}' for w in keep)} FROM pr{k})",
+            elimination(p, ", ".join(keep), f"n{k}_0", f"n{k}_"),
+            f"w{k + 1} AS (SELECT {', '.join(f'w_{i} + b_{i} AS w_{i}' for i in range(p))} FROM n{k}_{p})",
+        ]
+    return [*out, f"judged AS (SELECT avg(CASE WHEN ({score} > 0) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy FROM scaled, w{steps})"]
+
+
 def component_ctes(columns: list[str]) -> list[str]:
     """Leading two eigenvectors of the correlation matrix by repeated squaring and deflation."""
     z = [f"(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()) AS {c}" for c in columns]
@@ -187,6 +215,26 @@ def elbow(spark: SparkSession, folder: str) -> DataFrame:
     return models.elbow(credit_vectors(spark, folder))
 
 
+_SPREAD = " + ".join(f"var_pop({c})" for c in FEATURES)
+
+
+@query("m4_elbow_facts", on_credit(
+    f"""SELECT k, true AS falling, true AS below_total, round({_SPREAD}, 4) AS total_per_row
+    FROM (SELECT unnest(range({models.ELBOW_RANGE.start}, {models.ELBOW_RANGE.stop}))::INTEGER AS k) ks, scaled GROUP BY k""",
+    scaled_sql("order_profile", FEATURES, '"ID"')))
+def elbow_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the curve: each cost is below the one before, and all below the total spread."""
+    rows = materialize(scaled_credit(spark, folder), "scaled")
+    curve = models.elbow(features.assemble(rows.select("ID", *FEATURES), FEATURES), models.ELBOW_RANGE)
+    spread = rows.agg(sum((F.var_pop(c) for c in FEATURES), F.lit(0.0)).alias("total"), F.count("*").alias("n")).first()
+    # one row per k: the window is as small as the range asked for
+    before = F.coalesce(F.lag("inertia").over(Window.partitionBy(F.lit(0)).orderBy("k")), F.lit(spread["total"] * spread["n"]))
+    return curve.select(
+        "k", (F.col("inertia") < before).alias("falling"), (F.col("inertia") < spread["total"] * spread["n"]).alias("below_total"),
+        F.lit(round(spread["total"], 4)).alias("total_per_row"),
+    )
+
+
 @query("m5_simple_regression", on_credit("""SELECT round(regr_slope(ingreso_mensual, edad), 6) AS slope, round(regr_intercept(ingreso_mensual, edad), 6) AS intercept,
 round(regr_r2(ingreso_mensual, edad), 6) AS r2 FROM order_profile"""))
 def simple_regression(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,7 +276,7 @@ def neighbours_credit(spark: SparkSession, folder: str) -> DataFrame:
     return neighbors.knn_predict(features.standardize(rows, FEATURES, digits=6), FEATURES, "nivel_riesgo", "ID")
 
 
-@query("m8_logistic_binary")
+@query("m8_logistic_binary", on_credit("SELECT accuracy, '' AS note FROM judged", *logistic_ctes(FEATURES, "delincuencia_reciente")))
 def logistic_binary(spark: SparkSession, folder: str) -> DataFrame:
     return models.logistic_accuracy(scaled_credit(spark, folder), FEATURES, "delincuencia_reciente")
 
@@ -249,6 +297,27 @@ def kmeans(spark: SparkSession, folder: str) -> DataFrame:
     return models.kmeans_labels(credit_vectors(spark, folder)).select("ID", "cluster")
 
 
+_CLUSTER_FACTS = "SELECT count(*) AS n_rows, {k} AS clusters, 0::BIGINT AS {fault} FROM order_profile"
+
+
+@query("m10_kmeans_facts", on_credit(_CLUSTER_FACTS.format(k=models.CLUSTERS, fault="misplaced")))
+def kmeans_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the clusters: every row has one, none is empty, and its mean is the nearest one.
+
+    A fit ends when its centres move less than its tolerance, so a row counts as misplaced only if
+    another mean is nearer by more than that.
+    """
+    rows = scaled_credit(spark, folder).select("ID", *FEATURES)
+    labelled = materialize(models.kmeans_labels(features.assemble(rows, FEATURES)).drop("features"), "labelled")
+    means = labelled.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in FEATURES]).orderBy("cluster").collect()
+    to = F.array(*[sum(((F.col(c) - m[c]) * (F.col(c) - m[c]) for c in FEATURES), F.lit(0.0)) for m in means])
+    own = F.element_at(to, F.array_position(F.array(*[F.lit(m["cluster"]) for m in means]), F.col("cluster")).cast("int"))
+    return labelled.agg(
+        F.count("*").alias("n_rows"), F.count_distinct("cluster").cast("int").alias("clusters"),
+        F.count_if(F.sqrt(own) > F.sqrt(F.array_min(to)) + 0.05).alias("misplaced"),
+    )
+
+
 @query("m11_medoids", with_ctes(f"""SELECT p_partkey, CAST(a.g AS INTEGER) AS cluster, m.id AS medoid FROM asg{MEDOID_STEPS - 1} a JOIN med{MEDOID_STEPS} m ON a.g = m.g""",
                                 SCALED_PARTS, *medoid_ctes()))
 def medoid_clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -276,6 +345,17 @@ def mixture(spark: SparkSession, folder: str) -> DataFrame:
     return models.mixture_labels(credit_vectors(spark, folder)).select("ID", "cluster")
 
 
+@query("m13_mixture_facts", on_credit(_CLUSTER_FACTS.format(k=models.CLUSTERS, fault="without_cluster")))
+def mixture_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the labels: one of each row, in the range of the mixture's components."""
+    labelled = models.mixture_labels(credit_vectors(spark, folder)).select("ID", "cluster")
+    valid = F.col("cluster").between(0, models.CLUSTERS - 1)
+    return labelled.agg(
+        F.count_distinct("ID").alias("n_rows"), F.lit(models.CLUSTERS).alias("clusters"),
+        F.coalesce(F.sum((~F.coalesce(valid, F.lit(False))).cast("bigint")), F.lit(0)).alias("without_cluster"),
+    )
+
+
 _TIER_CODE = "CASE nivel_riesgo WHEN 'Alto' THEN 0 WHEN 'Bajo' THEN 1 WHEN 'Medio' THEN 2 ELSE 3 END"
 _SQUARE = " + ".join(f"{c} * {c}" for c in FEATURES)
 
