@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabscope.operators.leaves import matrix
 from tabscope.scratch import materialize
 
 BATCH = 128
@@ -36,10 +37,6 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), width)
-
-
 def _groups(x: np.ndarray, centers: np.ndarray | None) -> np.ndarray:
     """Nearest centre, ties to the first; a single group without centres."""
     return np.zeros(len(x), dtype=np.int64) if centers is None else np.argmin(_distances(x, centers), axis=1)
@@ -48,7 +45,7 @@ def _groups(x: np.ndarray, centers: np.ndarray | None) -> np.ndarray:
 def _group_means(points: DataFrame, centers: np.ndarray | None, width: int) -> dict[int, tuple[int, np.ndarray]]:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, w = _matrix(batch["x"], width), batch["n"].to_numpy()
+            x, w = matrix(batch["x"], width), batch["n"].to_numpy()
             g = _groups(x, centers)
             for group in np.unique(g):
                 at = g == group
@@ -65,7 +62,7 @@ def _candidates(points: DataFrame, centers: np.ndarray | None, width: int, known
 
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, ids = _matrix(batch["x"], width), batch["id"].to_numpy()
+            x, ids = matrix(batch["x"], width), batch["id"].to_numpy()
             g = _groups(x, centers)
             for group in np.unique(g):
                 mine, mine_ids = x[g == group], ids[g == group]
@@ -100,7 +97,7 @@ def _sums(
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals = {g: np.zeros((len(ids), width + 1)) for g, (ids, _) in chosen.items()}
         for batch in batches:
-            x, w = _matrix(batch["x"], width), batch["n"].to_numpy(dtype=np.float64)
+            x, w = matrix(batch["x"], width), batch["n"].to_numpy(dtype=np.float64)
             g = _groups(x, centers)
             for group, total in totals.items():
                 mine, weight, at = x[g == group], w[g == group][:, None], chosen[group][1]

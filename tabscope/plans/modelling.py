@@ -395,6 +395,26 @@ def best_model(spark: SparkSession, folder: str) -> DataFrame:
     return report.best_model(comparison(spark, folder))
 
 
+_MODELS = [("Regresión lineal simple", "r2"), ("Regresión lineal múltiple", "r2"), ("Regresión logística", "accuracy"), ("LDA", "accuracy"),
+           ("KNN", "accuracy"), ("KMeans", "silhouette"), ("KMedoids", "silhouette"), ("GMM", "silhouette"), ("DBSCAN", "silhouette")]
+_PLAIN = (0, 1, 4)
+
+
+@query("m16_comparison_facts", with_ctes(
+    f"""SELECT ord::INTEGER AS ord, model, metric, CASE WHEN ord IN (0, 1) THEN (SELECT round(regr_r2(p_retailprice, p_size), 6) FROM parts_raw)
+      WHEN ord = 4 THEN (SELECT round(avg(CASE WHEN p_type = prediction THEN 1.0 ELSE 0.0 END), 6) FROM predicted) END AS score,
+    CASE WHEN ord = 2 AND (SELECT count(DISTINCT p_type) FROM part) <> 2 THEN '{report.NOT_APPLICABLE}' ELSE '' END AS note, true AS in_range
+    FROM (VALUES {', '.join(f"({i}, '{m}', '{metric}')" for i, (m, metric) in enumerate(_MODELS))}) AS lines(ord, model, metric)""",
+    SCALED_PARTS, "parts_raw AS (SELECT * FROM part)", NEAREST.format(key="p_partkey", label="p_type", t="parts", distance=PART_GAP2)))
+def comparison_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The comparison's lines; scores that plain SQL can give are shown, the others must lie in their range."""
+    low = F.when(F.col("metric") == "silhouette", -1.0).otherwise(0.0)
+    return rounded(comparison(spark, folder).select(
+        "ord", "model", "metric", F.when(F.col("ord").isin(*_PLAIN), F.col("score")).alias("score"), "note",
+        F.coalesce(F.col("score").between(low, F.lit(1.0)), F.lit(True)).alias("in_range"),
+    ))
+
+
 @query("s7_report", on_credit("""SELECT count(*) AS lines, CAST(sum(n) AS BIGINT) AS n FROM (
 SELECT count(*) AS n FROM order_profile GROUP BY nivel_riesgo UNION ALL SELECT count(*) FROM order_profile GROUP BY num_dependientes)"""))
 def written_report(spark: SparkSession, folder: str) -> DataFrame:

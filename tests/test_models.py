@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.operators import components, density, features, medoids, models, neighbors, report, silhouette
+from tabscope.operators import components, density, features, leaves, medoids, models, neighbors, report, silhouette
 
 
 def frame(spark, x, **extra):
@@ -247,3 +247,65 @@ def test_model_comparison(spark, blobs, tmp_path):
     assert best.score == max(r.score for r in rows.values() if r.metric == "silhouette")
     paths = report.write_report({"models": table}, str(tmp_path))
     assert spark.read.parquet(paths["models"]).count() == 9
+
+
+def test_neighbours_through_two_levels_of_leaves(spark):
+    rng = np.random.default_rng(5)
+    n = 400
+    x = np.column_stack([rng.random(n) < 0.3, rng.normal(size=n)]).astype(float) * [50.0, 1.0]
+    pdf = pd.DataFrame({"id": np.arange(n), "a": x[:, 0], "b": x[:, 1], "y": rng.integers(0, 3, n)})
+    df = spark.createDataFrame(pdf)
+    parts = leaves.split(df.select("id", F.array("a", "b").alias("x")), "x", 2, 20, "test", level_depth=2)
+    assert parts.levels >= 2 and parts.rows.count() == n
+    assert parts.rows.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 40
+    got = {r["id"]: r["prediction"] for r in neighbors.knn_predict(df, ["a", "b"], "y", "id", k=3, leaf_rows=20, level_depth=2).collect()}
+    for i in range(n):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        near = pdf["y"].to_numpy()[np.lexsort((pdf["id"], d))[:3]]
+        assert got[i] == np.bincount(near).argmax()
+
+
+def test_leaves_of_equal_rows_stay_and_missing_features_are_refused(spark):
+    same = spark.range(500).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("x"))
+    parts = leaves.split(same, "x", 2, 10, "test")
+    assert parts.levels == 0 and parts.rows.select("leaf").distinct().count() == 1
+    assert leaves.split(same.limit(0), "x", 2, 10, "test").rows.count() == 0
+    with pytest.raises(ValueError, match="missing"):
+        leaves.matrix(pd.Series([[1.0, None]]), 2)
+
+
+def test_copies_of_the_medoid_need_no_more_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 2))
+    rounds = []
+    plain = medoids._sums
+    monkeypatch.setattr(medoids, "_sums", lambda *a: rounds.append(1) or plain(*a))
+
+    def fit(points):
+        rounds.clear()
+        pdf = pd.DataFrame({"id": np.arange(len(points)), "a": points[:, 0], "b": points[:, 1]})
+        found = medoids.fit_medoids(spark.createDataFrame(pdf), ["a", "b"], "id", k=1)
+        return found[0][0], len(rounds)
+
+    best, without = fit(x)
+    copied, with_copies = fit(np.vstack([x, np.repeat(x[best:best + 1], 700, axis=0)]))
+    assert copied == best and with_copies <= without
+
+
+def test_first_medoids_count_copies_as_rows(spark):
+    rows = [(4, 0.0), (1, 0.0), (2, 1.0), (3, -5.0), (5, 6.0)]
+    df = spark.createDataFrame(rows, "id int, a double")
+    out = {r["id"]: (r["cluster"], r["medoid"]) for r in medoids.medoid_labels(df, ["a"], "id", k=2).collect()}
+    assert set(out) == {1, 2, 3, 4, 5} and all(m in out for _, m in out.values())
+
+
+def test_discriminant_of_many_classes_and_missing_features(spark):
+    rng = np.random.default_rng(7)
+    cls = np.repeat(np.arange(1500), 4)
+    x = np.column_stack([cls % 40, cls // 40]) * 10.0 + rng.normal(scale=0.1, size=(6000, 2))
+    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "cls": [f"c{c}" for c in cls]})
+    df = spark.createDataFrame(pdf).union(spark.createDataFrame([(None, 1.0, "c1")], "a double, b double, cls string"))
+    out = models.discriminant_predict(df, ["a", "b"], "cls").toPandas()
+    assert (out["prediction"] == out["cls"])[:-1].all() and out["prediction"].iloc[-1] is None
+    empty = models.discriminant_predict(df.limit(0), ["a", "b"], "cls")
+    assert empty.count() == 0 and empty.columns == ["a", "b", "cls", "prediction"]

@@ -155,3 +155,18 @@ def test_histogram_counts_by_edges(spark):
         bins = int(rng.integers(3, 31))
         got = charts.histogram(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double"), ["x"], bins)
         assert [r.n for r in got.orderBy("bin").collect()] == np.histogram(x, bins)[0].tolist(), k
+
+
+def test_quantiles_of_tails_with_an_outlier_and_missed_brackets(spark, monkeypatch):
+    values = np.concatenate([np.random.default_rng(3).normal(size=20000), [-1e12, 1e12]])
+    df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(5)
+    probs = [0.0, 0.001, 0.5, 0.999, 1.0]
+
+    def check():
+        got = {r["q"]: r["value"] for r in quantiles.exact_quantiles(df, ["v"], probs).collect()}
+        for p in probs:
+            assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+    check()
+    monkeypatch.setattr(quantiles, "MARGIN", 1e-6)
+    check()

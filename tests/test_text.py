@@ -70,3 +70,13 @@ def test_a_single_repeated_word_has_no_pair_score(spark):
     df = spark.createDataFrame([("spam spam spam",)], "text string")
     assert [(r.term, r.n) for r in text.term_weights(df, "text").collect()] == [("spam", 3)]
     assert text.term_weights(df.limit(0), "text").isEmpty()
+
+
+def test_terms_with_folded_plurals(spark):
+    lines = ["red cars", "red car", "red cars", "glass", "glas", "dog's 12 bus", "bu"] * 40
+    df = spark.createDataFrame([(t,) for t in lines], "text string")
+    got = {r["term"]: r["n"] for r in text.term_weights(
+        df, "text", stop_words=[], fold_plurals=True, strip_possessive=True, drop_numbers=True).collect()}
+    # "cars" counts as "car", "glass" keeps its double s, the pair takes both words away
+    assert got["red car"] == 120 and "red" not in got and "car" not in got and "cars" not in got
+    assert got["glass"] == 40 and got["glas"] == 40
