@@ -7,7 +7,9 @@ domain k and T_k its target; the rates minimise the sum of (S_k - T_k)^2 / D_k,
 of t p_k. In the metric of tokens the gradient at a document is sum of p_k (S_k - T_k) / D_k: a
 handful of numbers that all documents share. So a step is one pass that adds up S, and a document's
 rate is a chain of projected steps over the numbers of the passes before; nothing but K numbers
-moves. Eigenvalues of the step are at most 1, so steps below 2 converge: whole steps end what all
+moves. Posteriors are stated in parts of ``GRAIN``, and documents of equal posteriors have equal rates,
+so they are added up once: the passes read a table of at most half a million rows (three domains),
+however many documents there are. Eigenvalues of the step are at most 1, so steps below 2 converge: whole steps end what all
 domains miss alike, longer ones between them what only some of them miss.
 
 Edge cases: null and empty texts have no tokens, prior posteriors, and the rate the steps give them;
@@ -35,6 +37,7 @@ EVIDENCE = 40.0  # words that a document's evidence counts as, at most
 STEPS = 60
 LONG_STEP = 1.8
 TOLERANCE = 1e-4
+GRAIN = 1000  # a posterior is a whole number of parts of this size
 DIGITS = 6
 
 
@@ -70,7 +73,7 @@ def _summed(held: Column) -> Column:
 
 
 def with_posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens and p (posteriors in the order of ``DOMAINS``)."""
+    """``docs`` with n_tokens and p (posteriors in the order of ``DOMAINS``, in whole parts of ``GRAIN``)."""
     prior, logs = model
     tokens = without(docs, "n_tokens", "p", "__b", "__l").withColumn("__b", F.transform(words(F.col(text)), bucket))
     tokens = tokens.withColumn("n_tokens", F.size("__b").cast("long"))
@@ -82,31 +85,50 @@ def with_posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]
         odds.append(share * _summed(held) + F.lit(prior[k] - prior[0]))
     tokens = tokens.withColumn("__l", F.array(*odds)).withColumn("__l", F.transform("__l", lambda x: F.exp(x - F.array_max("__l"))))
     total = F.aggregate("__l", F.lit(0.0), lambda s, x: s + x)
-    return tokens.withColumn("p", F.transform("__l", lambda x: x / total)).drop("__b", "__l")
+    tokens = tokens.withColumn("__l", F.transform("__l", lambda x: F.round(x / total * GRAIN)))
+    parts, left = [], F.lit(float(GRAIN))
+    for k in range(1, len(DOMAINS)):
+        parts.append(F.least(F.col("__l")[k], left))
+        left = left - parts[-1]
+    return tokens.withColumn("p", F.transform(F.array(left, *parts), lambda x: x / GRAIN)).drop("__b", "__l")
+
+
+def grouped(members: DataFrame) -> DataFrame:
+    """Tokens of the documents of equal posteriors: all that the fit needs to know."""
+    return materialize(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "mixing-groups")
 
 
 def rate(history: list[list[float]], start: float) -> Column:
-    """A document's rate after the steps of ``history``, each the scaled residuals by domain."""
-    w = F.lit(start)
-    for residual in history:
-        slope = sum((F.col("p")[k] * F.lit(r) for k, r in enumerate(residual)), F.lit(0.0))
-        w = F.greatest(F.lit(0.0), w - slope)
-    return w
+    """A document's rate after the steps of ``history``, each the scaled residuals by domain.
+
+    The steps are one constant array, so the expression is as small after many steps as after one.
+    """
+    if not history:
+        return F.lit(start)
+    listed = F.lit(";".join(",".join(repr(r) for r in residual) for residual in history))
+    steps = F.transform(F.split(listed, ";"), lambda r: F.split(r, ",").cast("array<double>"))
+
+    def step(w: Column, residual: Column) -> Column:
+        slope = sum((F.col("p")[k] * residual[k] for k in range(len(DOMAINS))), F.lit(0.0))
+        return F.greatest(F.lit(0.0), w - slope)
+
+    return F.aggregate(steps, F.lit(start), step)
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> tuple[list[list[float]], float]:
-    """(history, start) for ``rate`` from a written table of n_tokens and p."""
+    """(history, start) for ``rate`` from a written table of n_tokens and p, see ``grouped``."""
     kinds = range(len(DOMAINS))
 
     def sizes(weight: Column) -> list[float]:
-        row = members.agg(*[F.sum(weight * F.col("n_tokens") * F.col("p")[k]) for k in kinds]).first()
+        drawn = members.select((weight * F.col("n_tokens")).alias("t"), "p")
+        row = drawn.agg(*[F.sum(F.col("t") * F.col("p")[k]) for k in kinds]).first()
         return [float(x or 0.0) for x in row]
 
     there = sizes(F.lit(1.0))
     wanted = [budget * sum(there) * targets[d] / sum(targets.values()) for d in DOMAINS]
     history: list[list[float]] = []
     for step in range(STEPS):
-        now = sizes(rate(history, budget)) if history else [budget * x for x in there]
+        now = sizes(rate(history, budget))
         miss = [s - t if d > 0 else 0.0 for s, t, d in zip(now, wanted, there)]
         if max(map(abs, miss)) <= TOLERANCE * max(sum(wanted), 1.0):
             break
@@ -119,7 +141,7 @@ def mix(docs: DataFrame, labels: DataFrame, text: str = "text", targets: dict[st
     """``docs`` without its text, with n_tokens, p, domain (the likeliest) and rate."""
     scored = with_posteriors(docs, learn(docs.withColumnRenamed(text, "text"), labels), text).drop(text)
     members = materialize(scored, "mixing")
-    history, start = fit_rates(members.select("n_tokens", "p"), targets, budget)
+    history, start = fit_rates(grouped(members), targets, budget)
     names = F.array(*[F.lit(d) for d in DOMAINS])
     likeliest = F.element_at(names, F.array_position("p", F.array_max("p")).cast("int"))
     return without(members, "domain", "rate").withColumn("domain", likeliest).withColumn("rate", F.round(rate(history, start), DIGITS))
@@ -137,6 +159,6 @@ def apply_rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns = [c for c in docs.columns if c.lower() != "rate"]
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     scored = materialize(with_posteriors(plain, model, f"c{columns.index('text')}"), "mixing-rows")
-    history, start = fit_rates(scored.select("n_tokens", "p"))
+    history, start = fit_rates(grouped(scored))
     kept = scored.withColumn("rate", F.round(rate(history, start), DIGITS)).filter("rate > 0")
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "rate")

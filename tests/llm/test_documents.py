@@ -393,6 +393,18 @@ def test_mixing_meets_targets_like_a_plain_solver(spark):
     assert ((got * t)[:, None] * p).sum(axis=0) == pytest.approx(wanted, rel=5e-3)
 
 
+def test_mixing_groups_hold_all_tokens(spark):
+    texts = [(i, prose(i % 20, 10 + i % 7)) for i in range(80)] + [(90, None), (91, ""), (91, "")]
+    model = ([0.0, -0.2, 0.1], np.random.default_rng(3).normal(size=(3, mixing.BUCKETS)).tolist())
+    members = mixing.with_posteriors(table(spark, texts), model)
+    rows = members.select("n_tokens", "p").collect()
+    sums = collections.Counter()
+    for r in rows:
+        assert sum(r["p"]) == pytest.approx(1) and all(0 <= x <= 1 and round(x * mixing.GRAIN) == pytest.approx(x * mixing.GRAIN) for x in r["p"])
+        sums[tuple(r["p"])] += r["n_tokens"]
+    assert {tuple(r["p"]): r["n_tokens"] for r in mixing.grouped(members).collect()} == dict(sums) and len(sums) > 5
+
+
 def test_mixing_of_documents(spark, odd):
     texts = [*odd, *[(100 + i, prose(i)) for i in range(60)], *[(200 + i, "!! ## zzz " * 20) for i in range(30)]]
     labels = spark.createDataFrame([(100 + i, 1, 0) for i in range(40)] + [(200 + i, 0, 0) for i in range(20)] + [(7, None, None)], "doc_id long, quality int, toxic int")
