@@ -2,9 +2,11 @@
 
 One pass turns every shard of texts into one row: its numbered words, its list of distinct words and
 their training counts, packed. From these rows come, by block of hash values, the shards' word lists
-(summed over the shards and sent back as counts by word number) and the shards' training bigrams
-(summed, quantised, and set into their part of the filter). Tokens themselves are never shuffled
-one by one, and a frequent word or bigram is one entry per shard.
+(summed over the shards and sent back as counts by word number) and the shards' bigrams (training
+counts summed, quantised, and set into the block's filter, which is probed for the same lists; the
+levels found go back to the shards). No filter leaves its block, so every training bigram has an entry
+at any size of the corpus. Tokens themselves are never shuffled one by one, and a frequent word or
+bigram is one entry per shard.
 
 Edge cases: null and empty texts are the end token alone; without training documents every score is
 log10(1) = 0; a null doc_id counts as the empty id and is training; repeated rows count as rows.
@@ -31,7 +33,6 @@ from tabscope.scratch import materialize
 SHARD = 4 << 20  # bytes of text that share one word list
 BLOCK_WORDS = 1 << 19  # words of text for each block of hash values
 BITS_PER_ENTRY = 8
-MAX_FILTER_BITS = 1 << 31  # the broadcast's bound, 256 MB: beyond it the rarest bigrams have no entry
 PRIOR = 40.0  # weight of the unigram probability against the counts after a word
 _END = 0x2545F4914F6CDD1D  # stands for the hash of the end token, also before the first word
 _PROBES = 5
@@ -59,16 +60,17 @@ class LogBloom:
         return (mix % sizes.astype(np.uint64)).astype(np.int64)
 
     @classmethod
-    def block(cls, rests: np.ndarray, counts: np.ndarray, most: int) -> tuple[int, bytes]:
+    def block(cls, rests: np.ndarray, counts: np.ndarray, most: int | None = None) -> tuple[int, bytes]:
         """Bits of one block from its n-grams: (number of bits, bytes), ``BITS_PER_ENTRY`` for each entry.
 
-        If that is over ``most`` bits, the rarest counts stay out, so that the others keep their precision.
+        With ``most``, which ``scores`` never gives, the rarest counts stay out of a filter of more bits.
         """
         q = levels(counts)
-        of_count = np.bincount(counts, weights=q)
-        fits = np.flatnonzero(np.cumsum(of_count[::-1])[::-1] * BITS_PER_ENTRY <= most)
-        kept = counts >= (fits[0] if len(fits) else len(of_count))
-        rests, q = rests[kept], q[kept]
+        if most is not None:
+            of_count = np.bincount(counts, weights=q)
+            fits = np.flatnonzero(np.cumsum(of_count[::-1])[::-1] * BITS_PER_ENTRY <= most)
+            kept = counts >= (fits[0] if len(fits) else len(of_count))
+            rests, q = rests[kept], q[kept]
         size = max(64, int(q.sum() * BITS_PER_ENTRY))
         size += -size % 8
         held = np.zeros(size, np.uint8)
@@ -88,8 +90,12 @@ class LogBloom:
         return cls(np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(parts), np.uint8))
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Estimated counts: probe level after level until one fails; the middle of the last level held."""
-        estimate = np.zeros(len(hashes))
+        """Estimated counts: the middle of the last level held."""
+        return middle(self.held(hashes))
+
+    def held(self, hashes: np.ndarray) -> np.ndarray:
+        """Levels held (0: none): probe level after level until one fails."""
+        last = np.zeros(len(hashes), np.uint8)
         active = np.arange(len(hashes))
         blocks = block_of(hashes, len(self.sizes))
         rests = rest_of(hashes, len(self.sizes))
@@ -100,9 +106,14 @@ class LogBloom:
                 block = blocks[active]
                 at = self.first_bits[block] + self.places(rests[active], level, probe, self.sizes[block])
                 active = active[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            estimate[active] = (2.0 ** (level - 1) + 2.0**level - 1) / 2
+            last[active] = level
             level += 1
-        return estimate
+        return last
+
+
+def middle(held: np.ndarray) -> np.ndarray:
+    """Middle of the counts of a level, 0 for none."""
+    return np.where(held > 0, (2.0 ** (held.astype(float) - 1) + 2.0 ** held.astype(float) - 1) / 2, 0.0)
 
 
 def block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
@@ -216,28 +227,25 @@ def word_counts(texts: DataFrame, blocks: int) -> DataFrame:
     return materialize(rows.groupBy("block").applyInArrow(add, "words_of long, numbers binary, counts binary, fresh long"), "lm-counts")
 
 
-def training_bigrams(texts: DataFrame, blocks: int) -> DataFrame:
-    """(block, data, more): distinct training bigrams of a shard by block, as 32-bit rests of their
-    hashes; ``more`` has the counts above one of the last of them."""
+def shard_bigrams(texts: DataFrame, blocks: int) -> DataFrame:
+    """(block, levels_of, data, counts): distinct bigrams of a shard by block, as the steps between the
+    32-bit rests of their hashes in order, and their training counts, zero for held-out texts alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 arrays = np.split(unpacked(row["numbers"], np.uint32), np.cumsum(row["sizes"])[:-1])
-                mine = [a for a, held in zip(arrays, row["folds"]) if not held]
-                if not mine:
-                    continue
-                grams, n = np.unique(bigrams(mine, word_hashes(_whole(row["names"]).split())), return_counts=True)
+                grams, at = np.unique(bigrams(arrays, word_hashes(_whole(row["names"]).split())), return_inverse=True)
+                training = np.repeat(~np.array(row["folds"], bool), np.array(row["sizes"], np.int64) + 1)
+                n = np.bincount(at[training], minlength=len(grams)).astype(np.uint32)
                 parts = _by_block(block_of(grams, blocks), blocks)
-                data, more = [], []
-                for _, at in parts:
-                    order = np.argsort(n[at] > 1, kind="stable")
-                    data.append(rest_of(grams[at], blocks)[order].tobytes())
-                    more.append(n[at][order][n[at][order] > 1].astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _ in parts], pa.int32()), pa.array(data, pa.binary()), pa.array(more, pa.binary())], names=["block", "data", "more"])
+                rests = rest_of(grams, blocks)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([b for b, _ in parts], pa.int32()), pa.array([row["shard"]] * len(parts), pa.int64()),
+                    pa.array([packed(np.diff(rests[at], prepend=np.uint32(0))) for _, at in parts], pa.binary()), pa.array([packed(n[at]) for _, at in parts], pa.binary()),
+                ], names=["block", "levels_of", "data", "counts"])
 
-    return texts.select("folds", "sizes", "numbers", "names").mapInArrow(run, "block int, data binary, more binary")
+    return texts.select("shard", "folds", "sizes", "numbers", "names").mapInArrow(run, "block int, levels_of long, data binary, counts binary")
 
 
 def word_hashes(names: list[bytes]) -> np.ndarray:
@@ -257,29 +265,28 @@ def bigrams(texts: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
     return bigram(hashes[np.concatenate(([len(hashes) - 1], tokens[:-1]))], hashes[tokens])
 
 
-def build_filter(grams: DataFrame, blocks: int) -> LogBloom:
-    """Sum the bigram counts of each block and set its bits; blocks are random parts of equal bounds."""
-    most = MAX_FILTER_BITS // blocks
+def bigram_levels(grams: DataFrame) -> DataFrame:
+    """(levels_of, block, levels): the levels a block's filter holds of the bigrams of each shard, in their order.
+
+    The training counts of a block are summed over the shards and set into its filter, all of them.
+    Blocks are equal ranges of hash values and grow in number with the text, so none of them grows.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        rests = [np.frombuffer(x.as_py(), np.uint32) for x in table["data"]]
-        counts = []
-        for rest, more in zip(rests, table["more"]):
-            n = np.ones(len(rest), np.int64)
-            high = np.frombuffer(more.as_py(), np.uint32)
-            n[len(n) - len(high) :] = high
-            counts.append(n)
+        rests = [np.cumsum(unpacked(x.as_py(), np.uint32), dtype=np.uint32) for x in table["data"]]
+        counts = np.concatenate([unpacked(x.as_py(), np.uint32) for x in table["counts"]])
         grams, at = np.unique(np.concatenate(rests), return_inverse=True)
-        size, bits = LogBloom.block(grams, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64), most)
-        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "size": pa.array([size], pa.int64()), "bits": pa.array([bits], pa.binary())})
+        total = np.bincount(at, weights=counts).astype(np.int64)
+        size, bits = LogBloom.block(grams[total > 0], total[total > 0])
+        held = LogBloom.of([(0, size, bits)], 1).held(grams.astype(np.uint64) << np.uint64(32))[at]
+        back = [packed(x) for x in np.split(held, np.cumsum([len(r) for r in rests])[:-1])]
+        return pa.table({"levels_of": table["levels_of"], "block": table["block"], "levels": pa.array(back, pa.binary())})
 
-    made = grams.groupBy("block").applyInArrow(run, "block int, size long, bits binary")
-    return LogBloom.of([(r["block"], r["size"], bytes(r["bits"])) for r in made.collect()], blocks)
+    return grams.groupBy("block").applyInArrow(run, "levels_of long, block int, levels binary")
 
 
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id, 7, 2).alias("held_out"), F.col(text).alias("text"))
     texts = numbered(rows)
     facts = texts.agg(
@@ -292,7 +299,8 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     tokens = int(facts["training"] or 0) + ends
     known = word_counts(texts, blocks)
     kinds = int(known.agg(F.sum("fresh")).first()[0] or 0) + (ends > 0)
-    model = spark.sparkContext.broadcast(build_filter(training_bigrams(texts, blocks), blocks))
+    levelled = bigram_levels(shard_bigrams(texts, blocks)).withColumnRenamed("levels_of", "words_of")
+    replies = known.select("words_of", "numbers", "counts").unionByName(levelled, allowMissingColumns=True)
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
@@ -306,28 +314,33 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
             names = _whole(row["names"]).split()
             counts = np.zeros(len(names) + 1)
             counts[-1] = ends
-            for back in _rows(right.select(["numbers", "counts"])):
-                counts[unpacked(back["numbers"], np.uint32)] = unpacked(back["counts"], np.int64)
+            held = []
+            for back in _rows(right.select(["numbers", "counts", "block", "levels"])):
+                if back["levels"] is None:
+                    counts[unpacked(back["numbers"], np.uint32)] = unpacked(back["counts"], np.int64)
+                else:
+                    held.append((back["block"], unpacked(back["levels"], np.uint8)))
+            seen = middle(np.concatenate([x for _, x in sorted(held, key=lambda x: x[0])]))  # in the order of the hashes
             arrays = np.split(unpacked(row["numbers"], np.uint32), np.cumsum(row["sizes"])[:-1])
-            parts.append(score_texts(arrays, names, counts, tokens, kinds, model.value))
+            parts.append(score_texts(arrays, names, counts, tokens, kinds, seen))
         made = pd.concat(parts)
         ids, folds = pa.chunked_array([c.flatten() for c in left["ids"].chunks]), pa.chunked_array([c.flatten() for c in left["folds"].chunks])
         columns = [ids, folds, made["n_tokens"], made["n_known"], np.full(len(made), tokens, np.int64), made["base"], made["score"]]
         return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], schema=arrow)
 
-    return texts.groupBy("shard").cogroup(known.groupBy("words_of")).applyInArrow(run, schema)
+    return texts.groupBy("shard").cogroup(replies.groupBy("words_of")).applyInArrow(run, schema)
 
 
-def score_texts(texts: list[np.ndarray], names: list[bytes], counts: np.ndarray, tokens: int, kinds: int, model: LogBloom) -> pd.DataFrame:
-    """Scores of numbered texts; ``counts`` by word number, the end token's at the end."""
+def score_texts(texts: list[np.ndarray], names: list[bytes], counts: np.ndarray, tokens: int, kinds: int, seen: np.ndarray) -> pd.DataFrame:
+    """Scores of numbered texts; ``counts`` by word number, the end token's at the end; ``seen`` by distinct bigram in the order of the hashes."""
     if not texts:
         return pd.DataFrame({"n_tokens": [], "n_known": [], "base": [], "score": []})
     end = len(counts) - 1
     stream = with_ends(texts, end)
     before = np.concatenate(([end], stream[:-1]))
     unigram = (counts + 1) / (tokens + kinds + 1)
-    grams, at = np.unique(bigrams(texts, word_hashes(names)), return_inverse=True)
-    seen = np.minimum(model.counts(grams)[at], counts[before])
+    _, at = np.unique(bigrams(texts, word_hashes(names)), return_inverse=True)
+    seen = np.minimum(seen[at], counts[before])
     smoothed = (seen + PRIOR * unigram[stream]) / (counts[before] + PRIOR)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     first = np.cumsum(sizes) - sizes

@@ -266,6 +266,17 @@ def test_scores_without_training_rows(spark):
     assert lm.scores(docs.limit(0)).count() == 0
 
 
+def test_no_bigram_is_left_out_of_the_scores(spark, monkeypatch):
+    docs = table(spark, [(i, prose(i, 300)) for i in range(40)])
+    want = sorted((r["doc_id"], r["base_score"], r["score"]) for r in lm.scores(docs).collect())
+    monkeypatch.setattr(lm, "MAX_FILTER_BITS", 0, raising=False)  # there was a bound of this name: filters beyond it lost their rarest bigrams
+    assert sorted((r["doc_id"], r["base_score"], r["score"]) for r in lm.scores(docs).collect()) == want
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 500)
+    split = sorted((r["doc_id"], r["base_score"], r["score"]) for r in lm.scores(docs).collect())
+    assert [r[:2] for r in split] == [r[:2] for r in want]
+    assert [r[2] for r in split] == pytest.approx([r[2] for r in want], rel=0.02)  # other filters, other false hits
+
+
 @pytest.mark.parametrize("blocks", [1, 8])
 def test_filter_counts_are_quantised_never_low(blocks):
     rng = np.random.default_rng(0)
