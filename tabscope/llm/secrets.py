@@ -4,7 +4,8 @@ Spans are [start, end) in code points. A candidate string is a run of 24 or more
 class; a window slides over it while the sum of f(count) over its characters is kept by adding the
 one that enters and taking off the one that leaves, f(c) = c log2 c in millionths. A low sum is a
 high entropy: H = log2(window) - sum / window. Candidates on the allow-list are not reported, nor
-windows inside a span of a fixed pattern.
+windows inside a span of a fixed pattern. A find of the allow-list's placeholders or slashes excuses a
+candidate only if the rest of it is plain: / is also a letter of base64, and a token may end a path.
 
 Edge cases: null texts are empty and have no spans; repeated rows stay rows; columns of the output's
 names are replaced; matches of any number cost time in proportion (blocks of ``_BLOCK`` spans).
@@ -39,6 +40,10 @@ ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(key|token|secret)|xxxx|0123456789|abcdefgh",
     r"^/|/.*/.*/",  # paths
 )
+_PLACEHOLDER, _PATH = ALLOWED[3:]
+_WHOLE = ALLOWED[:3]  # these match all of a candidate
+#: Words, capitals, numbers and single signs of a name; random letters have one for every two characters.
+_PIECES = r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 _SCALE = 1_000_000
 _BLOCK = 256
 _SPANS = "array<struct<start:bigint,end:bigint,kind:int>>"
@@ -125,14 +130,17 @@ def dense_part(candidate: Column, window: int, least: float) -> Column:
     return _let(F.split(candidate, ""), over)
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with base_spans and entropy_spans: arrays of (start, end, kind), kind by ``KINDS``."""
+def with_spans(docs: DataFrame, text: str = "text", path_ends: bool = True) -> DataFrame:
+    """``docs`` with base_spans and entropy_spans: arrays of (start, end, kind), kind by ``KINDS``.
+
+    ``path_ends``: whether a random last segment makes a path a secret.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
     found = without(docs, "base_spans", "entropy_spans").withColumns({
         "__assign": F.filter(spans_of(whole, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= ASSIGN_LENGTH),
         "__access": F.when(whole.contains("AKIA"), spans_of(whole, ACCESS, 1)),
         "__hex": spans_of(whole, HEX, 2),
-        **{f"__{name}": F.filter(spans_of(whole, pattern, 3 + k), lambda s: ~_allowed(s["found"])) for k, (name, pattern, _, _) in enumerate(CLASSES)},
+        **{f"__{name}": _not_allowed(spans_of(whole, pattern, 3 + k), window, path_ends) for k, (name, pattern, window, _) in enumerate(CLASSES)},
     })
     none = F.array().cast(_SPANS)
     base = F.concat(_plain(F.col("__assign")), F.coalesce(_plain(F.col("__access")), none), _plain(F.col("__hex")))
@@ -156,11 +164,32 @@ def _by_start(a: Column, b: Column) -> Column:
     return order
 
 
-def _allowed(candidate: Column) -> Column:
+def _plain_name(name: Column) -> Column:
+    """Few pieces for its length, or on the allow-list as a whole: a name, not a random string."""
+    plain = (F.size(F.regexp_extract_all(name, F.lit(_PIECES), F.lit(0))) - 1) * 4 <= F.greatest(F.lit(4), F.length(name))
+    for pattern in _WHOLE:
+        plain = plain | name.rlike(pattern)
+    return plain
+
+
+def _allowed(candidate: Column, window: int, path_ends: bool) -> Column:
+    """On the allow-list. A path is one only if all its segments are plain names, and a placeholder
+    excuses a candidate only if what is left without it is plain too, or too short for a window.
+    Without ``path_ends`` the last segment after three names or more is not looked at."""
     allowed = F.lit(False)
-    for pattern in ALLOWED:
+    for pattern in _WHOLE:
         allowed = allowed | candidate.rlike(pattern)
-    return allowed
+    rest = F.regexp_replace(candidate, _PLACEHOLDER, "")
+    path = F.forall(F.split(rest, "/"), _plain_name)
+    if not path_ends:
+        before = F.split(F.regexp_replace(candidate, "/[^/]*$", ""), "/")
+        path = path | (F.forall(before, _plain_name) & (F.size(F.filter(before, lambda s: s != "")) >= 3))
+    path = candidate.rlike(_PATH) & path
+    return allowed | path | (candidate.rlike(_PLACEHOLDER) & ((F.length(rest) < window) | F.forall(F.split(rest, "/"), _plain_name)))
+
+
+def _not_allowed(spans: Column, window: int, path_ends: bool) -> Column:
+    return F.filter(spans, lambda s: ~_allowed(s["found"], window, path_ends))
 
 
 def _listed(spans: Column) -> Column:
@@ -169,8 +198,8 @@ def _listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256, spans."""
-    found = with_spans(docs.select("doc_id", "text")).drop("text")
+    """doc_id, counts by kind, base_sha256, spans. As in its SQL, a token at the end of a path of names has no span here."""
+    found = with_spans(docs.select("doc_id", "text"), path_ends=False).drop("text")
 
     def of(kind: int) -> Column:
         return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")

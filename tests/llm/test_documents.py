@@ -143,6 +143,21 @@ def test_secrets_equal_brute_force(spark, leaky):
     assert more[9] == 1 and more[10] == 0 and more[7] == 0
 
 
+def test_allow_list_excuses_names_not_secrets(spark):
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    rng = np.random.default_rng(8)
+    blob, short, key = "".join(rng.choice(letters, 1600)), "/" + "".join(rng.choice(letters[:-1], 39)), "Zx8Kq2Lw9Vt4Rb7Nm3Pc6Yd1"
+    hidden = [blob, short, blob[:700] + "xxxx" + blob[700:], f"/{key}/a/b/"]
+    names = ["/usr/local/lib/python3/site-packages/Setup", "https/docs/guide/AdvancedConfiguration/index", "sample_text_for_your_token_here_now", key[:20] + "EXAMPLE",
+             "/v1/items/123e4567-e89b-12d3-a456-426614174000/parts"]
+    docs = table(spark, list(enumerate([*hidden, *names, f"com/services/A/B/{key}"])))
+    spans = {r["doc_id"]: r["n_entropy"] for r in secrets.report(docs).collect()}
+    assert all(spans[i] == 1 for i in range(len(hidden))) and not any(spans[len(hidden) + i] for i in range(len(names)))
+    masked = [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()]
+    assert masked[len(hidden) : -1] == names
+    assert all(len(t) < 60 for t in masked[: len(hidden)]) and key not in masked[-1] and "[SECRET]" in masked[-1]
+
+
 def test_window_entropy_equals_a_recount(spark):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdefABCDEF0123456789xyzXYZ"[: int(k)]), n)) for k, n in zip(rng.integers(2, 28, 60), rng.integers(1, 70, 60))]
