@@ -7,10 +7,13 @@ import re
 
 # fixed values: elements by their part in a page's structure
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea select canvas audio video title".split())
+RAW = frozenset("script style noscript template svg iframe object textarea select canvas audio video title".split())
+TO_THE_END = frozenset("script style noscript iframe textarea title".split())  # these of RAW, if never closed, hold the rest of the page
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub "
-    "sup time tt u var".split()
+    "sup time tt u var "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mfenced "
+    "menclose mpadded mphantom mspace merror semantics annotation annotation-xml".split()
 )
 CLOSES = {  # an opening tag ends these open ones
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"),
@@ -45,15 +48,11 @@ class Page:
                 self.text[i] = " ".join(html.unescape(self.text[i]).split())
 
     def _read(self, source: str) -> None:
-        at, skip = 0, None
+        at, unclosed = 0, set()
         for found in _MARK.finditer(source):
             if found.start() < at:
                 continue
             name = (found[2] or "").lower()
-            if skip:
-                if found[1] and name == skip:
-                    skip, at = None, found.end()
-                continue
             self._add_text(source[at : found.start()])
             at = found.end()
             if not name:
@@ -63,12 +62,13 @@ class Page:
             elif name in RAW:
                 self._leaf = -1 if name not in INLINE else self._leaf
                 if not found[3].rstrip().endswith("/"):
-                    skip = name
-                    end = _end_of(source, name, at)
+                    end = None if name in unclosed else _end_of(source, name, at)
                     if end is not None:
-                        skip, at = None, end
-                    else:
+                        at = end
+                    elif name in TO_THE_END:
                         return
+                    else:  # its content is read like any other
+                        unclosed.add(name)
             elif name in ("br", "hr"):
                 self._add_text(" ")
             elif name in VOID:

@@ -88,6 +88,18 @@ def test_reader_of_untidy_html():
     assert dom.Page("").tag == ["#page"] and dom.Page("<script>never closed").text == [""]
 
 
+@pytest.mark.parametrize("name", ["video", "audio", "canvas", "object", "svg", "select", "template"])
+def test_reader_goes_on_after_an_unclosed_element(name):
+    page = dom.Page(f"<article><p>before</p><{name} class=x><p>after</p><{name}><p>end</p></article>")
+    assert [t for t in page.text if t] == ["before", "after", "end"]
+    assert [t for t in dom.Page(f"<p>a</p><{name}>gone</{name}><p>b</p>").text if t] == ["a", "b"]
+
+
+def test_reader_keeps_the_text_of_math():
+    page = dom.Page("<p>where <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds</p><p>next</p>")
+    assert [t for t in page.text if t] == ["where x=2 holds", "next"]
+
+
 def article(source):
     body = re.search(r"<article>(.*?)</article>", source, re.S)[1]
     body = re.sub(r"<[^>]+>", "", re.sub(r"</?(p|h1|br|div)\b[^>]*>", " ", body))
