@@ -11,41 +11,44 @@ def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def _place(key: str) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+PIECES = 20  # a text takes at most this part of its label's bound
 
 
-def _wanted(sizes: DataFrame, label: str, bytes_per_label: int, max_labels: int) -> Column:
-    """Share to take of each label, from rows of (label, size)."""
-    sums = sizes.filter(F.col(label).isNotNull()).groupBy(label).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    wanted = F.lit(0.0)
-    for row in sums.orderBy(F.desc("n"), label).limit(max_labels).collect():
-        share = min(1.0, bytes_per_label / max(row["size"], 1))
-        wanted = F.when(F.col(label) == F.lit(row[label]), F.lit(share)).otherwise(wanted)
-    return wanted
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
 
 
 def _size(text: str) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 64).cast("long").alias("size")  # 64: a row is never free
 
 
-def bounded_sample(rows: DataFrame, label: str, text: str, bytes_per_label: int, max_labels: int, key: str = "doc_id") -> DataFrame:
-    """Rows of ``rows`` picked by a hash of ``key``: about ``bytes_per_label`` bytes of text for each label.
+def bounded_sample(rows: DataFrame, label: str, text: str, bytes_per_label: int, key: str = "doc_id") -> DataFrame:
+    """Pieces of ``rows`` picked by hash: about ``bytes_per_label`` bytes of text for each label.
 
-    At most the ``max_labels`` most frequent labels are sampled, so the result is bounded by the two
-    parameters however large the table is. The expected bytes of a label are min(all, the bound).
+    A text counts with its first ``bytes_per_label`` / ``PIECES`` characters, so a few very long ones
+    neither hide their label nor starve its short ones. Besides, the row of the lowest hash of every
+    label is taken whatever its place, so no label is without text. Labels of any number are sampled.
     """
-    wanted = _wanted(rows.select(label, _size(text)), label, bytes_per_label, max_labels)
-    return rows.filter(F.col(label).isNotNull() & (_place(key) < wanted))
+    most = max(1, bytes_per_label // PIECES)
+    pieces = rows.filter(F.col(label).isNotNull()).withColumn(text, F.substring(F.col(text), 1, most))
+    sums = pieces.select(label, _place(key).alias("place"), _size(text)).groupBy(label).agg(F.sum("size").alias("size"), F.min("place").alias("least"))
+    shares = sums.select(label, F.greatest(F.lit(bytes_per_label) / F.greatest("size", F.lit(1)), F.col("least")).alias("__share"))
+    return pieces.join(F.broadcast(shares), label).filter(_place(key) <= F.col("__share")).drop("__share").select(*rows.columns)
 
 
 def labelled_sample(docs: DataFrame, marks: DataFrame, label: str, text: str, bytes_per_label: int, max_labels: int, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(sample, sized): like ``bounded_sample`` when the labels are a table of (key, label).
+    """(sample, sized): like ``bounded_sample`` when the labels are a table of (key, label), of the ``max_labels`` most frequent ones.
 
     Only keys and sizes meet the labels in a shuffle (``sized``). The picked keys, at most one for
     64 bytes of the bound, go out to the documents, so no text is moved but that of the sample.
     """
+    most = max(1, bytes_per_label // PIECES)
+    pieces = docs.withColumn(text, F.substring(F.col(text), 1, most))
     marks = marks.select(key, label).filter(F.col(label).isNotNull()).distinct()
-    sized = docs.select(key, _size(text)).join(marks, key)
-    picked = marks.filter(_place(key) < _wanted(sized.select(label, "size"), label, bytes_per_label, max_labels))
-    return docs.join(F.broadcast(picked), key), sized
+    sized = pieces.select(key, _size(text)).join(marks, key)
+    sums = sized.groupBy(label).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min(_place(key)).alias("least"))
+    wanted = F.lit(-1.0)
+    for row in sums.orderBy(F.desc("n"), label).limit(max_labels).collect():
+        share = max(bytes_per_label / max(row["size"], 1), row["least"])
+        wanted = F.when(F.col(label) == F.lit(row[label]), F.lit(share)).otherwise(wanted)
+    return pieces.join(F.broadcast(marks.filter(_place(key) <= wanted)), key), sized

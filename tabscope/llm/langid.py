@@ -24,7 +24,6 @@ from tabscope.llm.words import mixed
 
 ORDER = 4
 TRAIN_BYTES = 1 << 20  # text learned from, for each language
-MAX_LANGUAGES = 200
 UNKNOWN = "und"
 REJECT_QUANTILE = 0.995
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -222,7 +221,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
     """Learn from about ``train_bytes`` bytes of each language's documents that are not held out."""
     rows = docs.select(doc_id, F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     rows = rows.filter(~held_out(doc_id) & F.col("text").rlike(r"\p{L}"))
-    picked = bounded_sample(rows, "lang", "text", train_bytes, MAX_LANGUAGES, doc_id)
+    picked = bounded_sample(rows, "lang", "text", train_bytes, doc_id)
     return train(sorted((r["lang"], r["text"]) for r in picked.select("lang", "text").collect()))
 
 

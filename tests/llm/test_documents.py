@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tabscope.llm import decontaminate, langid, lm, mixing, quality, secrets, simhash, toxicity
+from tabscope.llm import decontaminate, folds, langid, lm, mixing, quality, secrets, simhash, toxicity
 from tabscope.llm.words import ALNUM, NOT_SPACE, Words, hash_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, Fingerprint string, hits int, p string, rate string, score string"
@@ -318,6 +318,16 @@ def test_a_full_filter_leaves_out_the_rarest():
     assert lm.LogBloom.block(rests, counts, 0)[0] == 64
 
 
+def test_sample_has_text_of_every_label(spark):
+    rows = [(i, "long", "x" * 400_000) for i in range(3)] + [(10 + i, "mixed", "y" * 100) for i in range(300)] + [(999, "mixed", "z" * 900_000)]
+    rows += [(2000 + i, f"rare{i:03}", "w" * 50) for i in range(230)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    size = collections.Counter()
+    for r in folds.bounded_sample(docs, "lang", "text", 20_000).collect():
+        size[r["lang"]] += len(r["text"])
+    assert len(size) == 232 and 1000 <= size["long"] <= 3000 and 10_000 < size["mixed"] < 30_000
+
+
 def spoken(lang, seed, n=40):
     words = {"en": PROSE, "de": "der schnelle braune fuchs springt über einen faulen hund während sieben kleine vögel in alten bäumen singen".split(),
              "el": "η γρήγορη αλεπού πηδά πάνω από το τεμπέλικο σκυλί ενώ επτά πουλιά τραγουδούν".split()}[lang]
