@@ -8,6 +8,9 @@ binary-searched in it; equal diagonals of neighbouring windows join to the longe
 Edge cases: null texts have no words; items without words match nothing; an item of fewer words than
 a window is one window; repeated items count once by id; items without an id hit words but are not
 listed; repeated documents stay rows; an empty benchmark leaves all documents clean.
+
+Only matches of a whole window are found: a shorter match with an item of 13 or more words is none, and
+``longest_match`` is 0 there.
 """
 
 from __future__ import annotations
