@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabscope.llm import quality, secrets
+from tabscope.llm import chat, quality, secrets
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -120,5 +120,44 @@ SELECT doc_id, coalesce(n.a, 0)::BIGINT AS n_assign, coalesce(n.b, 0)::BIGINT AS
 FROM d LEFT JOIN n USING (r) LEFT JOIN e USING (r) LEFT JOIN every USING (r)
 """
 
+_CONTROLS = "|".join("".join(f"\\{c}" if c in "|[]" else c for c in control) for control in chat.CONTROLS)
+_ESCAPED = "length({0}) + length({0}) - length(replace({0}, '\\', '')) + len(regexp_extract_all({0}, '" + _CONTROLS + "'))"
+CHAT = rf"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c, coalesce(floor(turn / {chat.SEGMENT}.0)::BIGINT, 1099511627776) AS seg,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS i, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + {chat.MARKS} AS k,
+         {len(chat.START) + len(chat.END) + 2} + {_ESCAPED.format("role")} + length(role) - length(replace(role, chr(10), '')) + {_ESCAPED.format("text")} AS n
+  FROM said
+), heads AS (
+  SELECT c, min(i) AS head, min_by(seg, i) AS head_seg, min_by(k, i) AS head_k, min_by(n, i) AS head_n FROM turns WHERE role = '{chat.ROLE_SYSTEM}' GROUP BY c
+), t AS (
+  SELECT *, sum(k) OVER (PARTITION BY c ORDER BY i) - k AS p, seg >= head_seg AS known,
+         greatest({chat.BUDGET - chat.HISTORY} - CASE WHEN seg >= head_seg THEN head_k ELSE 0 END, {(chat.BUDGET - chat.HISTORY) // 4}) AS room
+  FROM turns LEFT JOIN heads USING (c)
+), following AS (
+  SELECT a.c, a.seg, a.i, min(b.i) AS j FROM t a JOIN t b ON a.c = b.c AND a.seg = b.seg AND b.i > a.i AND b.p + b.k - a.p > a.room GROUP BY a.c, a.seg, a.i
+), firsts AS (
+  SELECT c, seg, min(i) AS i FROM t GROUP BY c, seg
+  UNION ALL SELECT x.c, x.seg, y.j FROM firsts x JOIN following y ON x.c = y.c AND x.seg = y.seg AND x.i = y.i
+), spans AS (
+  SELECT f.c, f.seg, f.i AS first, t.p, t.known, t.head, t.head_n, lead(f.i, 1, (SELECT max(m.i) FROM t m WHERE m.c = f.c) + 1) OVER (PARTITION BY f.c ORDER BY f.i) AS stop
+  FROM firsts f JOIN t ON t.c = f.c AND t.i = f.i
+), shown AS (
+  SELECT s.c, s.first, any_value(s.known) AS known, any_value(s.head) AS head, any_value(s.head_n) AS head_n, min(t.i) AS begin, sum(t.n) AS n
+  FROM spans s JOIN t ON t.c = s.c AND t.i < s.stop AND (t.i >= s.first OR (t.i >= s.first - {chat.HISTORY_TURNS} AND s.p - t.p <= {chat.HISTORY}
+       AND (t.seg = s.seg OR (t.seg = s.seg - 1 AND t.turn % {chat.SEGMENT} >= {chat.SEGMENT - chat.HISTORY_TURNS}))))
+  GROUP BY s.c, s.first
+), sizes AS (
+  SELECT c, sum(n + CASE WHEN known AND head < begin THEN head_n ELSE 0 END) AS n, count(*) AS windows FROM shown GROUP BY c
+)
+SELECT any_value(conv_id) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = '{chat.ROLE_LOSS}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = '{chat.ROLE_LOSS}'), '')) AS loss_sha256,
+       any_value(sizes.n)::BIGINT AS formatted_chars, any_value(sizes.windows)::BIGINT AS n_windows
+FROM t JOIN sizes USING (c) GROUP BY c
+"""
 
-SQL: dict[str, str] = {"op2_secrets": _secrets(), "op3_decontaminate": DECONTAMINATE, "op6_warc": WARC, "op10_quality": QUALITY}
+SQL: dict[str, str] = {"op13_chat": CHAT, "op2_secrets": _secrets(), "op3_decontaminate": DECONTAMINATE, "op6_warc": WARC, "op10_quality": QUALITY}
