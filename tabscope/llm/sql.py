@@ -160,4 +160,24 @@ SELECT any_value(conv_id) AS conv_id, count(*) AS n_turns, sha256(string_agg(rol
 FROM t JOIN sizes USING (c) GROUP BY c
 """
 
-SQL: dict[str, str] = {"op13_chat": CHAT, "op2_secrets": _secrets(), "op3_decontaminate": DECONTAMINATE, "op6_warc": WARC, "op10_quality": QUALITY}
+_TERMS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, ws, len(ws)::BIGINT AS n FROM (SELECT doc_id, {_TERMS} AS ws FROM documents) WHERE len(ws) > 0
+), corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS size FROM d
+), asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+), counts AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, corpus GROUP BY term
+), parts AS (
+  SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // size))) AS part
+  FROM counts JOIN weights USING (term) JOIN d USING (r), corpus
+), scores AS (SELECT item_id, r, sum(part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY item_id, r
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scores JOIN d USING (r) WHERE score > 0)
+WHERE rank <= 50
+"""
+
+SQL: dict[str, str] = {"op12_search": SEARCH, "op13_chat": CHAT, "op2_secrets": _secrets(), "op3_decontaminate": DECONTAMINATE, "op6_warc": WARC, "op10_quality": QUALITY}
