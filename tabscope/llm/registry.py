@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscope.llm import chat, decontaminate, extract, langid, lm, mixing, quality, search, secrets, simhash, toxicity, warc
+from tabscope.llm import chat, codes, decontaminate, extract, langid, lm, mixing, quality, search, secrets, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": lambda s, d: toxicity.report(table(s, d, "documents"), table(s, d, "labels")),
         "op9_lm": lambda s, d: lm.scores(table(s, d, "documents")),
         "op10_quality": lambda s, d: quality.report(table(s, d, "documents")),
+        "op11_codes": lambda s, d: codes.report(table(s, d, "embeddings")),
         "op12_search": lambda s, d: search.ranked(table(s, d, "documents"), table(s, d, "benchmark")),
         "op13_chat": lambda s, d: chat.report(table(s, d, "conversations")),
         "pipeline": corpus_pipeline.run,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabscope.llm import chat, quality, secrets
+from tabscope.llm import chat, codes, quality, secrets
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -180,4 +180,36 @@ SELECT item_id, rank, doc_id, score FROM (
 WHERE rank <= 50
 """
 
-SQL: dict[str, str] = {"op12_search": SEARCH, "op13_chat": CHAT, "op2_secrets": _secrets(), "op3_decontaminate": DECONTAMINATE, "op6_warc": WARC, "op10_quality": QUALITY}
+
+def _codes() -> str:
+    def nearest(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (
+  SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT r, p, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN b{k} USING (p)) GROUP BY r, p)"""
+
+    def moved(k: int) -> str:
+        return f"""b{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m, c) AS c FROM b{k} LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS m FROM (
+      SELECT p, e, j, sum(v[j])::BIGINT AS s, count(*)::BIGINT AS n FROM parts JOIN a{k} USING (r, p), unnest(range(1, len(v) + 1)) AS u(j) GROUP BY p, e, j)
+    GROUP BY p, e) USING (p, e))"""
+
+    rounds = ", ".join(f"{nearest(k)}, {moved(k)}" for k in range(codes.ROUNDS))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // {codes.PARTS}) + 1:(p + 1) * (len(v) // {codes.PARTS})] AS v FROM kept, unnest(range(0, {codes.PARTS})) AS u(p)
+), seeds AS (
+  SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT min_by(r, v) AS r, vec_id FROM kept WHERE vec_id IS NOT NULL GROUP BY vec_id ORDER BY vec_id LIMIT {codes.ENTRIES})
+), b0 AS MATERIALIZED (SELECT p, e, v AS c FROM parts JOIN seeds USING (r)
+), {rounds}, {nearest(codes.ROUNDS)},
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{codes.ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{codes.ROUNDS}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
+SQL: dict[str, str] = {"op11_codes": _codes(), "op12_search": SEARCH, "op13_chat": CHAT, "op2_secrets": _secrets(), "op3_decontaminate": DECONTAMINATE, "op6_warc": WARC, "op10_quality": QUALITY}
