@@ -4,9 +4,10 @@ A component x becomes floor(``SCALE`` * x). Vectors are cut into ``PARTS`` equal
 codebook of up to ``ENTRIES`` entries, first the parts of the smallest ids. The parts of a run of
 rows (``RUN_ROWS`` at most) are sorted along a Hilbert curve and laid into flat blocks of ``BLOCK``
 with the least and greatest components and the sums of the block. In a round, distances from a
-block's box to the entries form its shortlist: an entry whose nearest point of the box is farther than
-the farthest point of another entry's can be nearest to none of the block. A block with one entry left adds its sums; the
-others are evaluated by an integer kernel over their shortlist. Blocks are written once and read in
+block's box to the entries form its shortlist: the entry of the least greatest distance is compared
+with each other one at the corner of the box where that one does best, and what loses even there is
+nearest to none of the block. A block with one entry left adds its sums; the others are evaluated by
+an integer kernel over their shortlist. Blocks are written once and read in
 each round; only sums per entry reach the driver, one number for each component of the codebooks.
 The last assignment runs the same blocks over the rows themselves, so no row is shuffled.
 
@@ -35,7 +36,7 @@ SCALE = 4096
 PARTS = 8
 ENTRIES = 16
 ROUNDS = 6
-BLOCK = 256  # parts of a block
+BLOCK = 64  # parts of a block
 RUN_ROWS = 1 << 15  # rows that are sorted together
 RUN_NUMBERS = 1 << 22  # and the components they hold at most, for long vectors
 
@@ -56,8 +57,8 @@ def integers(column: pa.Array) -> np.ndarray:
     if n % PARTS:
         raise ValueError(f"vectors of {n} components cannot be cut into {PARTS} equal parts")
     scaled = np.floor(SCALE * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
-    # two parts differ by twice the largest component at most; their squares are added up
-    if scaled.size and n // PARTS * (2 * np.abs(scaled).max()) ** 2 >= 2.0**63:
+    # two parts differ by twice the largest component at most; their squares are added up, and such sums
+    if scaled.size and n // PARTS * (2 * np.abs(scaled).max()) ** 2 >= 2.0**61:
         raise ValueError("components too large: a squared distance would leave 64 bits")
     return scaled.astype(np.int64).reshape(len(column), n)
 
@@ -65,14 +66,14 @@ def integers(column: pa.Array) -> np.ndarray:
 def hilbert_order(points: np.ndarray) -> np.ndarray:
     """Order of points along a Hilbert curve through a grid of their box.
 
-    The grid has as many bits for each component as fit into 63, one at least: components beyond
+    The grid has as many bits for each component as fit into 62, one at least: components beyond
     the 63rd do not count. Points of one cell keep their order.
     """
     points = points[:, :63]
     n, d = points.shape
     if not n or not d:
         return np.arange(n)
-    bits = max(1, 63 // d)
+    bits = max(1, 62 // d)
     low = points.min(0)
     span = np.maximum(points.max(0) - low, 1).astype(np.float64)
     axes = np.minimum((points - low) / span * (1 << bits), (1 << bits) - 1).astype(np.int64)
@@ -113,11 +114,18 @@ class Blocks:
 
 
 def shortlists(low: np.ndarray, high: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """By block and entry, whether the entry may be nearest (or as near) to a point of the block's box."""
+    """By block and entry, whether the entry may be nearest (or as near) to a point of the block's box.
+
+    The rival of all entries is the one whose farthest point of the box is nearest. How much farther
+    than the rival an entry is changes linearly over the box, so its least value is at a corner.
+    """
     low, high, e = low[:, None], high[:, None], entries[None]
-    near = np.maximum(np.maximum(low - e, e - high), 0)
     far = np.maximum(np.abs(e - low), np.abs(high - e))
-    return (near * near).sum(2) <= (far * far).sum(2).min(1, keepdims=True)
+    rival = (far * far).sum(2).argmin(1)
+    squares = (entries * entries).sum(1)
+    gap = e - entries[rival][:, None]
+    corner = np.where(gap > 0, high, low)
+    return squares[None] - squares[rival][:, None] <= 2 * (corner * gap).sum(2)
 
 
 def kernel(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
