@@ -1,4 +1,4 @@
-"""Exact density-based clustering (eps, min_samples) by cells.
+"""Exact density-based clustering (eps, min_samples) by cells; by leaves in many dimensions.
 
 Cells have a diagonal of eps, so the rows of one cell are neighbours of each other: a cell with
 ``min_samples`` rows consists of core rows, however many it holds, and none of its pairs are ever
@@ -18,23 +18,20 @@ from functools import reduce
 from itertools import product
 from math import sqrt
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.operators import leaves as L
 from tabscope.operators.components import connected_components
+from tabscope.operators.density_leaves import dbscan_by_leaves
 from tabscope.operators.ranks import value_codes
 from tabscope.scratch import materialize
 
 # how often a dense cell is split per dimension when two dense cells are compared
 SPLITS = {1: 8, 2: 4, 3: 2}
-# up to here a cell has a bounded number of neighbouring cells, which equal keys can find
+# up to here a cell has a bounded number of neighbouring cells, which equal keys can find; beyond it, see density_leaves
 GRID_DIMS = 3
 # rows of a dense cell in one chunk
 CELL_CHUNK = 20_000
-LEAF_CELLS = 1000
 
 
 def _total(parts: Sequence[Column]) -> Column:
@@ -81,42 +78,6 @@ def _pairs_by_grid(cells: DataFrame, p: int, eps: float) -> DataFrame:
     )
 
 
-def _pairs_by_leaves(cells: DataFrame, p: int, eps: float) -> DataFrame:
-    """The same pairs in more dimensions, where a grid has too many neighbours or too few keys.
-
-    Cells are split into leaves of similar size; each cell visits the leaves its box comes near.
-    """
-    boxes = cells.select("cell", "dense", F.array(*_cols("lo", p)).alias("lo"), F.array(*_cols("hi", p)).alias("hi"))
-    leaves, eps2 = L.split(boxes, "lo", p, LEAF_CELLS, "cell-leaves"), eps * eps
-    homes = leaves.rows
-    asking = boxes.withColumn("reach2", F.lit(eps2))
-    visits = L.visits(asking, "lo", "hi", leaves, materialize(leaves.boxes("lo", "hi"), "cell-boxes"), "cell").drop("reach2")
-    salts = materialize(L.visit_salts(visits), "cell-salts")
-    visitors, hosts = L.meet(visits, homes, salts, ["cell"])
-
-    def close(asking: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(asking) and len(host):
-            there = L.Boxes(np.arange(len(host)), L.matrix(host["lo"], p), L.matrix(host["hi"], p))
-            for at in range(0, len(asking), there.block):
-                part = asking.iloc[at:at + there.block]
-                i, j = np.nonzero(there.gap2(L.matrix(part["lo"], p), L.matrix(part["hi"], p)) <= eps2)
-                found.append(pd.DataFrame({
-                    "cell": part["cell"].to_numpy()[i], "other": host["cell"].to_numpy()[j],
-                    "dense": part["dense"].to_numpy()[i], "other_dense": host["dense"].to_numpy()[j],
-                }))
-        return pd.concat(found) if found else pd.DataFrame(columns=["cell", "other", "dense", "other_dense"])
-
-    pairs = visitors.groupBy("leaf", "salt").cogroup(hosts.groupBy("leaf", "salt")).applyInPandas(
-        close, "cell array<bigint>, other array<bigint>, dense boolean, other_dense boolean"
-    )
-    return pairs.filter(F.col("cell") != F.col("other"))
-
-
-def _cell_pairs(cells: DataFrame, p: int, eps: float) -> DataFrame:
-    return _pairs_by_grid(cells, p, eps) if p <= GRID_DIMS else _pairs_by_leaves(cells, p, eps)
-
-
 def _dense_links(dense_rows: DataFrame, pairs: DataFrame, p: int, eps: float) -> DataFrame:
     """Pairs ``(cell, other)`` of dense cells that hold two rows within eps of each other."""
     eps2 = eps * eps
@@ -178,6 +139,8 @@ def dbscan(
     several clusters without being core joins the one with the smallest core key.
     """
     p, eps2 = len(features), eps * eps
+    if p > GRID_DIMS:
+        return dbscan_by_leaves(df, features, key, eps, min_samples)
     # a hair under eps on the diagonal, so rounding cannot put a farther pair into one cell
     side = eps / sqrt(p) * (1 - 1e-9)
     x = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
@@ -190,7 +153,7 @@ def dbscan(
         *[F.min(f"x{i}").alias(f"lo{i}") for i in range(p)], *[F.max(f"x{i}").alias(f"hi{i}") for i in range(p)],
     ).withColumn("dense", F.col("n") >= min_samples)
     cells = materialize(cells, "cells")
-    pairs = materialize(_cell_pairs(cells, p, eps), "cell-pairs")
+    pairs = materialize(_pairs_by_grid(cells, p, eps), "cell-pairs")
 
     marked = rows.join(cells.select("cell", "dense", "n"), "cell")
     sparse = materialize(marked.filter(~F.col("dense")).drop("dense"), "sparse-rows")

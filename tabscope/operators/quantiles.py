@@ -1,152 +1,157 @@
-"""Exact quantiles in a fixed number of passes, with no task holding a whole column.
-
-``percentile`` keeps every distinct value of a column in one task, and a global sort moves all rows.
-Here a small quantile sketch first brackets each wanted rank (salted, then merged, so no task
-receives one sketch per input task). The values inside the brackets are the only ones
-shuffled, already counted per distinct value; rows below a bracket are only counted. They are
-sorted by ranges, so the last running sum touches one or two tasks' parts, outliers or not.
-The sketch never decides the result: a bracket that misses its rank is widened.
+"""Exact quantiles by radix selection on the ordered 64-bit image of a double.
+
+A pass counts the next ``BITS`` bits of the values that share the bits known so far of a wanted rank,
+for all columns and ranks of a group together: no row is copied, and a task holds a count array for
+each open prefix. The counts say where each rank lies, so the next pass looks at fewer values. A prefix
+with at most ``FEW`` values is read out whole, distinct value by distinct value. At most five passes
+fix all 64 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from tabscope.scratch import remove, written
-
-SKETCH_K = 4096
-# Several times the sketch's rank error at this k.
-MARGIN = 0.006
-SKETCH_SALTS = 64
-
-
-def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float], margin: float) -> dict[tuple[str, int], dict]:
-    """Rank, value bracket and non-missing count of every wanted quantile (a few numbers per column)."""
-    salted = df.groupBy((F.spark_partition_id() % SKETCH_SALTS).alias("_salt")).agg(
-        *[F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH_K)).alias(f"k_{i}") for i, c in enumerate(columns)],
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(columns)],
-        *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(columns)],
-    )
-    merged = salted.agg(
-        *[F.kll_merge_agg_double(f"k_{i}").alias(f"k_{i}") for i in range(len(columns))],
-        *[F.sum(f"n_{i}").alias(f"n_{i}") for i in range(len(columns))],
-        *[F.min(f"lo_{i}").alias(f"lo_{i}") for i in range(len(columns))],
-        *[F.max(f"hi_{i}").alias(f"hi_{i}") for i in range(len(columns))],
-    )
-
-    # both ends of every bracket from one call per column: each call unpacks the sketch
-    ranks = F.array(*[F.lit(min(max(p + side, 0.0), 1.0)) for p in probs for side in (-margin, margin)])
-    ends = [
-        F.when(F.col(f"n_{i}") > 0, F.kll_sketch_get_quantile_double(f"k_{i}", ranks)).alias(f"e_{i}") for i in range(len(columns))
-    ]
-    extremes = [F.col(f"{name}_{i}") for i in range(len(columns)) for name in ("n", "lo", "hi")]
-    row = merged.select(*ends, *extremes).first()
-    found = {}
-    for i, column in enumerate(columns):
-        n = row[f"n_{i}"] or 0
-        if n == 0:
+
+BITS = 13
+FIRST_BITS = 12  # so that five passes make 64
+FEW = 4096
+# count arrays of a task, and columns times ranks looked for together
+ARRAYS = 256
+_SIGN = np.uint64(1 << 63)
+_REST = np.int64((1 << 63) - 1)
+
+
+def image(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles; both zeros are one, NaN comes last as in Spark."""
+    bits = (np.where(np.isnan(values), np.nan, values) + 0.0).view(np.int64)
+    return (bits ^ ((bits >> np.int64(63)) & _REST)).view(np.uint64) ^ _SIGN
+
+
+def value_of(image_: int) -> float:
+    bits = np.array([image_], np.uint64) ^ _SIGN
+    signed = bits.view(np.int64)
+    return float((signed ^ ((signed >> np.int64(63)) & _REST)).view(np.float64)[0])
+
+
+@dataclass(frozen=True)
+class Slot:
+    """Values of a column whose upper ``known`` bits are ``prefix``."""
+
+    column: int
+    known: int
+    prefix: int
+    whole: bool  # few enough to be read out
+
+    @property
+    def step(self) -> int:
+        return BITS if self.known else FIRST_BITS
+
+
+@dataclass
+class Rank:
+    """A wanted place: ``left`` is its rank among the values of its slot."""
+
+    column: int
+    rank: int
+    slot: Slot
+    left: int
+    image: int | None = None
+
+
+def _counts(df: DataFrame, columns: Sequence[str], slots: list[Slot]) -> pd.DataFrame:
+    """(slot, key, n): per slot the counts of its next bits, or of its values."""
+    asked: dict[int, list[int]] = {}
+    for i, s in enumerate(slots):
+        asked.setdefault(s.column, []).append(i)
+    order = sorted(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {i: np.zeros(1 << s.step, np.int64) for i, s in enumerate(slots) if not s.whole}
+        values: dict[int, list[np.ndarray]] = {i: [] for i, s in enumerate(slots) if s.whole}
+        for batch in batches:
+            for at, column in enumerate(order):
+                images = image(batch.column(at).drop_null().to_numpy(zero_copy_only=False).astype(np.float64))
+                for i in asked[column]:
+                    s = slots[i]
+                    mine = images if not s.known else images[(images >> np.uint64(64 - s.known)) == np.uint64(s.prefix)]
+                    if s.whole:
+                        values[i].append(mine)
+                    else:
+                        digits = (mine >> np.uint64(64 - s.known - s.step)) & np.uint64((1 << s.step) - 1)
+                        counts[i] += np.bincount(digits.astype(np.int64), minlength=1 << s.step)
+        found = [(i, np.flatnonzero(c).astype(np.uint64), c[np.flatnonzero(c)]) for i, c in counts.items()]
+        found += [(i, *np.unique(np.concatenate(v), return_counts=True)) for i, v in values.items() if v]
+        for i, keys, n in found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(keys), i), pa.int32()), pa.array(keys.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["slot", "key", "n"])
+
+    read = df.select(*[F.col(columns[c]).cast("double").alias(f"c{c}") for c in order])
+    return read.mapInArrow(run, "slot int, key long, n long").groupBy("slot", "key").agg(F.sum("n").alias("n")).toPandas()
+
+
+def _narrow(slot: Slot, ranks: list[Rank], keys: np.ndarray, n: np.ndarray) -> None:
+    """Move each rank to the part of its slot that holds it."""
+    order = np.argsort(keys, kind="stable")
+    keys, ends = keys[order], np.cumsum(n[order])
+    for r in ranks:
+        at = int(np.searchsorted(ends, r.left, side="right"))
+        size = int(n[order[at]])
+        if slot.whole:
+            r.image = int(keys[at])
             continue
+        r.left -= int(ends[at]) - size
+        prefix, known = (slot.prefix << slot.step) | int(keys[at]), slot.known + slot.step
+        if known == 64:
+            r.image = prefix
+        r.slot = Slot(slot.column, known, prefix, size <= FEW)
+
+
+def _at_ranks(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[int, int], float]:
+    """Interpolated values by (column, quantile) of columns that have values."""
+    first = [Slot(i, 0, 0, False) for i in range(len(columns))]
+    found = _counts(df, columns, first)
+    groups = {i: (g["key"].to_numpy().view(np.uint64), g["n"].to_numpy()) for i, g in found.groupby("slot")}
+    wanted: dict[tuple[int, int], Rank] = {}
+    places = {}
+    for i, (_, n) in groups.items():
         for q, p in enumerate(probs):
-            at_rank = (n - 1) * p
-            low = row[f"lo_{i}"] if p <= margin else row[f"e_{i}"][2 * q]
-            high = row[f"hi_{i}"] if p >= 1 - margin else row[f"e_{i}"][2 * q + 1]
-            found[column, q] = {
-                "n": n, "low": low, "high": high, "first": int(at_rank), "second": min(int(at_rank) + 1, n - 1),
-                "frac": at_rank - int(at_rank),
-            }
-    return found
-
-
-def _long(df: DataFrame, columns: Sequence[str], brackets: DataFrame) -> DataFrame:
-    """Every value beside the brackets of its column; the plan does not grow with the columns."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
-    # one bracket per wanted quantile, so the broadcast side is as small as the question
-    return df.select(F.inline(pairs)).filter(F.col("v").isNotNull()).join(F.broadcast(brackets), "ci")
-
-
-_BRACKET = "ci int, qi int, low double, high double"
-
-
-def _table(spark: SparkSession, wanted: dict) -> DataFrame:
-    return spark.createDataFrame([(ci, qi, w["low"], w["high"]) for (ci, qi), w in wanted.items()], _BRACKET)
-
-
-def _settled(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[int, int], dict]:
-    """Brackets that hold their ranks, with the rows below each; a missed one is widened and counted again."""
-    settled: dict[tuple[int, int], dict] = {}
-    margin, names, spark = MARGIN, list(columns), df.sparkSession
-    found = {(names.index(c), q): w for (c, q), w in _brackets(df, names, probs, margin).items()}
-    while left := {key: w for key, w in found.items() if key not in settled}:
-        counts = _long(df, names, _table(spark, left)).groupBy("ci", "qi").agg(
-            F.count_if(F.col("v") < F.col("low")).alias("below"), F.count_if(F.col("v") <= F.col("high")).alias("upto")
-        )
-        for r in counts.collect():
-            w = left[r["ci"], r["qi"]]
-            if r["below"] <= w["first"] and w["second"] < r["upto"]:
-                settled[r["ci"], r["qi"]] = {**w, "below": r["below"]}
-        # at a margin of one every bracket is the whole range, so this ends
-        margin *= 4
-        if len(settled) < len(found):
-            found = {(names.index(c), q): w for (c, q), w in _brackets(df, names, probs, margin).items()}
-    return settled
+            at = (int(n.sum()) - 1) * p
+            low, high = int(at), min(int(at) + 1, int(n.sum()) - 1)
+            places[i, q] = (low, high, at - int(at))
+            for r in (low, high):
+                wanted.setdefault((i, r), Rank(i, r, first[i], r))
+    for i, (keys, n) in groups.items():
+        _narrow(first[i], [r for r in wanted.values() if r.column == i], keys, n)
+    while open_ := [r for r in wanted.values() if r.image is None]:
+        slots = sorted({r.slot for r in open_}, key=lambda s: (s.column, s.prefix))
+        for i, g in _counts(df, columns, slots).groupby("slot"):
+            _narrow(slots[i], [r for r in open_ if r.slot == slots[i]], g["key"].to_numpy().view(np.uint64), g["n"].to_numpy())
+    out = {}
+    for (i, q), (low, high, part) in places.items():
+        a, b = (value_of(wanted[i, r].image) for r in (low, high))
+        out[i, q] = a if low == high or a == b else a + (b - a) * part
+    return out
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """``(column, q, value)`` with linear interpolation between neighbouring ranks; missing ignored.
 
-    Each column is read three times, so ``df`` should be a table or a written view. A column
+    The columns are read up to five times, so ``df`` should be a table or a written view. A column
     without values gets NULLs. The answer is computed at once: a few numbers per column.
     """
-    spark = df.sparkSession
-    wanted = _settled(df, columns, probs)
-    values: dict[tuple[int, int], float] = {}
-    if wanted:
-        # sorted by ranges of values: each task's part is a run of neighbouring ranks of a quantile
-        inside = (
-            _long(df, columns, _table(spark, wanted)).filter(F.col("v").between(F.col("low"), F.col("high")))
-            .groupBy("ci", "qi", "v").agg(F.count("*").alias("cnt"))
-            .repartitionByRange("ci", "qi", "v").withColumn("slice", F.spark_partition_id())
-        )
-        counted, path = written(inside, "quantile-values")
-        try:
-            values = _pick(counted, wanted)
-        finally:
-            remove(spark, path)
+    columns, values = list(columns), {}
+    at_once = max(1, ARRAYS // max(1, 2 * len(probs)))
+    for start in range(0, len(columns), at_once):
+        for (i, q), v in _at_ranks(df, columns[start:start + at_once], probs).items():
+            values[start + i, q] = v
     rows = [(c, float(p), values.get((i, q))) for i, c in enumerate(columns) for q, p in enumerate(probs)]
-    return spark.createDataFrame(rows, "column string, q double, value double")
-
-
-def _pick(counted: DataFrame, wanted: dict) -> dict[tuple[int, int], float]:
-    """The values at the wanted ranks, from running sums over the slices that hold them."""
-    targets = counted.sparkSession.createDataFrame(
-        [(ci, qi, w["below"], w["first"], w["second"]) for (ci, qi), w in wanted.items()],
-        "ci int, qi int, below bigint, first bigint, second bigint",
-    )
-    # one row per quantile and task of the sort
-    slices = counted.groupBy("ci", "qi", "slice").agg(F.sum("cnt").alias("c"))
-    before = Window.partitionBy("ci", "qi").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    needed = (
-        slices.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))
-        .join(F.broadcast(targets), ["ci", "qi"])
-        .withColumn("start", F.col("start") + F.col("below"))
-        .filter((F.col("start") + F.col("c") > F.col("first")) & (F.col("start") <= F.col("second")))
-        .select("ci", "qi", "slice", "start", "first", "second")
-    )
-    running = Window.partitionBy("ci", "qi", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
-        counted.join(F.broadcast(needed), ["ci", "qi", "slice"])
-        .withColumn("upto", F.col("start") + F.sum("cnt").over(running))
-        .groupBy("ci", "qi").agg(
-            F.min(F.when(F.col("upto") > F.col("first"), F.col("v"))).alias("v1"),
-            F.min(F.when(F.col("upto") > F.col("second"), F.col("v"))).alias("v2"),
-        )
-    )
-    return {(r["ci"], r["qi"]): r["v1"] + (r["v2"] - r["v1"]) * wanted[r["ci"], r["qi"]]["frac"] for r in picked.collect()}
+    return df.sparkSession.createDataFrame(rows, "column string, q double, value double")
 
 
 def quartiles_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.operators import components, density, features, leaves, medoids, models, neighbors, report, silhouette
+from tabscope.operators import components, density, density_leaves, features, leaves, medoids, models, neighbors, report, silhouette
 
 
 def frame(spark, x, **extra):
@@ -172,9 +172,9 @@ def test_density_exact(spark):
         assert (got.to_numpy() == brute_dbscan(plane, eps, least)).all(), (eps, least)
 
 
-@pytest.mark.parametrize("leaf_cells", [1000, 30])
-def test_density_exact_in_five_dimensions(spark, leaf_cells, monkeypatch):
-    monkeypatch.setattr(density, "LEAF_CELLS", leaf_cells)
+@pytest.mark.parametrize("leaf_points", [2500, 15])
+def test_density_exact_in_five_dimensions(spark, leaf_points, monkeypatch):
+    monkeypatch.setattr(density_leaves, "LEAF_POINTS", leaf_points)
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(0, 0.3, (120, 5)), rng.normal(1.2, 0.3, (90, 5)), np.tile([[3.0] * 5], (20, 1)), rng.uniform(-2, 4, (60, 5)),
                    rng.normal(3.15, 0.02, (20, 5))])
@@ -182,6 +182,20 @@ def test_density_exact_in_five_dimensions(spark, leaf_cells, monkeypatch):
     assert (got.to_numpy() == brute_dbscan(x, 0.5, 5)).all()
 
 
+def test_density_of_a_hot_spot_and_a_sheet_in_four_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(density_leaves, "LEAF_POINTS", 12)
+    monkeypatch.setattr(density_leaves, "HELD", 3)
+    monkeypatch.setattr(density_leaves, "HELD_LINKS", 20)
+    rng = np.random.default_rng(8)
+    # a third of the rows within eps of each other and never equal, some of them alone, borders between two clusters
+    x = np.vstack([rng.normal(0, 0.01, (110, 4)), rng.uniform(-1, 1, (100, 4)) * [2, 2, 0.1, 0.1], np.tile([[0.4, 0, 0, 0]], (9, 1)), [[5.0] * 4], [[0.7, 0, 0, 0]],
+                   rng.normal(1.0, 0.02, (30, 4)), [[1.25, 1.0, 1.0, 1.0]] * 2])
+    for eps, least in ((0.3, 5), (0.3, 40), (0.1, 3), (3.0, 2)):
+        got = density.dbscan(frame(spark, x), names(x), "id", eps, least).orderBy("id").toPandas()["cluster"]
+        assert (got.to_numpy() == brute_dbscan(x, eps, least)).all(), (eps, least)
+    assert density.dbscan(frame(spark, x).limit(0), names(x), "id", 0.3, 5).count() == 0
+
+
 def test_two_dense_cells_whose_boxes_leave_it_open(spark):
     # boxes closer than eps although no two rows are: an L-shaped cell around an empty corner
     left = np.vstack([np.column_stack([np.full(9, 0.02), np.linspace(0.02, 0.68, 9)]), np.column_stack([np.linspace(0.02, 0.68, 9), np.full(9, 0.02)])])
@@ -233,8 +247,28 @@ def test_silhouettes(spark, blobs):
     y = np.where(np.arange(len(y)) == 180, 3, y)  # a cluster of one
     df, d = frame(spark, x, cluster=y), distances(x)
     assert silhouette.silhouette_squared(df, names(x)).first()["silhouette"] == pytest.approx(brute_silhouette(d**2, y))
+    assert silhouette.silhouette_euclidean(df, names(x)).first()["silhouette"] == pytest.approx(brute_silhouette(d, y), abs=1e-9)
     single = df.withColumn("cluster", F.lit(0))
-    assert silhouette.silhouette_squared(single, names(x)).first()["silhouette"] is None
+    for score in (silhouette.silhouette_squared, silhouette.silhouette_euclidean):
+        assert tuple(score(single, names(x)).first())[1:] == (len(x), None)
+        assert tuple(score(df.limit(0), names(x)).first())[1:] == (0, None)
+
+
+@pytest.mark.parametrize("strip_rows,at_once", [(8192, 20_000), (7, 4)])
+def test_silhouettes_of_many_clusters_with_copies(spark, monkeypatch, strip_rows, at_once):
+    monkeypatch.setattr(silhouette, "STRIP_ROWS", strip_rows)
+    monkeypatch.setattr(silhouette, "CLUSTERS_AT_ONCE", at_once)
+    monkeypatch.setattr(silhouette, "HELD_SUMS", 3)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 6, (14, 4))
+    y = rng.integers(0, 14, 260)
+    x = centres[y] + rng.normal(0, 0.5, (260, 4))
+    x[:90], y[:90] = x[0], y[0]  # a third of the rows are copies
+    x[90] = x[0]  # and one of them is in another cluster
+    y[91:95] = 20, 21, 22, 23  # clusters of one
+    df = frame(spark, x, cluster=[f"c{k}" for k in y])
+    assert silhouette.silhouette_euclidean(df, names(x)).first()["silhouette"] == pytest.approx(brute_silhouette(distances(x), y), abs=1e-7)
+    assert silhouette.silhouette_squared(df, names(x)).first()["silhouette"] == pytest.approx(brute_silhouette(distances(x) ** 2, y), abs=1e-9)
 
 
 def test_model_comparison(spark, blobs, tmp_path):

@@ -28,10 +28,10 @@ def by_column(table, name):
     return {r["column"]: r[name] for r in table.collect()}
 
 
-@pytest.mark.parametrize("margin,slices", [(0.006, 1024), (0.05, 3)])
-def test_quantiles_equal_numpy(df, pdf, monkeypatch, margin, slices):
-    monkeypatch.setattr(quantiles, "MARGIN", margin)
-    monkeypatch.setattr(quantiles, "SLICES", slices)
+@pytest.mark.parametrize("few,arrays", [(4096, 256), (3, 256), (0, 14)])
+def test_quantiles_equal_numpy(df, pdf, monkeypatch, few, arrays):
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "ARRAYS", arrays)
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
     got = {(r["column"], r["q"]): r["value"] for r in quantiles.exact_quantiles(df, list(pdf), probs).collect()}
     for c in pdf:
@@ -39,6 +39,22 @@ def test_quantiles_equal_numpy(df, pdf, monkeypatch, margin, slices):
             assert got[c, p] == pytest.approx(pdf[c].quantile(p), rel=1e-12), (c, p)
 
 
+def test_images_keep_the_order_of_doubles():
+    values = np.array([-np.inf, -1e300, -2.5, -1.0, -5e-324, 0.0, 5e-324, 1.0, 1.0000000000000002, 7e200, np.inf, np.nan])
+    images = quantiles.image(values)
+    assert (np.diff(images.astype(object)) > 0).all()
+    assert [quantiles.value_of(int(i)) for i in images[:-1]] == values[:-1].tolist() and np.isnan(quantiles.value_of(int(images[-1])))
+    assert quantiles.image(np.array([-0.0])) == quantiles.image(np.array([0.0]))
+
+
+def test_quantiles_of_a_hot_value_between_extremes(spark):
+    values = [-1e308] * 3 + [2.0] * 900 + [float(i) for i in range(3, 50)] + [1e308] * 2
+    frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(9)
+    probs = [0.0, 0.001, 0.4, 0.95, 0.9999, 1.0]
+    got = [r["value"] for r in quantiles.exact_quantiles(frame, ["v"], probs).orderBy("q").collect()]
+    assert got == pytest.approx([pd.Series(values).quantile(p) for p in probs], rel=1e-12)
+
+
 def test_quantiles_of_nothing_and_of_one_row(spark):
     df = spark.createDataFrame([(None, 4)], "a double, b int")
     got = {(r["column"], r["q"]): r["value"] for r in quantiles.exact_quantiles(df, ["a", "b"], [0.25, 0.5]).collect()}
@@ -157,7 +173,7 @@ def test_histogram_counts_by_edges(spark):
         assert [r.n for r in got.orderBy("bin").collect()] == np.histogram(x, bins)[0].tolist(), k
 
 
-def test_quantiles_of_tails_with_an_outlier_and_missed_brackets(spark, monkeypatch):
+def test_quantiles_of_tails_with_outliers(spark, monkeypatch):
     values = np.concatenate([np.random.default_rng(3).normal(size=20000), [-1e12, 1e12]])
     df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(5)
     probs = [0.0, 0.001, 0.5, 0.999, 1.0]
@@ -168,5 +184,5 @@ def test_quantiles_of_tails_with_an_outlier_and_missed_brackets(spark, monkeypat
             assert got[p] == pytest.approx(np.quantile(values, p), rel=1e-12)
 
     check()
-    monkeypatch.setattr(quantiles, "MARGIN", 1e-6)
+    monkeypatch.setattr(quantiles, "FEW", 2)
     check()
