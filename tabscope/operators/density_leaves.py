@@ -85,7 +85,8 @@ def _beside(pairs: DataFrame, chunks: DataFrame, columns: Sequence[str]) -> Data
     tasks = max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
     left = chunks.select("chunk", *columns)
     right = left.select(*[F.col(c).alias(f"{c}_r") for c in left.columns])
-    return pairs.repartition(tasks, F.xxhash64("chunk", "chunk_r")).join(left, "chunk").join(right, "chunk_r")
+    # dealt after the joins: Spark sends the smaller side, and that may be the pairs
+    return pairs.join(left, "chunk").join(right, "chunk_r").repartition(tasks, F.xxhash64("chunk", "chunk_r"))
 
 
 def _counted(pairs: DataFrame, chunks: DataFrame, width: int, eps2: float) -> DataFrame:

@@ -1,15 +1,15 @@
-"""Regression, classification, projection and the clusterings Spark ML provides."""
+"""Regression, classification, projection, k-means and Gaussian mixtures."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.operators.features import assemble
+from tabscope.operators.pairwise import rows_of
 
 # Settings of the compared models.
 CLUSTERS = 3
 ELBOW_RANGE = range(2, 10)
-SEED = 42
-FITS_AT_ONCE = 4
+ROWS_AT_ONCE = 50_000
 # class scores a task keeps at a time
 SCORES_AT_ONCE = 4_000_000
 
@@ -76,46 +76,182 @@ def principal_components(df: DataFrame, features: Sequence[str], keep: Sequence[
     return model.transform(data).select(*keep, *[(scores[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)])
 
 
-def fit_kmeans(
-    vectors: DataFrame, ks: Sequence[int] = (CLUSTERS,), seeds: Sequence[int] = (SEED, SEED + 1, SEED + 2)
-) -> dict[int, KMeansModel]:
-    """Per k, the best of several starts by within-cluster cost; Spark's own fit uses a single start.
+# rows that may become the next centre, picked by a digest of their key
+STARTS = 32
+MAX_STEPS = 300
+# a fit ends when its centres move (squared, all together) less than this part of the mean variance
+MOVE = 1e-4
+# and a mixture when its mean log-likelihood changes by less
+GAIN = 1e-3
+RIDGE = 1e-6
 
-    The fits are independent and share the input, so a few are submitted at a time.
-    """
-    tasks = [(k, seed) for k in ks for seed in seeds]
 
-    def fit(task: tuple[int, int]) -> KMeansModel:
-        return KMeans(k=task[0], seed=task[1]).fit(vectors)
+def _summed(rows: DataFrame, width: int, size: int, partial: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all rows of a vector of ``size`` numbers: one small vector per task, added up by Spark."""
 
-    with ThreadPool(min(FITS_AT_ONCE, len(tasks))) as pool:
-        fitted = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), tasks)
-    best: dict[int, KMeansModel] = {}
-    for (k, _), model in zip(tasks, fitted):
-        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = model
-    return best
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            x = rows_of(batch.column(0), width)
+            for at in range(0, len(x), ROWS_AT_ONCE):
+                total += partial(x[at:at + ROWS_AT_ONCE])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total)], names=["at", "s"])
 
+    out = np.zeros(size)
+    for r in rows.select("x").mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
+        out[r["at"]] = r["s"]
+    return out
+
+
+def _gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances by plain sums, so equal distances are equal."""
+    out = np.zeros((len(x), len(centers)))
+    for j in range(x.shape[1]):
+        gap = x[:, j, None] - centers[None, :, j]
+        out += gap * gap
+    return out
 
-def elbow(vectors: DataFrame, ks: Sequence[int] = ELBOW_RANGE, seeds: Sequence[int] = (SEED, SEED + 1)) -> DataFrame:
-    """Within-cluster squared distance for each k."""
-    with kept(vectors.select("features")) as held:
-        best = fit_kmeans(held, ks, seeds)
-        rows = [(k, float(best[k].summary.trainingCost)) for k in ks]
-    return vectors.sparkSession.createDataFrame(rows, "k int, inertia double")
 
+def _settled(rows: DataFrame, centers: np.ndarray, move: float, max_steps: int) -> tuple[np.ndarray, float]:
+    """Centres after steps of assigning rows and averaging them, and the within-cluster cost of the last."""
+    k, width = centers.shape
 
-def kmeans_labels(vectors: DataFrame, k: int = CLUSTERS, seeds: Sequence[int] = (SEED, SEED + 1, SEED + 2)) -> DataFrame:
-    with kept(vectors.select("features")) as held:
-        model = fit_kmeans(held, [k], seeds)[k]
-    return model.transform(vectors).withColumnRenamed("prediction", "cluster")
+    def partial(x: np.ndarray) -> np.ndarray:
+        gaps = _gaps(x, centers)
+        nearest = gaps.argmin(axis=1)
+        one = (nearest[:, None] == np.arange(k)).astype(np.float64)
+        return np.concatenate([one.sum(axis=0), (one.T @ x).ravel(), [gaps.min(axis=1).sum()]])
+
+    for _ in range(max_steps):
+        found = _summed(rows, width, k * (1 + width) + 1, partial)
+        n, sums, cost = found[:k, None], found[k:-1].reshape(k, width), float(found[-1])
+        moved = np.where(n > 0, sums / np.maximum(n, 1), centers)
+        if ((moved - centers) ** 2).sum() <= move:
+            return centers, cost
+        centers = moved
+    raise RuntimeError(f"k-means of {k} clusters still moves after {max_steps} steps")
+
+
+def fit_kmeans(vectors: DataFrame, key: str, ks: Sequence[int] = (CLUSTERS,), max_steps: int = MAX_STEPS) -> dict[int, tuple[np.ndarray, float]]:
+    """(centres, within-cluster cost) for each k, the same on every run.
+
+    One centre is the mean. Each further one starts, beside the settled centres before it, at the row
+    that lowers the cost most, among ``STARTS`` rows picked by a digest of their key (the first in
+    that order of equally good ones). So the cost never rises with k.
+    """
+    starts = vectors.select(vector_to_array("features").alias("x"), F.col(key).cast("string").alias("key")).orderBy(F.md5("key"), "key").limit(STARTS).collect()
+    if not starts:
+        return {}
+    width = len(starts[0]["x"])
+    candidates = np.array([r["x"] for r in starts], dtype=np.float64)
+    found = {}
+    with kept(vectors.select(vector_to_array("features").alias("x"))) as rows:
+        n = rows.count()
+        mean = _summed(rows, width, width, lambda x: x.sum(axis=0)) / n
+        move = MOVE * float((_summed(rows, width, width, lambda x: np.square(x - mean).sum(axis=0)) / n).mean())
+        centers, cost = _settled(rows, mean[None], move, max_steps)
+        for k in range(1, max(ks) + 1):
+            if k > 1:
+                here = centers
+
+                def costs(x: np.ndarray) -> np.ndarray:
+                    return np.minimum(_gaps(x, here).min(axis=1)[:, None], _gaps(x, candidates)).sum(axis=0)
+
+                best = int(_summed(rows, width, len(candidates), costs).argmin())
+                centers, cost = _settled(rows, np.vstack([centers, candidates[best]]), move, max_steps)
+            if k in ks:
+                found[k] = (centers, cost)
+    return found
+
+
+def elbow(vectors: DataFrame, key: str, ks: Sequence[int] = ELBOW_RANGE) -> DataFrame:
+    """Within-cluster squared distance for each k."""
+    rows = [(k, cost) for k, (_, cost) in fit_kmeans(vectors, key, ks).items()]
+    return vectors.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
-def mixture_labels(vectors: DataFrame, k: int = CLUSTERS, seed: int = SEED) -> DataFrame:
-    """Hard labels of a Gaussian mixture."""
-    with kept(vectors.select("features")) as held:
-        model = GaussianMixture(k=k, seed=seed).fit(held)
-    return model.transform(vectors).withColumnRenamed("prediction", "cluster").drop("probability")
+def _labelled(vectors: DataFrame, label: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    @F.pandas_udf("int")
+    def cluster(x: pd.Series) -> pd.Series:
+        rows = np.array(x.tolist(), dtype=np.float64)
+        return pd.Series(np.concatenate([label(rows[at:at + ROWS_AT_ONCE]) for at in range(0, len(rows), ROWS_AT_ONCE)]) if len(rows) else np.zeros(0, int))
+
+    return vectors.withColumn("cluster", cluster(vector_to_array("features")))
+
+
+def kmeans_labels(vectors: DataFrame, key: str, k: int = CLUSTERS) -> DataFrame:
+    """The rows with the nearest centre's number, the first of equally near ones."""
+    fitted = fit_kmeans(vectors, key, [k])
+    centers = fitted[k][0] if fitted else None
+    return _labelled(vectors, lambda x: _gaps(x, centers).argmin(axis=1))
+
+
+@dataclass
+class Mixture:
+    """Shares, means and covariances of Gaussian components."""
+
+    shares: np.ndarray
+    means: np.ndarray
+    covariances: np.ndarray
+
+    def densities(self, x: np.ndarray) -> np.ndarray:
+        """Logarithm of share times density, by row and component."""
+        out = np.empty((len(x), len(self.shares)))
+        for g, (share, mean, cov) in enumerate(zip(self.shares, self.means, self.covariances)):
+            root = np.linalg.cholesky(cov)
+            z = np.linalg.solve(root, (x - mean).T)
+            out[:, g] = np.log(share) - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(root)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
+        return out
+
+    def weights(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(share of each component in each row, log-likelihood of each row)."""
+        logs = self.densities(x)
+        top = logs.max(axis=1, keepdims=True)
+        total = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
+        return np.exp(logs - total[:, None]), total
+
+
+def _maximised(rows: DataFrame, k: int, about: np.ndarray, weigh: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[Mixture, float]:
+    """(mixture that fits the rows' weights best, mean log-likelihood of the one they come from). Sums are taken about ``about``."""
+    width = about.shape[1]
+
+    def partial(x: np.ndarray) -> np.ndarray:
+        w, logs = weigh(x)
+        parts = [w.sum(axis=0)]
+        for g in range(k):
+            gap = x - about[g]
+            parts += [w[:, g] @ gap, ((gap * w[:, g:g + 1]).T @ gap).ravel()]
+        return np.concatenate([*parts, [logs.sum(), len(x)]])
+
+    found = _summed(rows, width, k * (1 + width + width * width) + 2, partial)
+    n, logs, size = found[:k], found[-2], found[-1]
+    first = found[k:-2].reshape(k, width + width * width)
+    shift = first[:, :width] / n[:, None]
+    spread = first[:, width:].reshape(k, width, width) / n[:, None, None] - shift[:, :, None] * shift[:, None, :]
+    return Mixture(n / size, about + shift, spread + RIDGE * np.eye(width)), float(logs / size)
+
+
+def fit_mixture(vectors: DataFrame, key: str, k: int = CLUSTERS, max_steps: int = MAX_STEPS) -> Mixture | None:
+    """Gaussian mixture by expectation and maximisation, from the clusters of k-means; None without rows."""
+    fitted = fit_kmeans(vectors, key, [k])
+    if not fitted:
+        return None
+    centers = fitted[k][0]
+    with kept(vectors.select(vector_to_array("features").alias("x"))) as rows:
+        model, _ = _maximised(rows, k, centers, lambda x: ((_gaps(x, centers).argmin(axis=1)[:, None] == np.arange(k)).astype(np.float64), np.zeros(len(x))))
+        before = -np.inf
+        for _ in range(max_steps):
+            after, logs = _maximised(rows, k, model.means, model.weights)
+            if abs(logs - before) < GAIN:
+                return model
+            model, before = after, logs
+    raise RuntimeError(f"the mixture still changes after {max_steps} steps")
+
+
+def mixture_labels(vectors: DataFrame, key: str, k: int = CLUSTERS) -> DataFrame:
+    """The rows with their likeliest component of a Gaussian mixture."""
+    model = fit_mixture(vectors, key, k)
+    return _labelled(vectors, lambda x: model.densities(x).argmax(axis=1))
 
 
 def logistic_accuracy(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -22,15 +22,28 @@ from tabscope.operators.models import (
 )
 from tabscope.operators.neighbors import knn_predict
 from tabscope.operators.profile import union_all
-from tabscope.operators.silhouette import silhouette_squared
+from tabscope.operators.silhouette import silhouette_euclidean
 from tabscope.scratch import materialize
 from tabscope.sources.files import write_table
 
 NOT_APPLICABLE = "No aplica"
+# Names and metrics of the report's lines, in their order.
+MODELS = (
+    ("Regresión lineal simple", "r2"),
+    ("Regresión lineal múltiple", "r2"),
+    ("Regresión logística", "accuracy"),
+    ("LDA", "accuracy"),
+    ("KNN", "accuracy"),
+    ("KMeans", "silhouette"),
+    ("KMedoids", "silhouette"),
+    ("GMM", "silhouette"),
+    ("DBSCAN", "silhouette"),
+)
 
 
-def score_row(result: DataFrame, order: int, model: str, metric: str, score: str) -> DataFrame:
+def score_row(result: DataFrame, order: int, score: str) -> DataFrame:
     """One model's line; a missing score is marked as not applicable."""
+    model, metric = MODELS[order]
     line = result.limit(1).select(
         F.lit(order).alias("ord"), F.lit(model).alias("model"), F.lit(metric).alias("metric"), F.col(score).cast("double").alias("score")
     )
@@ -39,31 +52,38 @@ def score_row(result: DataFrame, order: int, model: str, metric: str, score: str
 
 def compare_models(
     df: DataFrame, scaled: DataFrame, features: Sequence[str], key: str, target: str, x: str, y: str,
-    eps: float = 0.5, min_samples: int = 5,
+    eps: float = 0.5, min_samples: int = 5, metrics: Sequence[str] = ("r2", "accuracy", "silhouette"),
 ) -> DataFrame:
-    """One line per model: R² of the regressions on ``df``, accuracy and silhouette on ``scaled``.
+    """One line per model of the wanted ``metrics``: R² of the regressions on ``df``, accuracy and silhouette on ``scaled``.
 
-    Silhouettes use squared distances over all rows, noise left out.
+    Silhouettes use Euclidean distances over all rows, noise left out. Only the models asked for are fitted.
     """
-    vectors = materialize(assemble(scaled.select(key, *features), features), "vectors")
     rest = [f for f in features if f != y]
-    noise = scaled.select(key, *features).join(dbscan(scaled, features, key, eps, min_samples), key)
-    clusterings = {
-        "KMeans": kmeans_labels(vectors),
-        "KMedoids": medoid_labels(scaled, features, key),
-        "GMM": mixture_labels(vectors),
-        "DBSCAN": without_noise(noise),
-    }
-    lines = [
-        score_row(simple_regression(df, x, y), 0, "Regresión lineal simple", "r2", "r2"),
-        score_row(multiple_regression(df, rest, y), 1, "Regresión lineal múltiple", "r2", "r2"),
-        score_row(logistic_accuracy(scaled, features, target), 2, "Regresión logística", "accuracy", "accuracy"),
-        score_row(accuracy(discriminant_predict(scaled, features, target), target, "prediction"), 3, "LDA", "accuracy", "accuracy"),
-        score_row(accuracy(knn_predict(scaled, features, target, key), target, "prediction"), 4, "KNN", "accuracy", "accuracy"),
-    ]
-    for i, (name, labelled) in enumerate(clusterings.items()):
-        lines.append(score_row(silhouette_squared(labelled, features), 5 + i, name, "silhouette", "silhouette"))
-    return union_all(lines)
+    vectors = materialize(assemble(scaled.select(key, *features), features), "vectors") if "silhouette" in metrics else None
+
+    def noiseless() -> DataFrame:
+        return without_noise(scaled.select(key, *features).join(dbscan(scaled, features, key, eps, min_samples), key))
+
+    def silhouette(labelled: DataFrame) -> DataFrame:
+        return silhouette_euclidean(materialize(labelled.select("cluster", *features), "labelled"), features)
+
+    lines = (
+        lambda: (simple_regression(df, x, y), "r2"),
+        lambda: (multiple_regression(df, rest, y), "r2"),
+        lambda: (logistic_accuracy(scaled, features, target), "accuracy"),
+        lambda: (accuracy(discriminant_predict(scaled, features, target), target, "prediction"), "accuracy"),
+        lambda: (accuracy(knn_predict(scaled, features, target, key), target, "prediction"), "accuracy"),
+        lambda: (silhouette(kmeans_labels(vectors, key)), "silhouette"),
+        lambda: (silhouette(medoid_labels(scaled, features, key)), "silhouette"),
+        lambda: (silhouette(mixture_labels(vectors, key)), "silhouette"),
+        lambda: (silhouette(noiseless()), "silhouette"),
+    )
+    made = []
+    for order, (line, (_, metric)) in enumerate(zip(lines, MODELS)):
+        if metric in metrics:
+            result, score = line()
+            made.append(score_row(result, order, score))
+    return union_all(made)
 
 
 def best_model(comparison: DataFrame) -> DataFrame:

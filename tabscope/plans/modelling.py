@@ -40,8 +40,17 @@ def embedded(spark: SparkSession, folder: str) -> DataFrame:
     return features.spread_array(table(spark, folder, "embeddings"), "embedding", EMBEDDING_SIZE)
 
 
+def rounded_credit(spark: SparkSession, folder: str) -> DataFrame:
+    """Standardised credit features on which both engines agree."""
+    return features.standardize(written_profile(spark, folder).select("ID", "nivel_riesgo", *FEATURES), FEATURES, digits=6)
+
+
 def credit_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return features.assemble(scaled_credit(spark, folder).select("ID", *FEATURES), FEATURES).select("ID", "features")
+    return features.assemble(rounded_credit(spark, folder).select("ID", *FEATURES), FEATURES).select("ID", "features")
+
+
+def part_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return features.assemble(scaled_parts(spark, folder).select("p_partkey", *PART), PART)
 
 
 SCALED_PARTS = scaled_sql("part", PART, "p_partkey, p_type", "parts")
@@ -79,19 +88,20 @@ def regression_sql(columns: list[str], target: str) -> str:
     )
 
 
-def discriminant_ctes(columns: list[str], target: str) -> list[str]:
+def discriminant_ctes(columns: list[str], target: str, source: str = "", key: str = '"ID"', name: str = "predicted") -> list[str]:
+    """Without a ``source`` of standardised rows, they are those of the credit table."""
     p = len(columns)
     grid = [(i, j) for i in range(p) for j in range(p)]
     cls = [f"avg({c}) AS m_{i}" for i, c in enumerate(columns)] + [f"covar_pop({columns[i]}, {columns[j]}) AS c_{i}_{j}" for i, j in grid]
     keep = ", ".join(["cls", "n", "total"] + [f"m_{i}" for i in range(p)])
     score = " + ".join(f"{c} * b_{i}" for i, c in enumerate(columns)) + " - 0.5 * (" + " + ".join(f"m_{i} * b_{i}" for i in range(p)) + ") + ln(n / total)"
     return [
-        scaled_sql("order_profile", columns, f'"ID", {target}'),
-        f"per_class AS (SELECT {target} AS cls, count(*) AS n, {', '.join(cls)} FROM scaled GROUP BY {target})",
+        *([] if source else [scaled_sql("order_profile", columns, f'"ID", {target}')]),
+        f"per_class AS (SELECT {target} AS cls, count(*) AS n, {', '.join(cls)} FROM {source or 'scaled'} GROUP BY {target})",
         f"pooled AS (SELECT sum(n) AS total, {', '.join(f'sum(n * c_{i}_{j}) / (sum(n) - count(*)) AS a_{i}_{j}' for i, j in grid)} FROM per_class)",
         f"sys0 AS (SELECT cls, n, total, {', '.join(f'm_{i}, m_{i} AS b_{i}' for i in range(p))}, {', '.join(f'a_{i}_{j}' for i, j in grid)} FROM per_class, pooled)",
         elimination(p, keep),
-        f'predicted AS (SELECT "ID", any_value({target}) AS {target}, arg_max(cls, {score}) AS prediction FROM scaled, sys{p} GROUP BY "ID")',
+        f"{name} AS (SELECT {key}, any_value({target}) AS {target}, arg_max(cls, {score}) AS prediction FROM {source or 'scaled'}, sys{p} GROUP BY {key})",
     ]
 
 
@@ -151,10 +161,10 @@ predicted AS (SELECT id AS {key}, label AS {label}, near AS prediction FROM vote
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, near) = 1)"""
 PART_GAP2 = "((q.p_size - r.p_size) * (q.p_size - r.p_size) + (q.p_retailprice - r.p_retailprice) * (q.p_retailprice - r.p_retailprice))"
 
-def density_sql(source: str, columns: list[str], key: str, eps: float, result: str, *ctes: str) -> str:
+def density_ctes(source: str, columns: list[str], key: str, eps: float) -> str:
     """Neighbour pairs, core rows, reachability and the smallest-core numbering."""
-    gap2 = " + ".join(f"(q.{c} - r.{c}) * (q.{c} - r.{c})" for c in columns)
-    steps = f"""near AS MATERIALIZED (SELECT q.{key} AS a, r.{key} AS b FROM {source} q, {source} r WHERE {gap2} <= {eps * eps!r}),
+    near = " + ".join(f"(q.{c} - r.{c}) * (q.{c} - r.{c})" for c in columns)
+    return f"""near AS MATERIALIZED (SELECT q.{key} AS a, r.{key} AS b FROM {source} q, {source} r WHERE {near} <= {eps * eps!r}),
 core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
 links AS (SELECT a, b FROM near SEMI JOIN core ON a = core.id SEMI JOIN core AS other ON b = other.id),
 reach(root, id) AS (SELECT id, id FROM core UNION SELECT root, b FROM reach JOIN links ON reach.id = links.a),
@@ -163,7 +173,10 @@ numbered AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM co
 edge AS (SELECT a, min(cluster) AS cluster FROM near JOIN numbered ON near.b = numbered.id GROUP BY a),
 labelled AS (SELECT s.{key}, CAST(coalesce(own.cluster, edge.cluster, -1) AS INTEGER) AS cluster
   FROM {source} s LEFT JOIN numbered own ON own.id = s.{key} LEFT JOIN edge ON edge.a = s.{key})"""
-    return with_ctes(result, *ctes, steps).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def density_sql(source: str, columns: list[str], key: str, eps: float, result: str, *ctes: str) -> str:
+    return with_ctes(result, *ctes, density_ctes(source, columns, key, eps)).replace("WITH", "WITH RECURSIVE", 1)
 
 
 MEDOID_STEPS = 12
@@ -188,6 +201,79 @@ def medoid_ctes(steps: int = MEDOID_STEPS) -> list[str]:
     return out
 
 
+def gap2(columns: list[str], a: str = "q", b: str = "c") -> str:
+    return " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in columns)
+
+
+def kmeans_ctes(source: str, columns: list[str], key: str, last: int) -> list[str]:
+    """Centres c1 .. c{last}, lists of lists, one set after the other; each is moved by recursion until it is settled.
+
+    near{k + 1} has every row with the number of its centre of c{k} and the squared distance to it.
+    """
+    x = f"[{', '.join(columns)}]::DOUBLE[]"
+    gaps = "list_transform(cs, lambda c: list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+    out = [
+        f"vectors AS MATERIALIZED (SELECT {key} AS id, {x} AS x FROM {source})",
+        f"starts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), CAST(id AS VARCHAR)) AS o, x AS start FROM vectors QUALIFY o <= {models.STARTS})",
+        f"still AS MATERIALIZED (SELECT {models.MOVE!r} * ({' + '.join(f'var_pop({c})' for c in columns)}) / {len(columns)} AS move FROM {source})",
+        f"c1 AS MATERIALIZED (SELECT [[{', '.join(f'avg({c})' for c in columns)}]] AS cs FROM {source})",
+    ]
+
+    def near(k: int) -> str:
+        return f"""near{k + 1} AS MATERIALIZED (SELECT id AS {key}, x, list_position(ds, list_min(ds)) - 1 AS g, list_min(ds) AS d
+            FROM (SELECT id, x, {gaps} AS ds FROM vectors, c{k}))"""
+
+    means = ", ".join(f"avg(x[{j + 1}])" for j in range(len(columns)))
+    for k in range(2, last + 1):
+        out += [
+            near(k - 1),
+            f"""pick{k} AS MATERIALIZED (SELECT arg_min(start, (cost, o)) AS start FROM (
+                SELECT o, any_value(start) AS start, sum(least(d, list_sum(list_transform(list_zip(x, start), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS cost FROM near{k}, starts GROUP BY o))""",
+            f"""steps{k}(i, cs) AS (SELECT 0, list_append(cs, start) FROM c{k - 1}, pick{k} UNION ALL
+                SELECT i + 1, list_transform(range(0, len(cs)), lambda g: coalesce(moved[g], cs[g + 1])) FROM (
+                  SELECT i, any_value(cs) AS cs, map(list(g ORDER BY g), list(m ORDER BY g)) AS moved FROM (
+                    SELECT i, any_value(cs) AS cs, g, [{means}] AS m FROM (SELECT i, cs, x, list_position(ds, list_min(ds)) - 1 AS g FROM (SELECT i, cs, x, {gaps} AS ds FROM steps{k}, vectors)) GROUP BY i, g)
+                  GROUP BY i), still
+                WHERE list_sum(list_transform(range(0, len(cs)), lambda g: list_sum(list_transform(list_zip(coalesce(moved[g], cs[g + 1]), cs[g + 1]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) > move)""",
+            f"c{k} AS MATERIALIZED (SELECT arg_max(cs, i) AS cs FROM steps{k})",
+        ]
+    return [*out, near(last)]
+
+
+MIXTURE_STEPS = 12
+
+
+def mixture_ctes(source: str, x: str, y: str, key: str, start: str, steps: int = MIXTURE_STEPS) -> list[str]:
+    """Mixture of two features, from the clusters in ``start``: parameters and rows of each step, labels of the settled one."""
+    out = [f"r0 AS MATERIALIZED (SELECT {key}, {x}, {y}, o.g, CASE WHEN q.g = o.g THEN 1.0 ELSE 0.0 END AS r FROM {start} q JOIN {source} USING ({key}), (SELECT DISTINCT g FROM {start}) o)"]
+    for s in range(steps):
+        out += [
+            f"e{s} AS MATERIALIZED (SELECT g, sum(r) AS n, sum(r * {x}) / sum(r) AS mx, sum(r * {y}) / sum(r) AS my FROM r{s} GROUP BY g)",
+            f"""p{s} AS MATERIALIZED (SELECT g, any_value(e.n) AS n, any_value(e.mx) AS mx, any_value(e.my) AS my,
+                sum(r * ({x} - e.mx) * ({x} - e.mx)) / any_value(e.n) + {models.RIDGE!r} AS sxx, sum(r * ({y} - e.my) * ({y} - e.my)) / any_value(e.n) + {models.RIDGE!r} AS syy,
+                sum(r * ({x} - e.mx) * ({y} - e.my)) / any_value(e.n) AS sxy FROM r{s} JOIN e{s} e USING (g) GROUP BY g)""",
+            f"""l{s} AS MATERIALIZED (SELECT {key}, {x}, {y}, g, ln(n / (SELECT count(*) FROM {source})) - ln(2 * pi()) - 0.5 * ln(sxx * syy - sxy * sxy)
+                - 0.5 * (syy * ({x} - mx) * ({x} - mx) - 2 * sxy * ({x} - mx) * ({y} - my) + sxx * ({y} - my) * ({y} - my)) / (sxx * syy - sxy * sxy) AS lp
+                FROM (SELECT DISTINCT {key}, {x}, {y} FROM r{s}), p{s})""",
+            f"t{s} AS MATERIALIZED (SELECT {key}, max(lp) + ln(sum(exp(lp - top))) AS ll, arg_max(g, (lp, -g)) AS g FROM (SELECT *, max(lp) OVER (PARTITION BY {key}) AS top FROM l{s}) GROUP BY {key})",
+            f"r{s + 1} AS MATERIALIZED (SELECT l.{key}, l.{x}, l.{y}, l.g, exp(l.lp - t.ll) AS r FROM l{s} l JOIN t{s} t USING ({key}))",
+        ]
+    gains = " UNION ALL ".join(f"SELECT {s} AS s, abs((SELECT avg(ll) FROM t{s}) - (SELECT avg(ll) FROM t{s - 1})) AS gain" for s in range(1, steps))
+    labels = " UNION ALL ".join(f"SELECT {s} AS s, {key}, g FROM t{s}" for s in range(1, steps))
+    return [*out, f"gains AS ({gains})", f"mixed AS MATERIALIZED (SELECT {key}, g AS cluster FROM ({labels}) WHERE s = (SELECT min(s) FROM gains WHERE gain < {models.GAIN!r}))"]
+
+
+def silhouette_ctes(labelled: str, columns: list[str], key: str, name: str) -> list[str]:
+    """{name}: rows_scored and silhouette of ``labelled`` (key, cluster, columns) under Euclidean distance."""
+    return [
+        f"{name}_sums AS MATERIALIZED (SELECT q.{key} AS id, q.cluster AS own, c.cluster AS k, count(*) AS n, sum(sqrt({gap2(columns)})) AS total FROM {labelled} q, {labelled} c GROUP BY ALL)",
+        f"""{name}_sides AS (SELECT id, max(n) FILTER (WHERE k = own) AS n, max(total / nullif(n - 1, 0)) FILTER (WHERE k = own) AS a,
+            min(total / n) FILTER (WHERE k <> own) AS b FROM {name}_sums GROUP BY id)""",
+        f"""{name} AS (SELECT count(*) AS rows_scored, CASE WHEN count(b) > 0 THEN avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) END AS silhouette
+            FROM {name}_sides)""",
+    ]
+
+
 # --- queries -------------------------------------------------------------------------------
 
 
@@ -210,9 +296,11 @@ def principal_components(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(models.principal_components(scaled_credit(spark, folder), FEATURES, ["ID"]))
 
 
-@query("m4_elbow")
+@query("m4_elbow", on_credit(
+    " UNION ALL ".join(f"SELECT {k} AS k, round(sum(d), 4) AS inertia FROM near{k + 1}" for k in models.ELBOW_RANGE),
+    scaled_sql("order_profile", FEATURES, '"ID"'), *kmeans_ctes("scaled", FEATURES, '"ID"', models.ELBOW_RANGE.stop - 1)).replace("WITH", "WITH RECURSIVE", 1))
 def elbow(spark: SparkSession, folder: str) -> DataFrame:
-    return models.elbow(credit_vectors(spark, folder))
+    return rounded(models.elbow(credit_vectors(spark, folder), "ID"), 4)
 
 
 _SPREAD = " + ".join(f"var_pop({c})" for c in FEATURES)
@@ -225,7 +313,7 @@ _SPREAD = " + ".join(f"var_pop({c})" for c in FEATURES)
 def elbow_facts(spark: SparkSession, folder: str) -> DataFrame:
     """What must hold of the curve: each cost is below the one before, and all below the total spread."""
     rows = materialize(scaled_credit(spark, folder), "scaled")
-    curve = models.elbow(features.assemble(rows.select("ID", *FEATURES), FEATURES), models.ELBOW_RANGE)
+    curve = models.elbow(features.assemble(rows.select("ID", *FEATURES), FEATURES), "ID")
     spread = rows.agg(sum((F.var_pop(c) for c in FEATURES), F.lit(0.0)).alias("total"), F.count("*").alias("n")).first()
     # one row per k: the window is as small as the range asked for
     before = F.coalesce(F.lag("inertia").over(Window.partitionBy(F.lit(0)).orderBy("k")), F.lit(spread["total"] * spread["n"]))
@@ -292,9 +380,9 @@ def discriminant(spark: SparkSession, folder: str) -> DataFrame:
     return models.confusion(predicted, "nivel_riesgo")
 
 
-@query("m10_kmeans")
+@query("m10_kmeans", on_credit('SELECT "ID", g AS cluster FROM near4', scaled_sql("order_profile", FEATURES, '"ID"'), *kmeans_ctes("scaled", FEATURES, '"ID"', models.CLUSTERS)).replace("WITH", "WITH RECURSIVE", 1))
 def kmeans(spark: SparkSession, folder: str) -> DataFrame:
-    return models.kmeans_labels(credit_vectors(spark, folder)).select("ID", "cluster")
+    return models.kmeans_labels(credit_vectors(spark, folder), "ID").select("ID", "cluster")
 
 
 _CLUSTER_FACTS = "SELECT count(*) AS n_rows, {k} AS clusters, 0::BIGINT AS {fault} FROM order_profile"
@@ -307,8 +395,8 @@ def kmeans_facts(spark: SparkSession, folder: str) -> DataFrame:
     A fit ends when its centres move less than its tolerance, so a row counts as misplaced only if
     another mean is nearer by more than that.
     """
-    rows = scaled_credit(spark, folder).select("ID", *FEATURES)
-    labelled = materialize(models.kmeans_labels(features.assemble(rows, FEATURES)).drop("features"), "labelled")
+    rows = rounded_credit(spark, folder).select("ID", *FEATURES)
+    labelled = materialize(models.kmeans_labels(features.assemble(rows, FEATURES), "ID").drop("features"), "labelled")
     means = labelled.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in FEATURES]).orderBy("cluster").collect()
     to = F.array(*[sum(((F.col(c) - m[c]) * (F.col(c) - m[c]) for c in FEATURES), F.lit(0.0)) for m in means])
     own = F.element_at(to, F.array_position(F.array(*[F.lit(m["cluster"]) for m in means]), F.col("cluster")).cast("int"))
@@ -342,16 +430,22 @@ def without_noise(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m13_mixture")
 def mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return models.mixture_labels(credit_vectors(spark, folder)).select("ID", "cluster")
+    return models.mixture_labels(credit_vectors(spark, folder), "ID").select("ID", "cluster")
+
+
+@query("m13_mixture_part", with_ctes("SELECT p_partkey, cluster FROM mixed", SCALED_PARTS, *kmeans_ctes("parts", PART, "p_partkey", models.CLUSTERS),
+                                     *mixture_ctes("parts", *PART, "p_partkey", "near4")).replace("WITH", "WITH RECURSIVE", 1))
+def mixture_part(spark: SparkSession, folder: str) -> DataFrame:
+    return models.mixture_labels(part_vectors(spark, folder), "p_partkey").select("p_partkey", "cluster")
 
 
 @query("m13_mixture_facts", on_credit(_CLUSTER_FACTS.format(k=models.CLUSTERS, fault="without_cluster")))
 def mixture_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """What must hold of the labels: one of each row, in the range of the mixture's components."""
-    labelled = models.mixture_labels(credit_vectors(spark, folder)).select("ID", "cluster")
+    """What must hold of the labels: one of each row, in the range of the mixture's components, and none of these without a row."""
+    labelled = models.mixture_labels(credit_vectors(spark, folder), "ID").select("ID", "cluster")
     valid = F.col("cluster").between(0, models.CLUSTERS - 1)
     return labelled.agg(
-        F.count_distinct("ID").alias("n_rows"), F.lit(models.CLUSTERS).alias("clusters"),
+        F.count_distinct("ID").alias("n_rows"), F.count_distinct("cluster").cast("int").alias("clusters"),
         F.coalesce(F.sum((~F.coalesce(valid, F.lit(False))).cast("bigint")), F.lit(0)).alias("without_cluster"),
     )
 
@@ -373,6 +467,13 @@ def silhouette_squared(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(silhouette.silhouette_squared(materialize(rows, "scored"), FEATURES, "nivel_riesgo"))
 
 
+@query("m14_silhouette_euclidean", on_credit(
+    "SELECT 'euclidean' AS metric, rows_scored, round(silhouette, 6) AS silhouette FROM scored",
+    scaled_sql("order_profile", FEATURES, f'"ID", {_TIER_CODE} AS cluster'), *silhouette_ctes("scaled", FEATURES, '"ID"', "scored")))
+def silhouette_euclidean(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(silhouette.silhouette_euclidean(rounded_credit(spark, folder), FEATURES, "nivel_riesgo"))
+
+
 @query("m15_accuracy", on_credit("SELECT round(avg(CASE WHEN nivel_riesgo = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM predicted",
                                  *discriminant_ctes(FEATURES, "nivel_riesgo")))
 def accuracy(spark: SparkSession, folder: str) -> DataFrame:
@@ -380,39 +481,71 @@ def accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(models.accuracy(predicted, "nivel_riesgo", "prediction"))
 
 
-def comparison(spark: SparkSession, folder: str) -> DataFrame:
+ALL_METRICS = ("r2", "accuracy", "silhouette")
+
+
+def comparison(spark: SparkSession, folder: str, metrics: tuple[str, ...] = ALL_METRICS) -> DataFrame:
     scaled = materialize(scaled_parts(spark, folder), "scaled-parts")
-    return report.compare_models(parts(spark, folder), scaled, PART, "p_partkey", "p_type", "p_size", "p_retailprice", eps=PART_EPS)
+    return rounded(report.compare_models(parts(spark, folder), scaled, PART, "p_partkey", "p_type", "p_size", "p_retailprice", eps=PART_EPS, metrics=metrics))
+
+
+_CLUSTERINGS = {
+    5: f"SELECT p_partkey, g AS cluster, {', '.join(PART)} FROM near4 JOIN parts USING (p_partkey)",
+    6: f"SELECT p_partkey, g AS cluster, {', '.join(PART)} FROM asg{MEDOID_STEPS}",
+    7: f"SELECT p_partkey, cluster, {', '.join(PART)} FROM mixed JOIN parts USING (p_partkey)",
+    8: f"SELECT p_partkey, cluster, {', '.join(PART)} FROM labelled JOIN parts USING (p_partkey) WHERE cluster <> -1",
+}
+_ACCURACY = "SELECT avg(CASE WHEN p_type = prediction THEN 1.0 ELSE 0.0 END) FROM {}"
+_SCORES = {
+    0: "SELECT regr_r2(p_retailprice, p_size) FROM part",
+    1: "SELECT regr_r2(p_retailprice, p_size) FROM part",
+    2: "SELECT NULL::DOUBLE",
+    3: _ACCURACY.format("discriminated"),
+    4: _ACCURACY.format("predicted"),
+    **{k: f"SELECT silhouette FROM sil{k}" for k in _CLUSTERINGS},
+}
+
+
+def comparison_ctes(wanted: list[int]) -> list[str]:
+    """compared: the report's lines of these models."""
+    gap = PART_GAP2.replace("r.", "m.")
+    out = [SCALED_PARTS]
+    if 3 in wanted:
+        out += discriminant_ctes(PART, "p_type", "parts", "p_partkey", "discriminated")
+    if 4 in wanted:
+        out.append(NEAREST.format(key="p_partkey", label="p_type", t="parts", distance=PART_GAP2))
+    if 5 in wanted:
+        out += [
+            *kmeans_ctes("parts", PART, "p_partkey", models.CLUSTERS), *medoid_ctes(),
+            f"asg{MEDOID_STEPS} AS MATERIALIZED (SELECT q.p_partkey, q.p_size, q.p_retailprice, arg_min(m.g, ({gap}, m.g)) AS g FROM parts q, med{MEDOID_STEPS} m GROUP BY ALL)",
+            *mixture_ctes("parts", *PART, "p_partkey", "near4"), density_ctes("parts", PART, "p_partkey", PART_EPS),
+        ]
+        for k, rows in _CLUSTERINGS.items():
+            out += [f"lab{k} AS MATERIALIZED ({rows})", *silhouette_ctes(f"lab{k}", PART, "p_partkey", f"sil{k}")]
+    lines = [f"({i}, '{report.MODELS[i][0]}', '{report.MODELS[i][1]}', ({_SCORES[i]}))" for i in wanted]
+    return [*out, f"""compared AS (SELECT ord::INTEGER AS ord, model, metric, round(score, 6) AS score, CASE WHEN score IS NULL THEN '{report.NOT_APPLICABLE}' ELSE '' END AS note
+        FROM (VALUES {', '.join(lines)}) AS lines(ord, model, metric, score))"""]
+
+
+def comparison_sql(select: str, wanted: list[int]) -> str:
+    return with_ctes(select, *comparison_ctes(wanted)).replace("WITH", "WITH RECURSIVE", 1)
 
 
-@query("m16_model_comparison")
+@query("m16_model_comparison", comparison_sql("SELECT * FROM compared", list(_SCORES)))
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return comparison(spark, folder)
 
 
-@query("m16_best_model")
+@query("m16_best_model", comparison_sql("SELECT * FROM compared WHERE score IS NOT NULL ORDER BY score DESC, ord LIMIT 1", list(_CLUSTERINGS)))
 def best_model(spark: SparkSession, folder: str) -> DataFrame:
-    return report.best_model(comparison(spark, folder))
-
-
-_MODELS = [("Regresión lineal simple", "r2"), ("Regresión lineal múltiple", "r2"), ("Regresión logística", "accuracy"), ("LDA", "accuracy"),
-           ("KNN", "accuracy"), ("KMeans", "silhouette"), ("KMedoids", "silhouette"), ("GMM", "silhouette"), ("DBSCAN", "silhouette")]
-_PLAIN = (0, 1, 4)
+    return report.best_model(comparison(spark, folder, ("silhouette",)))
 
 
-@query("m16_comparison_facts", with_ctes(
-    f"""SELECT ord::INTEGER AS ord, model, metric, CASE WHEN ord IN (0, 1) THEN (SELECT round(regr_r2(p_retailprice, p_size), 6) FROM parts_raw)
-      WHEN ord = 4 THEN (SELECT round(avg(CASE WHEN p_type = prediction THEN 1.0 ELSE 0.0 END), 6) FROM predicted) END AS score,
-    CASE WHEN ord = 2 AND (SELECT count(DISTINCT p_type) FROM part) <> 2 THEN '{report.NOT_APPLICABLE}' ELSE '' END AS note, true AS in_range
-    FROM (VALUES {', '.join(f"({i}, '{m}', '{metric}')" for i, (m, metric) in enumerate(_MODELS))}) AS lines(ord, model, metric)""",
-    SCALED_PARTS, "parts_raw AS (SELECT * FROM part)", NEAREST.format(key="p_partkey", label="p_type", t="parts", distance=PART_GAP2)))
+@query("m16_comparison_facts", comparison_sql("SELECT ord, model, metric, score, note, true AS in_range FROM compared", [k for k in _SCORES if k not in _CLUSTERINGS]))
 def comparison_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """The comparison's lines; scores that plain SQL can give are shown, the others must lie in their range."""
-    low = F.when(F.col("metric") == "silhouette", -1.0).otherwise(0.0)
-    return rounded(comparison(spark, folder).select(
-        "ord", "model", "metric", F.when(F.col("ord").isin(*_PLAIN), F.col("score")).alias("score"), "note",
-        F.coalesce(F.col("score").between(low, F.lit(1.0)), F.lit(True)).alias("in_range"),
-    ))
+    """The lines of the supervised models, each score in its range."""
+    lines = comparison(spark, folder, ("r2", "accuracy"))
+    return lines.select("ord", "model", "metric", "score", "note", F.coalesce(F.col("score").between(0.0, 1.0), F.lit(True)).alias("in_range"))
 
 
 @query("s7_report", on_credit("""SELECT count(*) AS lines, CAST(sum(n) AS BIGINT) AS n FROM (

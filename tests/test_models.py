@@ -81,9 +81,9 @@ def test_logistic_only_for_binary_targets(spark, blobs):
 def test_kmeans_elbow_and_mixture(spark, blobs):
     x, y = blobs[0][:180], blobs[1][:180]
     vectors = features.assemble(frame(spark, x), names(x)).select("id", "features")
-    curve = [r.inertia for r in models.elbow(vectors, ks=range(2, 6)).orderBy("k").collect()]
+    curve = [r.inertia for r in models.elbow(vectors, "id", ks=range(2, 6)).orderBy("k").collect()]
     assert all(a >= b for a, b in zip(curve, curve[1:]))
-    for labelled in (models.kmeans_labels(vectors), models.mixture_labels(vectors)):
+    for labelled in (models.kmeans_labels(vectors, "id"), models.mixture_labels(vectors, "id")):
         got = labelled.orderBy("id").toPandas()["cluster"].to_numpy()
         assert [len(set(got[y == c])) for c in range(3)] == [1, 1, 1] and len(set(got)) == 3
 
