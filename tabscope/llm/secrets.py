@@ -102,45 +102,51 @@ def entropy_limit(window: int, least: float) -> int:
     return math.floor(_SCALE * window * (math.log2(window) - least))
 
 
+# counts of a window's characters: a text with one character per place from _FIRST on, its code 32 plus the count
+_FIRST, _PLACES = ord("+"), ord("z") - ord("+") + 1
+
+
 def dense_part(candidate: Column, window: int, least: float) -> Column:
-    """(lo, hi): from the first to the last window of enough entropy, inside the candidate; null if none."""
+    """(lo, hi): from the first to the last window of enough entropy, inside the candidate; null if none.
+
+    A step takes the leaving character off its count and adds the entering one to its own; the sum
+    changes by the two differences of f. No window is counted anew.
+    """
     f = F.array(*[F.lit(v).cast("long") for v in _table(window)])
     limit = F.lit(entropy_limit(window, least)).cast("long")
 
-    def count(chars: Column, one: Column) -> Column:
-        return F.size(F.filter(chars, lambda c: c == one))
+    def moved(held: Column, total: Column, place: Column, by: int) -> Column:
+        """The counts and their sum after one character came (1) or went (-1)."""
+        return _let(F.ascii(F.substr(held, place, F.lit(1))) - 32, lambda n: F.struct(
+            F.overlay(held, F.char(n + (32 + by)), place, F.lit(1)).alias("held"),
+            (total + F.element_at(f, n + 1 + by) - F.element_at(f, n + 1)).alias("sum")))
 
-    def over(chars: Column) -> Column:
+    def over(places: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:  # i: place of the entering character, from 1
-            full = i > window
-            leaving = F.element_at(chars, F.greatest(i - window, F.lit(1)))
-            held = F.slice(chars, F.greatest(i - window, F.lit(1)), F.least(i - 1, F.lit(window)))
-            inner = F.slice(chars, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))
-            gone = F.when(full, _let(count(held, leaving), lambda c: F.element_at(f, c) - F.element_at(f, c + 1))).otherwise(F.lit(0).cast("long"))
-            came = _let(count(inner, F.element_at(chars, i)), lambda c: F.element_at(f, c + 2) - F.element_at(f, c + 1))
-            return _let(acc["sum"] + gone + came, lambda s: F.struct(
-                s.alias("sum"),
-                F.when((i >= window) & (s <= limit), F.coalesce(acc["lo"], (i - window).cast("long"))).otherwise(acc["lo"]).alias("lo"),
-                F.when((i >= window) & (s <= limit), i.cast("long")).otherwise(acc["hi"]).alias("hi"),
+            kept = F.when(i > window, moved(acc["held"], acc["sum"], F.element_at(places, F.greatest(i - window, F.lit(1))), -1)).otherwise(
+                F.struct(acc["held"].alias("held"), acc["sum"].alias("sum")))
+            full = _let(kept, lambda k: moved(k["held"], k["sum"], F.element_at(places, i), 1))
+            return _let(full, lambda s: F.struct(
+                s["held"].alias("held"), s["sum"].alias("sum"),
+                F.when((i >= window) & (s["sum"] <= limit), F.coalesce(acc["lo"], (i - window).cast("long"))).otherwise(acc["lo"]).alias("lo"),
+                F.when((i >= window) & (s["sum"] <= limit), i.cast("long")).otherwise(acc["hi"]).alias("hi"),
             ))
 
         none = F.lit(None).cast("long")
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), F.struct(F.lit(0).cast("long").alias("sum"), none.alias("lo"), none.alias("hi")), step)
-
-    return _let(F.split(candidate, ""), over)
+        start = F.struct(F.lit(" " * _PLACES).alias("held"), F.lit(0).cast("long").alias("sum"), none.alias("lo"), none.alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(places)), start, step, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
 
+    return _let(F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - (_FIRST - 1)), over)
 
-def with_spans(docs: DataFrame, text: str = "text", path_ends: bool = True) -> DataFrame:
-    """``docs`` with base_spans and entropy_spans: arrays of (start, end, kind), kind by ``KINDS``.
 
-    ``path_ends``: whether a random last segment makes a path a secret.
-    """
+def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with base_spans and entropy_spans: arrays of (start, end, kind), kind by ``KINDS``."""
     whole = F.coalesce(F.col(text), F.lit(""))
     found = without(docs, "base_spans", "entropy_spans").withColumns({
         "__assign": F.filter(spans_of(whole, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["found"], ASSIGN, 2)) >= ASSIGN_LENGTH),
         "__access": F.when(whole.contains("AKIA"), spans_of(whole, ACCESS, 1)),
         "__hex": spans_of(whole, HEX, 2),
-        **{f"__{name}": _not_allowed(spans_of(whole, pattern, 3 + k), window, path_ends) for k, (name, pattern, window, _) in enumerate(CLASSES)},
+        **{f"__{name}": _not_allowed(spans_of(whole, pattern, 3 + k), window) for k, (name, pattern, window, _) in enumerate(CLASSES)},
     })
     none = F.array().cast(_SPANS)
     base = F.concat(_plain(F.col("__assign")), F.coalesce(_plain(F.col("__access")), none), _plain(F.col("__hex")))
@@ -172,24 +178,19 @@ def _plain_name(name: Column) -> Column:
     return plain
 
 
-def _allowed(candidate: Column, window: int, path_ends: bool) -> Column:
+def _allowed(candidate: Column, window: int) -> Column:
     """On the allow-list. A path is one only if all its segments are plain names, and a placeholder
-    excuses a candidate only if what is left without it is plain too, or too short for a window.
-    Without ``path_ends`` the last segment after three names or more is not looked at."""
+    excuses a candidate only if what is left without it is plain too, or too short for a window."""
     allowed = F.lit(False)
     for pattern in _WHOLE:
         allowed = allowed | candidate.rlike(pattern)
     rest = F.regexp_replace(candidate, _PLACEHOLDER, "")
-    path = F.forall(F.split(rest, "/"), _plain_name)
-    if not path_ends:
-        before = F.split(F.regexp_replace(candidate, "/[^/]*$", ""), "/")
-        path = path | (F.forall(before, _plain_name) & (F.size(F.filter(before, lambda s: s != "")) >= 3))
-    path = candidate.rlike(_PATH) & path
+    path = candidate.rlike(_PATH) & F.forall(F.split(rest, "/"), _plain_name)
     return allowed | path | (candidate.rlike(_PLACEHOLDER) & ((F.length(rest) < window) | F.forall(F.split(rest, "/"), _plain_name)))
 
 
-def _not_allowed(spans: Column, window: int, path_ends: bool) -> Column:
-    return F.filter(spans, lambda s: ~_allowed(s["found"], window, path_ends))
+def _not_allowed(spans: Column, window: int) -> Column:
+    return F.filter(spans, lambda s: ~_allowed(s["found"], window))
 
 
 def _listed(spans: Column) -> Column:
@@ -198,8 +199,8 @@ def _listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256, spans. As in its SQL, a token at the end of a path of names has no span here."""
-    found = with_spans(docs.select("doc_id", "text"), path_ends=False).drop("text")
+    """doc_id, counts by kind, base_sha256, spans."""
+    found = with_spans(docs.select("doc_id", "text")).drop("text")
 
     def of(kind: int) -> Column:
         return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")

@@ -90,8 +90,20 @@ def _kind(number: int, pattern: str, keep: str) -> str:
   WHERE {keep}"""
 
 
+def _allowed(found: str, window: int) -> str:
+    """The allow-list: a whole match, a path of plain names, or a placeholder beside plain names or few characters."""
+    def whole(text: str) -> str:
+        return " OR ".join(f"regexp_matches({text}, {_quoted(p)})" for p in secrets.ALLOWED[:3])
+
+    placeholder, path = (_quoted(p) for p in secrets.ALLOWED[3:])
+    rest = f"regexp_replace({found}, {placeholder}, '', 'g')"
+    pieces = f"len(regexp_extract_all(s, {_quoted('[A-Z]?[a-z]+|[A-Z]+|[0-9]+')}))"
+    names = f"len(list_filter(string_split({rest}, '/'), lambda s: NOT (({pieces} - 1) * 4 <= greatest(4, length(s)) OR {whole('s')}))) = 0"
+    return f"""{whole(found)} OR (regexp_matches({found}, {path}) AND {names})
+      OR (regexp_matches({found}, {placeholder}) AND (length({rest}) < {window} OR {names}))"""
+
+
 def _secrets() -> str:
-    allowed = " OR ".join(f"regexp_matches(hits[k], {_quoted(p)})" for p in secrets.ALLOWED)
     base = " UNION ALL ".join([
         _kind(0, secrets.ASSIGN, f"length(regexp_extract(hits[k], {_quoted(secrets.ASSIGN)}, 2)) >= {secrets.ASSIGN_LENGTH}"),
         _kind(1, "AKIA[A-Z0-9]+", "length(hits[k]) >= 18"), _kind(2, "[0-9a-f]+", "length(hits[k]) >= 16"),
@@ -101,7 +113,7 @@ def _secrets() -> str:
         table = "[" + ", ".join(map(str, secrets._table(window))) + "]"
         parts.append(f"""
   SELECT r, {3 + k} AS kind, start + min(i) AS start, start + max(i) + {window} AS stop FROM (
-    SELECT r, start, unnest(range(0, length(found) - {window} + 1)) AS i, found FROM ({_kind(3 + k, pattern, f"NOT ({allowed})")}))
+    SELECT r, start, unnest(range(0, length(found) - {window} + 1)) AS i, found FROM ({_kind(3 + k, pattern, f"NOT ({_allowed('hits[k]', window)})")}))
   WHERE list_sum(list_transform(map_values(list_aggregate(string_split(substr(found, i + 1, {window}), ''), 'histogram')), lambda c: {table}[c::BIGINT + 1]))
         <= {secrets.entropy_limit(window, least)}
   GROUP BY r, start, found""")
