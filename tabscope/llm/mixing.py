@@ -14,7 +14,7 @@ domains miss alike, longer ones between them what only some of them miss.
 
 Edge cases: null and empty texts have no tokens, prior posteriors, and the rate the steps give them;
 without labels the posteriors are uniform; a domain nobody belongs to is left out of the fit; rates
-are never negative; an empty table gives no rows; columns of the output's names are replaced.
+are never negative; a text of any length is read whole; repeated rows stay rows; an empty table gives no rows; columns of the output's names are replaced.
 """
 
 from __future__ import annotations
@@ -34,9 +34,11 @@ BUDGET = 0.5  # tokens to draw, as a share of the tokens there are
 TRAIN_BYTES = 4 << 20  # text learned from, for each domain
 BUCKETS = 1 << 12
 EVIDENCE = 40.0  # words that a document's evidence counts as, at most
-STEPS = 60
 LONG_STEP = 1.8
-TOLERANCE = 1e-4
+TOLERANCE = 1e-4  # miss of a target that counts as met, as a share of all wanted tokens
+STILL = 1e-6  # tokens that a step moves where the best fit misses a target, as a share of all wanted tokens
+WRITE_AFTER = 30  # steps, then the rates are written and the next steps start from them
+MOST_STEPS = 2000  # a fit that still moves after so many is an error, never a result
 GRAIN = 1000  # a posterior is a whole number of parts of this size
 DIGITS = 6
 
@@ -98,43 +100,72 @@ def grouped(members: DataFrame) -> DataFrame:
     return materialize(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "mixing-groups")
 
 
-def rate(history: list[list[float]], start: float) -> Column:
+def rate(history: list[list[float]], start: float | Column) -> Column:
     """A document's rate after the steps of ``history``, each the scaled residuals by domain.
 
     The steps are one constant array, so the expression is as small after many steps as after one.
     """
+    return _rates(history, start)["now"]
+
+
+def _rates(history: list[list[float]], start: float | Column) -> Column:
+    """The rate after the last step and the one before it."""
+    first = start if isinstance(start, Column) else F.lit(start)
+    both = F.struct(first.alias("now"), first.alias("before"))
     if not history:
-        return F.lit(start)
+        return both
     listed = F.lit(";".join(",".join(repr(r) for r in residual) for residual in history))
     steps = F.transform(F.split(listed, ";"), lambda r: F.split(r, ",").cast("array<double>"))
 
     def step(w: Column, residual: Column) -> Column:
         slope = sum((F.col("p")[k] * residual[k] for k in range(len(DOMAINS))), F.lit(0.0))
-        return F.greatest(F.lit(0.0), w - slope)
+        return F.struct(F.greatest(F.lit(0.0), w["now"] - slope).alias("now"), w["now"].alias("before"))
 
-    return F.aggregate(steps, F.lit(start), step)
+    return F.aggregate(steps, both, step)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> tuple[list[list[float]], float]:
-    """(history, start) for ``rate`` from a written table of n_tokens and p, see ``grouped``."""
-    kinds = range(len(DOMAINS))
+def _sizes(members: DataFrame, rates: Column) -> tuple[list[float], float]:
+    """(expected tokens by domain, tokens that the last step moved)."""
+    drawn = members.select(rates.alias("w"), "n_tokens", "p")
+    sums = [F.sum(F.col("w")["now"] * F.col("n_tokens") * F.col("p")[k]) for k in range(len(DOMAINS))]
+    row = drawn.agg(*sums, F.sum(F.abs(F.col("w")["now"] - F.col("w")["before"]) * F.col("n_tokens"))).first()
+    return [float(x or 0.0) for x in row[:-1]], float(row[-1] or 0.0)
+
+
+def wanted_tokens(members: DataFrame, targets: dict[str, float], budget: float) -> tuple[list[float], list[float]]:
+    """(tokens there are, tokens wanted), by domain."""
+    there, _ = _sizes(members, _rates([], 1.0))
+    return there, [budget * sum(there) * targets[d] / sum(targets.values()) for d in DOMAINS]
 
-    def sizes(weight: Column) -> list[float]:
-        drawn = members.select((weight * F.col("n_tokens")).alias("t"), "p")
-        row = drawn.agg(*[F.sum(F.col("t") * F.col("p")[k]) for k in kinds]).first()
-        return [float(x or 0.0) for x in row]
 
-    there = sizes(F.lit(1.0))
-    wanted = [budget * sum(there) * targets[d] / sum(targets.values()) for d in DOMAINS]
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> tuple[list[list[float]], float]:
+    """(history, start) for ``rate`` from a written table of n_tokens and p, see ``grouped``.
+
+    The fit ends when every target is met, or when a step moves next to nothing: then the rates are the
+    best ones although domains that cannot be told apart, or have too few tokens, miss their targets.
+    """
+    there, wanted = wanted_tokens(members, targets, budget)
+    whole = max(sum(wanted), 1.0)
     history: list[list[float]] = []
-    for step in range(STEPS):
-        now = sizes(rate(history, budget))
+    held, start, since = members, F.lit(budget), 0
+    while len(history) < MOST_STEPS:
+        now, moved = _sizes(held, _rates(history[since:], start))
         miss = [s - t if d > 0 else 0.0 for s, t, d in zip(now, wanted, there)]
-        if max(map(abs, miss)) <= TOLERANCE * max(sum(wanted), 1.0):
-            break
-        size = LONG_STEP if step % 3 else 1.0
+        if max(map(abs, miss)) <= TOLERANCE * whole or (history and moved <= STILL * whole):
+            return history, budget
+        if len(history) - since == WRITE_AFTER:
+            held = materialize(held.select("n_tokens", "p", rate(history[since:], start).alias("w")), "mixing-rates")
+            start, since = F.col("w"), len(history)
+        size = LONG_STEP if len(history) % 3 else 1.0
         history.append([size * m / d if d > 0 else 0.0 for m, d in zip(miss, there)])
-    return history, budget
+    raise RuntimeError(f"the rates still move after {MOST_STEPS} steps")
+
+
+def totals(members: DataFrame, history: list[list[float]], start: float, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
+    """domain, there, wanted, reached: tokens, with the rates of ``history``."""
+    there, wanted = wanted_tokens(members, targets, budget)
+    reached, _ = _sizes(members, _rates(history, start))
+    return members.sparkSession.createDataFrame(list(zip(DOMAINS, there, wanted, reached)), "domain string, there double, wanted double, reached double")
 
 
 def mix(docs: DataFrame, labels: DataFrame, text: str = "text", targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:

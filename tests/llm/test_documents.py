@@ -453,6 +453,59 @@ def test_mixing_meets_targets_like_a_plain_solver(spark):
     assert ((got * t)[:, None] * p).sum(axis=0) == pytest.approx(wanted, rel=5e-3)
 
 
+def active_set(t, p, wanted, start):
+    """Rates by another way: the least-squares optimum nearest to ``start`` in the metric of tokens, by its multipliers."""
+    there = (t[:, None] * p).sum(axis=0)
+    lam = np.zeros(p.shape[1])
+    for _ in range(20000):  # ascent on the dual of the projection: w = max(0, start - p lam)
+        w = np.maximum(0, start - p @ lam)
+        lam = lam + 1.0 * (((w * t)[:, None] * p).sum(axis=0) - wanted) / there
+    return np.maximum(0, start - p @ lam)
+
+
+def test_mixing_reaches_the_optimum(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "WRITE_AFTER", 7)
+    rng = np.random.default_rng(9)
+    blurred = 0.9 * rng.dirichlet([1, 1, 1], 400) + 0.1 / 3  # domains that overlap: many steps
+    t = rng.integers(1, 300, 400)
+    targets = {"good": 0.45, "plain": 0.35, "toxic": 0.2}
+    rows = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, blurred)], "n_tokens long, p array<double>")
+    history, start = mixing.fit_rates(rows, targets, 0.5)
+    got = {r["domain"]: r for r in mixing.totals(rows, history, start, targets, 0.5).collect()}
+    wanted = 0.5 * t.sum() * np.array(list(targets.values()))
+    assert [got[d]["wanted"] for d in mixing.DOMAINS] == pytest.approx(wanted)
+    assert [got[d]["reached"] for d in mixing.DOMAINS] == pytest.approx(wanted, abs=mixing.TOLERANCE * wanted.sum())
+    w = active_set(t, blurred, wanted, 0.5)
+    assert ((w * t)[:, None] * blurred).sum(axis=0) == pytest.approx(wanted, rel=1e-3)
+    # a target out of reach: nobody is more than half toxic, so the best fit misses, and its gradient is nowhere downhill
+    halves = np.column_stack([np.full(50, 0.5), np.zeros(50), np.full(50, 0.5)])
+    rows = spark.createDataFrame([(10, [float(x) for x in q]) for q in halves], "n_tokens long, p array<double>")
+    history, start = mixing.fit_rates(rows, {"good": 0.9, "plain": 0.0, "toxic": 0.1}, 0.5)
+    reached = np.array([r["reached"] for r in mixing.totals(rows, history, start, {"good": 0.9, "plain": 0.0, "toxic": 0.1}, 0.5).collect()])
+    assert reached[0] == pytest.approx(reached[2]) and reached.sum() == pytest.approx(250, rel=1e-3)
+
+
+def test_posteriors_equal_a_recount(spark):
+    texts = [(i, prose(i, 30) if i % 2 else " ".join(f"w{j % 7}" for j in range(i, i + 60))) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(31, 0, 1)], "doc_id long, quality int, toxic int")
+    docs = table(spark, texts)
+    prior, logs = mixing.learn(docs, labels)
+    buckets = {r["w"]: r["b"] for r in docs.select(F.explode(mixing.words(F.col("text"))).alias("w")).distinct().select("w", mixing.bucket(F.col("w")).alias("b")).collect()}
+    domain = {i: "good" if i % 2 else "plain" for i in range(30)} | {31: "toxic"}
+    counts = {d: collections.Counter() for d in mixing.DOMAINS}
+    for i, t in texts:
+        if i in domain:
+            counts[domain[i]].update(buckets[w] for w in t.split())
+    size = collections.Counter(domain.values())
+    p = {r["doc_id"]: r["p"] for r in mixing.with_posteriors(docs, (prior, logs)).collect()}
+    for i, t in texts:
+        words = [buckets[w] for w in t.split()]
+        share = min(1.0, mixing.EVIDENCE / len(words))
+        z = [math.log((size[d] + 1) / (sum(size.values()) + 3)) + share * sum(math.log((counts[d][b] + 0.5) / (sum(counts[d].values()) + 0.5 * mixing.BUCKETS)) for b in words) for d in mixing.DOMAINS]
+        e = np.exp(np.array(z) - max(z))
+        assert p[i] == pytest.approx(e / e.sum(), abs=1.6 / mixing.GRAIN)
+
+
 def test_mixing_groups_hold_all_tokens(spark):
     texts = [(i, prose(i % 20, 10 + i % 7)) for i in range(80)] + [(90, None), (91, ""), (91, "")]
     model = ([0.0, -0.2, 0.1], np.random.default_rng(3).normal(size=(3, mixing.BUCKETS)).tolist())
