@@ -429,6 +429,24 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got.values())
 
 
+def test_slopes_are_fitted_and_keep_the_threshold():
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 3, 4000)
+    labels = (rng.random(4000) < 1 / (1 + np.exp(-0.5 * z))).astype(int)
+    limit, slope = toxicity.calibrated(z, labels)
+    assert limit == toxicity.threshold(z, labels) and 0.1 <= slope < 1.5
+    near = z - limit
+    weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
+
+    def loss(s):
+        p = 1 / (1 + np.exp(-s * near))
+        return -(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() + 0.005 * (s - 1) ** 2
+
+    assert loss(slope) <= min(loss(s) for s in np.linspace(0.1, toxicity.STEEPEST, 200)) + 1e-9
+    apart = toxicity.calibrated(np.array([-2.0, -1.5, 1.5, 2.0]), np.array([0, 0, 1, 1]))
+    assert apart[0] == 0 and 1 < apart[1] <= toxicity.STEEPEST
+
+
 def test_toxicity_without_labels(spark):
     docs = table(spark, [(1, "some words"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
