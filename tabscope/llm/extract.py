@@ -4,6 +4,9 @@ Every block of a page gets features of its subtree (text, words, links, density
 place (depth, siblings, order) and of its attribute tokens. The trees say whether it belongs to the
 article or holds part of it. The labelling of a page maximises the summed log-odds, weighted by text,
 under one rule: a block inside a dropped block is dropped. So no descendant contradicts its ancestor.
+Three rules of structure stand beside the trees: what is called comments goes, a heading stays with
+the block it stands over and a caption with its article, and a page in which the trees see nothing (a line or two) gives the texts
+outside all boilerplate.
 
 The given pages carry no labels. Training pages come from them: of a bounded sample, those with one
 <article> or <main> give article blocks and boilerplate blocks, and these are set again into page
@@ -11,12 +14,13 @@ layouts of many kinds (semantic tags, plain divisions with telling or neutral na
 notices, comments, forms), where every block's label is known. No layout is tied to a site.
 
 Edge cases: null html is the empty page, with empty text; markup that never closes is read as far as
-it goes; repeated rows stay rows; a sample without any article falls back to paragraphs against lists;
+it goes; a page of any length is read whole, in time that grows with it; repeated rows stay rows; a sample without any article falls back to paragraphs against lists;
 columns of the output's names are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 
@@ -40,6 +44,16 @@ TAGS = "article main section div p h1 h2 h3 li ul ol nav header footer aside for
 _WORDS = T.StructType([T.StructField("main_text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _roots_of(token: str) -> int:
+    """Bits of the roots that an attribute word has."""
+    return sum(1 << k for k, root in enumerate(ROOTS) if token == root or (len(root) > 3 and (token.startswith(root) or (root in token and len(token) < 16))))
+
+
+def _bits(masks: list[int], width: int) -> np.ndarray:
+    return (np.array(masks, np.uint64)[:, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(np.float32)
+
+
 def features(page: Page) -> np.ndarray:
     """One row per block."""
     n = len(page.tag)
@@ -57,34 +71,33 @@ def features(page: Page) -> np.ndarray:
         order[i] = children[parent[i]]
         children[parent[i]] += 1
     siblings[1:] = children[parent[1:]]
-    sums = np.stack([chars, words, stops, links, blocks, paragraphs], axis=1)
-    for i in range(n - 1, 0, -1):
-        sums[parent[i]] += sums[i]
-    chars, words, stops, links, blocks, paragraphs = sums.T
+    up_list = page.parent
+    summed = [m.tolist() for m in (chars, words, stops, links, blocks, paragraphs)]
+    for column in summed:
+        for i in range(n - 1, 0, -1):
+            column[up_list[i]] += column[i]
+    chars, words, stops, links, blocks, paragraphs = map(np.array, summed)
     up = np.maximum(parent, 0)
     total = max(chars[0], 1.0)
-    own = np.zeros((n, len(ROOTS)))
-    for i, tokens in enumerate(page.tokens):
-        for token in tokens[1:]:
-            for k, root in enumerate(ROOTS):
-                if token == root or (len(root) > 3 and token.startswith(root)) or (len(root) > 3 and root in token and len(token) < 16):
-                    own[i, k] = 1
-    above = own.copy()
-    for i in range(1, n):
-        above[i] = np.maximum(above[i], above[parent[i]])
+    above, within = [0] * n, [0] * n  # bits of the block and all around it
     kind = np.array([TAGS.index(t) if t in TAGS else len(TAGS) for t in page.tag])
-    over = np.zeros((n, len(TAGS) + 1))
+    for i, (tokens, tag) in enumerate(zip(page.tokens, kind.tolist())):
+        own = 0
+        for token in tokens[1:]:
+            own |= _roots_of(token)
+        above[i], within[i] = own, 1 << tag
+        if i:
+            above[i] |= above[up_list[i]]
+            within[i] |= within[up_list[i]]
+    over = np.zeros((n, len(TAGS) + 1), np.float32)
     over[np.arange(n), kind] = 1
-    within = over.copy()
-    for i in range(1, n):
-        within[i] = np.maximum(within[i], within[parent[i]])
     start = np.cumsum([len(t) for t in page.text]) / total
     plain = np.stack([
         np.log1p(chars), np.log1p(words), stops / np.maximum(words, 1), links / np.maximum(chars, 1), chars / blocks, chars / total,
         np.log1p(blocks), paragraphs, depth, order, siblings, order / np.maximum(siblings, 1), start, children.astype(float),
         paragraphs[up], paragraphs[up] / blocks[up], np.log1p(chars[up]), chars[up] / total, links[up] / np.maximum(chars[up], 1), chars / np.maximum(chars[up], 1), np.arange(n) / n, words / np.maximum(blocks, 1),
     ], axis=1)
-    return np.concatenate([plain, over, within, above], axis=1).astype(np.float32)
+    return np.concatenate([plain.astype(np.float32), over, _bits(within, len(TAGS) + 1), _bits(above, len(ROOTS))], axis=1)
 
 
 def decode(page: Page, odds: np.ndarray) -> list[bool]:
@@ -102,8 +115,76 @@ def decode(page: Page, odds: np.ndarray) -> list[bool]:
     return keep
 
 
+# fixed values: parts of a page by what they are called
+APART_TAGS = frozenset("nav header footer aside form button select fieldset".split())
+APART_ROOTS = tuple("menu breadcrumb sidebar widget related recommend advert banner sponsor promo cookie consent notice alert popup modal newsletter subscri share social copyright footer".split())
+APART_WORDS = frozenset("nav ad ads search login".split())
+COMMENT_ROOTS = tuple("comment respons repl discuss feedback disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CAPTIONS = frozenset("figure figcaption".split())
+NEVER = -1e6
+
+
+def _called(tokens: tuple[str, ...], roots: tuple[str, ...]) -> bool:
+    return any(t.startswith(roots) for t in tokens[1:])
+
+
+def without_comments(page: Page, odds: np.ndarray) -> np.ndarray:
+    """No odds for blocks that are called comments and hold neither an article nor a first heading."""
+    holds = [tag in ("article", "main", "h1") for tag in page.tag]
+    for i in range(len(page.tag) - 1, 0, -1):
+        holds[page.parent[i]] |= holds[i]
+    out = odds.astype(float).copy()
+    for i, tokens in enumerate(page.tokens):
+        if i and not holds[i] and _called(tokens, COMMENT_ROOTS):
+            out[i] = NEVER
+    return out
+
+
+def with_headings(page: Page, keep: list[bool]) -> None:
+    """A heading stays with what it stands over, the next block beside it that is no heading, and a figure's caption with what the figure is in."""
+    children: dict[int, list[int]] = {}
+    for i in range(1, len(page.tag)):
+        children.setdefault(page.parent[i], []).append(i)
+    added = []
+    for parent, blocks in children.items():
+        if not keep[parent]:
+            continue
+        below = False  # whether what follows is kept
+        for i in reversed(blocks):
+            if page.tag[i] in CAPTIONS and not keep[i]:
+                added.append(i)
+            elif page.tag[i] not in HEADINGS:
+                below = keep[i]
+            elif below and not keep[i]:
+                added.append(i)
+    for i in added:
+        keep[i] = True
+        for k in range(i + 1, len(page.tag)):  # its own blocks, which follow it
+            if page.parent[k] < i:
+                break
+            keep[k] = True
+
+
+def plain_texts(page: Page) -> list[bool]:
+    """Texts outside everything that is called boilerplate, and not mostly links: all there is of a page whose article the trees do not see."""
+    apart = [False] * len(page.tag)
+    links, chars = [0] * len(page.tag), [len(t) for t in page.text]
+    for i in range(len(page.tag) - 1, 0, -1):
+        links[i] += min(page.linked[i], len(page.text[i]))
+        links[page.parent[i]] += links[i]
+        chars[page.parent[i]] += chars[i]
+    for i in range(1, len(page.tag)):
+        called = _called(page.tokens[i], APART_ROOTS) or _called(page.tokens[i], COMMENT_ROOTS) or bool(APART_WORDS & set(page.tokens[i][1:]))
+        apart[i] = apart[page.parent[i]] or page.tag[i] in APART_TAGS or called or (page.tag[i] in ("ul", "ol", "table") and 2 * links[i] > chars[i])
+    return [not a and 2 * n <= max(c, 1) for a, n, c in zip(apart, links, chars)]
+
+
 def main_text(page: Page, odds: np.ndarray) -> str:
-    keep = decode(page, odds.astype(float).copy())
+    keep = decode(page, without_comments(page, odds))
+    with_headings(page, keep)
+    if not any(k and t for k, t in zip(keep, page.text)):
+        keep = plain_texts(page)
     return " ".join(t for t, k, tag in zip(page.text, keep, page.tag) if k and t and tag == "#text")
 
 

@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -100,6 +101,62 @@ def test_reader_keeps_the_text_of_math():
     assert [t for t in page.text if t] == ["where x=2 holds", "next"]
 
 
+HARD = {
+    "quotes never closed": '<a b="' * 30_000, "quotes and ends": "<a b=\"x'>" * 30_000, "sections and stray ends": "<section>" * 20_000 + "</article>" * 20_000, "inline never closed": "<font>x" * 30_000,
+    "no end": "<!x" * 60_000, "brackets": "<" * 200_000, "scopes in scopes": "<li><p>a<ul>" + "<x-y>" * 30_000, "raw never closed": "<svg>" * 30_000, "comments": "<!--" * 50_000,
+    "nested": "<div>t" * 30_000, "headings": "<h1>a<p>b" * 20_000, "attributes": '<div class="' + "nav " * 50_000 + '">t</div>',
+}
+
+
+@pytest.mark.parametrize("name", sorted(HARD))
+def test_time_grows_with_the_page(name):
+    """Ten times the page takes no more than some thirty times as long, where a square would take a hundred."""
+    def seconds(source):
+        start = time.perf_counter()
+        extract.features(dom.Page(source))
+        return time.perf_counter() - start
+
+    part, whole = HARD[name][: len(HARD[name]) // 10], HARD[name]
+    seconds(part)
+    assert seconds(whole) < 30 * max(seconds(part), 0.01)
+
+
+def test_reader_closes_what_a_tag_ends():
+    page = dom.Page("<ul><li>a<div>b</div><li>c<ul><li>d</ul></section><li>e</ul><p>f<div>g<p>h</div>i")
+    got = [(t, page.tag[page.parent[i]]) for i, t in enumerate(page.text) if t]
+    assert got == [("a", "li"), ("b", "div"), ("c", "li"), ("d", "li"), ("e", "li"), ("f", "p"), ("g", "div"), ("h", "p"), ("i", "#page")]
+    assert [t for t in dom.Page('<p class="x>one</p><p>two</p>').text if t] == ["one", "two"]
+
+
+@pytest.fixture(scope="module")
+def small_model(spark):
+    rows = spark.read.parquet(f"{FOLDER}/pages.parquet").collect()
+    return extract.train(sorted(r["html"] for r in rows), layouts=3)
+
+
+def test_extraction_of_pages_never_trained_on(spark, small_model):
+    seen = {r["html"] for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").limit(900).collect()]
+    rows = [h for h in rows if h not in seen and re.search("<article>(.*?)</article>", h, re.S)]
+    texts = extract.extract(small_model, [h.encode() for h in rows])
+    assert len(rows) > 500 and np.mean([a == article(h) for a, h in zip(texts, rows)]) > 0.97
+
+
+def test_short_pages_headings_captions_and_comments(small_model):
+    body = "<h1>A title here</h1><p>First paragraph of this article, with words.</p><ul><li>one item of it</li><li>two item</li></ul><pre>x = 1</pre><figure><figcaption>A caption of it.</figcaption></figure>"
+    talk = "".join(f"<div><b>{n}</b><p>I like this text, it is a good one.</p></div>" for n in ("Ann", "Bob"))
+    sources = {
+        "<div><p>Short news today.</p></div>": "Short news today.",
+        f"<article>{body}</article>": "A title here First paragraph of this article, with words. one item of it two item x = 1 A caption of it.",
+        "<p>&lt;b&gt; R&amp;D</p>": "<b> R&D",
+        "<nav><a href=x>Home</a></nav><form><input><button>Go</button></form>": "",
+        '<div class="menu"><a>Home</a> <a>News</a></div><p>Body text, a short one.</p><div class="footer">&copy; us</div>': "Body text, a short one.",
+        **{f'<article><h1>T</h1><p>A real paragraph of an article. It has two sentences, and a comma.</p><div {k}>{talk}</div></article>': "T A real paragraph of an article. It has two sentences, and a comma."
+           for k in ('id="responses"', 'class="comment-list"', 'id="discussion"', 'class="replies"')},
+    }
+    assert extract.extract(small_model, [s.encode() for s in sources]) == list(sources.values())
+
+
 def article(source):
     body = re.search(r"<article>(.*?)</article>", source, re.S)[1]
     body = re.sub(r"<[^>]+>", "", re.sub(r"</?(p|h1|br|div)\b[^>]*>", " ", body))
