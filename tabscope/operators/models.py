@@ -16,9 +16,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscope.operators.features import assemble
 from tabscope.operators.pairwise import rows_of
+from tabscope.scratch import remove, written
 
 # Settings of the compared models.
 CLUSTERS = 3
@@ -26,6 +28,7 @@ ELBOW_RANGE = range(2, 10)
 ROWS_AT_ONCE = 50_000
 # class scores a task keeps at a time
 SCORES_AT_ONCE = 4_000_000
+CLASSES_AT_ONCE = 20_000
 
 
 @contextmanager
@@ -290,43 +293,90 @@ def _scatter(df: DataFrame, x: Column, center: np.ndarray) -> np.ndarray:
     return out.reshape(p, p)
 
 
-def fit_discriminant(df: DataFrame, features: Sequence[str], target: str) -> Column:
-    """Linear discriminant classifier as a column: class means, pooled covariance, class priors.
+@dataclass
+class Classes:
+    """Some classes of a discriminant: a row of weights and an offset for each."""
+
+    names: np.ndarray
+    weights: np.ndarray
+    offsets: np.ndarray
+
+    def best(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(greatest score, class) of each row, the first of equal ones."""
+        step = max(1, SCORES_AT_ONCE // len(self.names))
+        score, name = np.empty(len(x)), np.empty(len(x), dtype=object)
+        for at in range(0, len(x), step):
+            found = x[at:at + step] @ self.weights + self.offsets
+            top = found.argmax(axis=1)
+            score[at:at + step], name[at:at + step] = found[np.arange(len(top)), top], self.names[top]
+        return score, name
+
+
+def fit_discriminant(df: DataFrame, features: Sequence[str], target: str) -> Iterator[Classes]:
+    """Linear discriminant classifier: class means, pooled covariance, class priors; in blocks of classes.
 
-    The model is one row of weights per class, any number of classes; rows meet it in blocks. Rows
-    with a missing feature or class take no part in the fit, and a missing feature gives NULL.
+    The classes are a written table, of which ``CLASSES_AT_ONCE`` come to the driver at a time; else
+    only numbers by pair of features do. Rows with a missing feature or class take no part in the fit.
     """
     p = len(features)
     x = F.array(*[F.col(f).cast("double") for f in features])
-    whole = df.filter(F.col(target).isNotNull() & ~F.exists(x, lambda v: v.isNull()))
-    stats = (
-        whole.groupBy(F.col(target).alias("cls"))
-        .agg(F.count("*").alias("n"), *[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)])
-        .orderBy("cls").collect()
-    )
-    if not stats:
-        return F.lit(None).cast(df.schema[target].dataType)
-    n = np.array([r["n"] for r in stats], dtype=np.float64)
-    means = np.array([[r[f"m{i}"] for i in range(p)] for r in stats])
-    center = n @ means / n.sum()
-    between = (means - center).T @ ((means - center) * n[:, None])
-    pooled = (_scatter(whole, x, center) - between) / max(1.0, n.sum() - len(stats))
-    weights = np.linalg.lstsq(pooled, means.T, rcond=None)[0]
-    offsets = np.log(n / n.sum()) - 0.5 * (means.T * weights).sum(axis=0)
-    classes = np.array([r["cls"] for r in stats], dtype=object)
-    step = max(1, SCORES_AT_ONCE // len(stats))
-
-    @F.pandas_udf(df.schema[target].dataType)
-    def classify(vectors: pd.Series) -> pd.Series:
-        rows = np.array([[np.nan] * p if v is None else v for v in vectors], dtype=np.float64).reshape(len(vectors), p)
-        best = np.concatenate([np.argmax(rows[i:i + step] @ weights + offsets, axis=1) for i in range(0, len(rows), step)] or [np.zeros(0, dtype=int)])
-        return pd.Series(np.where(np.isnan(rows).any(axis=1), None, classes[best]), dtype=object)
-
-    return classify(x)
+    whole = df.filter(F.col(target).isNotNull() & ~F.exists(x, lambda v: v.isNull())).select(F.col(target).alias("cls"), x.alias("x"))
+    table, path = written(
+        whole.groupBy("cls").agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("x")[i]) for i in range(p)]).alias("mean")), "classes")
+    total = table.agg(F.count("*").alias("k"), F.sum("n").alias("n"), *[(F.sum(F.col("n") * F.col("mean")[i]) / F.sum("n")).alias(f"m{i}") for i in range(p)]).first()
+    if total["k"]:
+        center = np.array([total[f"m{i}"] for i in range(p)])
+        between = _scatter(table, F.transform("mean", lambda m, i: (m - F.element_at(F.lit(center.tolist()), i + 1)) * F.sqrt("n")), np.zeros(p))
+        pooled = (_scatter(whole, F.col("x"), center) - between) / max(1.0, total["n"] - total["k"])
+        inverse = np.linalg.pinv(pooled, hermitian=True)
+        blocks = -(-total["k"] // CLASSES_AT_ONCE)
+        for block in range(blocks):
+            rows = table.filter(F.pmod(F.xxhash64("cls"), F.lit(blocks)) == block).orderBy("cls").collect()
+            if rows:
+                means = np.array([r["mean"] for r in rows], dtype=np.float64).reshape(len(rows), p)
+                weights = inverse @ means.T
+                priors = np.log(np.array([r["n"] for r in rows], dtype=np.float64) / total["n"])
+                yield Classes(np.array([r["cls"] for r in rows] + [None], dtype=object)[:-1], weights, priors - 0.5 * (means.T * weights).sum(axis=0))
+    remove(df.sparkSession, path)
+
+
+def _better(classes: Classes, width: int) -> Callable[[pd.Series, pd.DataFrame], pd.DataFrame]:
+    """Replaces a row's best class so far where one of ``classes`` scores higher, or as high and is smaller."""
+
+    def better(vectors: pd.Series, best: pd.DataFrame) -> pd.DataFrame:
+        values = np.array([[np.nan] * width if v is None else v for v in vectors], dtype=np.float64).reshape(len(vectors), width)
+        whole = ~np.isnan(values).any(axis=1)
+        score, name = best["score"].to_numpy(np.float64, na_value=np.nan).copy(), best["cls"].to_numpy(dtype=object).copy()
+        found, cls = classes.best(values[whole])
+        old, old_name = score[whole], name[whole]
+        wins = np.isnan(old) | (found > old)
+        for i in np.flatnonzero(found == old):
+            wins[i] = cls[i] < old_name[i]
+        score[whole], name[whole] = np.where(wins, found, old), np.where(wins, cls, old_name)
+        name[~whole] = None
+        return pd.DataFrame({"score": score, "cls": pd.Series(name, dtype=object)})
+
+    return better
 
 
 def discriminant_predict(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    return df.withColumn("prediction", fit_discriminant(df, features, target))
+    """``df`` with the class of the greatest score as ``prediction``; a missing feature gives NULL.
+
+    Beyond the first block of classes, the rows are written with the best so far, and meet the next block.
+    """
+    p, kind = len(features), df.schema[target].dataType
+    held = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("cls", kind)])
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    rows = df.drop("prediction").withColumn("__best", F.lit(None).cast(held))
+    last = None
+    for k, classes in enumerate(fit_discriminant(df, features, target)):
+        if k:
+            rows, path = written(rows, "classified")
+            if last:
+                remove(df.sparkSession, last)
+            last = path
+        rows = rows.withColumn("__best", F.pandas_udf(_better(classes, p), held)(x, F.col("__best")))
+    return rows.withColumn("prediction", F.col("__best")["cls"]).drop("__best")
 
 
 def confusion(predicted: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:

@@ -204,6 +204,22 @@ def density_curve(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(charts.density_curve(written_profile(spark, folder), "edad"))
 
 
+CURVE = """SELECT '{c}' AS "column", CAST(i AS INTEGER) AS point, round(lo + i * (hi - lo) / 199, 6) AS x,
+round(d.k / (n * h * sqrt(2 * pi())), 6) AS density, round(d.k / (n * h * sqrt(2 * pi())) * n * {w}, 6) AS scaled
+FROM (SELECT i, any_value(lo) AS lo, any_value(hi) AS hi, any_value(n) AS n, any_value(h) AS h, sum(c * exp(-0.5 * pow((v - (lo + i * (hi - lo) / 199)) / h, 2))) AS k
+  FROM range(0, 200) r(i), (SELECT CAST({c} AS DOUBLE) AS v, count(*) AS c FROM order_profile WHERE {f} GROUP BY {c}),
+  (SELECT min({c}) AS lo, max({c}) AS hi, count(*) AS n, stddev_samp({c}) * pow(count(*), -0.2) AS h FROM order_profile WHERE {f}) GROUP BY i) d"""
+#: Columns whose curve stands over bars of a fixed width, within the chart's range.
+CURVES = {"uso_de_credito": "uso_de_credito BETWEEN 0 AND 1", "radio_deuda": "radio_deuda <= 1", "ingreso_mensual": "ingreso_mensual <= 50000"}
+
+
+@query("a19_density_clipped", on_credit(" UNION ALL ".join(CURVE.format(c=c, f=f, w=f"{float(charts.CREDIT_STEPS[c][1])!r}::DOUBLE") for c, f in CURVES.items())))
+def density_clipped(spark: SparkSession, folder: str) -> DataFrame:
+    rows = clean.clip_columns(written_profile(spark, folder), list(CURVES), clean.CREDIT_CHART_RANGES)
+    curves = [charts.density_curve(rows, c, bin_width=charts.CREDIT_STEPS[c][1]).select(F.lit(c).alias("column"), "*") for c in CURVES]
+    return rounded(profile.union_all(curves))
+
+
 BOX = """SELECT '{c}' AS "column", round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
 round(least(min({c}) FILTER (WHERE {c} >= q1 - 1.5 * (q3 - q1)), q1), 6) AS whisker_low,
 round(greatest(max({c}) FILTER (WHERE {c} <= q3 + 1.5 * (q3 - q1)), q3), 6) AS whisker_high, round(avg({c}), 6) AS mean,

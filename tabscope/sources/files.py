@@ -22,14 +22,32 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 _INFERRED = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
 
 
+# fixed values: encodings in which a byte of a quote or a line end is nothing else
+_SPLITTABLE = ("UTF-8", "US-ASCII", "ISO-8859-1", "WINDOWS-1252")
+
+
+def _breaks_in_quotes(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a quoted value may hold a line break: then the line it begins in has an odd number of quotes.
+
+    One split pass over the text. A carriage return inside a line counts as a break, too.
+    """
+    if encoding.upper() not in _SPLITTABLE:
+        return True
+    line = F.col("value")
+    odd = (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+    return not spark.read.text(path, lineSep="\n").filter(odd | line.rlike("\r(?!$)")).isEmpty()
+
+
 def _delimited(
-    spark: SparkSession, path: str, schema: T.StructType | None, sep: str, header: bool, encoding: str, multi_line: bool, missing: Sequence[str]
+    spark: SparkSession, path: str, schema: T.StructType | None, sep: str, header: bool, encoding: str, multi_line: bool | None, missing: Sequence[str]
 ) -> DataFrame:
     """Text columns first; missing spellings become NULL before any type is looked at.
 
-    ``multi_line`` lets quoted values hold line breaks; such a file is read by one task. Files known
-    to have a record per line may set it to False and are split.
+    ``multi_line`` lets quoted values hold line breaks; such a file is read by one task. By default the
+    text is looked at first, and files with a record per line are split.
     """
+    if multi_line is None:
+        multi_line = _breaks_in_quotes(spark, path, encoding)
     # a doubled quote inside a quoted field is a quote
     reader = spark.read.options(sep=sep, header=header, encoding=encoding, escape='"', multiLine=multi_line)
     if schema is not None and not header:
@@ -55,19 +73,19 @@ def _inferred(raw: DataFrame) -> T.StructType:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True, multi_line: bool = True, missing: Sequence[str] = MISSING
+    spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True, multi_line: bool | None = None, missing: Sequence[str] = MISSING
 ) -> DataFrame:
     """Comma-separated file; types are inferred only when no schema is given."""
     return _delimited(spark, path, schema, ",", header, "UTF-8", multi_line, missing)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True, missing: Sequence[str] = MISSING) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool | None = None, missing: Sequence[str] = MISSING) -> DataFrame:
     """Tab-separated file without a header; the schema supplies the names."""
     return _delimited(spark, path, schema, "\t", False, "UTF-8", multi_line, missing)
 
 
 def read_pipe(
-    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, encoding: str = "UTF-8", multi_line: bool = True,
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, encoding: str = "UTF-8", multi_line: bool | None = None,
     missing: Sequence[str] = MISSING,
 ) -> DataFrame:
     """Pipe-separated file; ``encoding='ISO-8859-1'`` for Latin-1, ``header`` as the file has it."""
@@ -81,7 +99,7 @@ def read_named_columns(
     columns: Sequence[str],
     sep: str = "|",
     encoding: str = "ISO-8859-1",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
     missing: Sequence[str] = MISSING,
 ) -> DataFrame:
     """Headerless file with supplied names, keeping some columns; the parser skips the others."""

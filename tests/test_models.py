@@ -88,6 +88,34 @@ def test_kmeans_elbow_and_mixture(spark, blobs):
         assert [len(set(got[y == c])) for c in range(3)] == [1, 1, 1] and len(set(got)) == 3
 
 
+def test_mixture_of_seven_features_equals_a_plain_fit(spark):
+    rng = np.random.default_rng(12)
+    spread = [rng.normal(size=(7, 7)) * 0.4 + np.eye(7) for _ in range(3)]
+    x = np.vstack([rng.normal(size=(120, 7)) @ s + c for s, c in zip(spread, (0, 2.5, -3))])
+    vectors = features.assemble(frame(spark, x), names(x)).select("id", "features")
+    centers, cost = models.fit_kmeans(vectors, "id", [3])[3]
+    gaps = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
+    label = gaps.argmin(axis=1)
+    assert cost == pytest.approx(gaps.min(axis=1).sum())
+    assert all(np.square(x[label == g].mean(axis=0) - centers[g]).sum() <= models.MOVE * x.var(axis=0).mean() for g in range(3))
+    w, before = np.eye(3)[label], -np.inf
+    while True:
+        n = w.sum(axis=0)
+        means = (w.T @ x) / n[:, None]
+        covs = [((x - m) * w[:, [g]]).T @ (x - m) / n[g] + models.RIDGE * np.eye(7) for g, m in enumerate(means)]
+        logs = np.stack([np.log(n[g] / len(x)) - 0.5 * np.linalg.slogdet(2 * np.pi * c)[1] - 0.5 * np.einsum("ij,jk,ik->i", x - means[g], np.linalg.inv(c), x - means[g]) for g, c in enumerate(covs)], axis=1)
+        total = np.logaddexp.reduce(logs, axis=1)
+        w = np.exp(logs - total[:, None])
+        if abs(total.mean() - before) < models.GAIN:
+            break
+        before = total.mean()
+    model = models.fit_mixture(vectors, "id", 3)
+    assert model.means == pytest.approx(means, abs=1e-8) and model.covariances == pytest.approx(np.array(covs), abs=1e-8)
+    got = models.mixture_labels(vectors, "id").orderBy("id").toPandas()["cluster"].to_numpy()
+    assert (got == logs.argmax(axis=1)).all()
+    assert models.mixture_labels(vectors.limit(0), "id").count() == 0 == models.kmeans_labels(vectors.limit(0), "id").count()
+
+
 def brute_neighbours(x, y, k=5):
     d = distances(x)
     out = []
@@ -333,7 +361,9 @@ def test_first_medoids_count_copies_as_rows(spark):
     assert set(out) == {1, 2, 3, 4, 5} and all(m in out for _, m in out.values())
 
 
-def test_discriminant_of_many_classes_and_missing_features(spark):
+@pytest.mark.parametrize("at_once", [20_000, 400])
+def test_discriminant_of_many_classes_and_missing_features(spark, monkeypatch, at_once):
+    monkeypatch.setattr(models, "CLASSES_AT_ONCE", at_once)
     rng = np.random.default_rng(7)
     cls = np.repeat(np.arange(1500), 4)
     x = np.column_stack([cls % 40, cls // 40]) * 10.0 + rng.normal(scale=0.1, size=(6000, 2))

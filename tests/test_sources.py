@@ -29,6 +29,22 @@ def test_csv_types_are_inferred_without_a_schema(spark, tmp_path):
     assert [(r.b, r.c) for r in df.orderBy("a").collect()] == [("x", 1.5), ('y, "z"', None)]
 
 
+def test_plain_files_are_split_and_quoted_breaks_are_kept(spark, tmp_path):
+    lines = "a,b\n" + "".join(f'{i},"x ""{i}"" y"\n' for i in range(3000))
+    plain, broken = write(tmp_path / "plain.csv", lines), write(tmp_path / "broken.csv", lines + '7,"one\ntwo ""three\nfour"" ,five"\n8,z\n')
+    returns = write(tmp_path / "returns.csv", lines.replace("\n", "\r\n"))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        parts = {path: read_csv(spark, path).rdd.getNumPartitions() for path in (plain, broken, returns)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert parts[plain] > 3 and parts[returns] > 3 and parts[broken] == 1
+    for path in (plain, broken, returns):
+        assert sorted(map(tuple, read_csv(spark, path).collect())) == sorted(map(tuple, read_csv(spark, path, multi_line=True).collect()))
+    assert {r.b for r in read_csv(spark, broken).filter("a in (7, 8)").collect()} == {'x "7" y', 'x "8" y', 'one\ntwo "three\nfour" ,five', "z"}
+
+
 def test_ratings_without_header(spark, tmp_path):
     df = read_tsv(spark, write(tmp_path / "r.tsv", "1\t10\t3\t881250949\n2\t11\t\t891717742\n"), S.RATINGS)
     assert [tuple(r) for r in df.orderBy("userid").collect()] == [(1, 10, 3, 881250949), (2, 11, None, 891717742)]
