@@ -9,8 +9,8 @@ handful of numbers that all documents share. So a step is one pass that adds up
 rate is a chain of projected steps over the numbers of the passes before; nothing but K numbers
 moves. Posteriors are stated in parts of ``GRAIN``, and documents of equal posteriors have equal rates,
 so they are added up once: the passes read a table of at most half a million rows (three domains),
-however many documents there are. Eigenvalues of the step are at most 1, so steps below 2 converge: whole steps end what all
-domains miss alike, longer ones between them what only some of them miss.
+however many documents there are. Eigenvalues of the step are at most 1, so whole steps converge;
+momentum, begun anew whenever the misfit grows, shortens the way where domains overlap.
 
 Edge cases: null and empty texts have no tokens, prior posteriors, and the rate the steps give them;
 without labels the posteriors are uniform; a domain nobody belongs to is left out of the fit; rates
@@ -34,7 +34,6 @@ BUDGET = 0.5  # tokens to draw, as a share of the tokens there are
 TRAIN_BYTES = 4 << 20  # text learned from, for each domain
 BUCKETS = 1 << 12
 EVIDENCE = 40.0  # words that a document's evidence counts as, at most
-LONG_STEP = 1.8
 TOLERANCE = 1e-4  # miss of a target that counts as met, as a share of all wanted tokens
 STILL = 1e-6  # tokens that a step moves where the best fit misses a target, as a share of all wanted tokens
 WRITE_AFTER = 30  # steps, then the rates are written and the next steps start from them
@@ -100,41 +99,48 @@ def grouped(members: DataFrame) -> DataFrame:
     return materialize(members.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "mixing-groups")
 
 
-def rate(history: list[list[float]], start: float | Column) -> Column:
-    """A document's rate after the steps of ``history``, each the scaled residuals by domain.
+def rate(history: list[list[float]], start: float) -> Column:
+    """A document's rate after the steps of ``history``: for each, the scaled residuals by domain and the momentum.
 
     The steps are one constant array, so the expression is as small after many steps as after one.
     """
-    return _rates(history, start)["now"]
+    return _rates(history, _both(F.lit(start), F.lit(start)))["now"]
 
 
-def _rates(history: list[list[float]], start: float | Column) -> Column:
+def _both(now: Column, before: Column) -> Column:
+    return F.struct(now.alias("now"), before.alias("before"))
+
+
+def _ahead(w: Column, momentum: Column) -> Column:
+    """Where a step starts: beyond the rate, in the direction of the last step."""
+    return w["now"] + momentum * (w["now"] - w["before"])
+
+
+def _rates(history: list[list[float]], start: Column) -> Column:
     """The rate after the last step and the one before it."""
-    first = start if isinstance(start, Column) else F.lit(start)
-    both = F.struct(first.alias("now"), first.alias("before"))
     if not history:
-        return both
-    listed = F.lit(";".join(",".join(repr(r) for r in residual) for residual in history))
+        return start
+    listed = F.lit(";".join(",".join(repr(r) for r in row) for row in history))
     steps = F.transform(F.split(listed, ";"), lambda r: F.split(r, ",").cast("array<double>"))
 
-    def step(w: Column, residual: Column) -> Column:
-        slope = sum((F.col("p")[k] * residual[k] for k in range(len(DOMAINS))), F.lit(0.0))
-        return F.struct(F.greatest(F.lit(0.0), w["now"] - slope).alias("now"), w["now"].alias("before"))
+    def step(w: Column, row: Column) -> Column:
+        slope = sum((F.col("p")[k] * row[k] for k in range(len(DOMAINS))), F.lit(0.0))
+        return _both(F.greatest(F.lit(0.0), _ahead(w, row[len(DOMAINS)]) - slope), w["now"])
 
-    return F.aggregate(steps, both, step)
+    return F.aggregate(steps, start, step)
 
 
-def _sizes(members: DataFrame, rates: Column) -> tuple[list[float], float]:
-    """(expected tokens by domain, tokens that the last step moved)."""
-    drawn = members.select(rates.alias("w"), "n_tokens", "p")
-    sums = [F.sum(F.col("w")["now"] * F.col("n_tokens") * F.col("p")[k]) for k in range(len(DOMAINS))]
-    row = drawn.agg(*sums, F.sum(F.abs(F.col("w")["now"] - F.col("w")["before"]) * F.col("n_tokens"))).first()
-    return [float(x or 0.0) for x in row[:-1]], float(row[-1] or 0.0)
+def _sizes(members: DataFrame, rates: Column, momentum: float = 0.0) -> tuple[list[float], list[float], float]:
+    """(expected tokens by domain, the same where the next step starts, tokens that the last step moved)."""
+    drawn = members.select(rates.alias("w"), "n_tokens", "p").select("w", _ahead(F.col("w"), F.lit(momentum)).alias("ahead"), "n_tokens", "p")
+    sums = [F.sum(at * F.col("n_tokens") * F.col("p")[k]) for at in (F.col("w")["now"], F.col("ahead")) for k in range(len(DOMAINS))]
+    row = [float(x or 0.0) for x in drawn.agg(*sums, F.sum(F.abs(F.col("w")["now"] - F.col("w")["before"]) * F.col("n_tokens"))).first()]
+    return row[: len(DOMAINS)], row[len(DOMAINS) : -1], row[-1]
 
 
 def wanted_tokens(members: DataFrame, targets: dict[str, float], budget: float) -> tuple[list[float], list[float]]:
     """(tokens there are, tokens wanted), by domain."""
-    there, _ = _sizes(members, _rates([], 1.0))
+    there, _, _ = _sizes(members, _both(F.lit(1.0), F.lit(1.0)))
     return there, [budget * sum(there) * targets[d] / sum(targets.values()) for d in DOMAINS]
 
 
@@ -147,24 +153,30 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: f
     there, wanted = wanted_tokens(members, targets, budget)
     whole = max(sum(wanted), 1.0)
     history: list[list[float]] = []
-    held, start, since = members, F.lit(budget), 0
+    held, start, since = members, _both(F.lit(budget), F.lit(budget)), 0
+    pace, worst = 1.0, math.inf
     while len(history) < MOST_STEPS:
-        now, moved = _sizes(held, _rates(history[since:], start))
-        miss = [s - t if d > 0 else 0.0 for s, t, d in zip(now, wanted, there)]
-        if max(map(abs, miss)) <= TOLERANCE * whole or (history and moved <= STILL * whole):
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        momentum = (pace - 1) / faster
+        now, ahead, moved = _sizes(held, _rates(history[since:], start), momentum)
+        short = [abs(s - t) for s, t, d in zip(now, wanted, there) if d > 0]
+        if max(short, default=0.0) <= TOLERANCE * whole or (history and moved <= STILL * whole):
             return history, budget
+        miss = [s - t if d > 0 else 0.0 for s, t, d in zip(ahead, wanted, there)]
+        fault = sum(m * m / d for m, d in zip(miss, there) if d > 0)
+        pace, worst = (1.0 if fault > worst else faster), fault  # a step too far: begin anew without momentum
         if len(history) - since == WRITE_AFTER:
-            held = materialize(held.select("n_tokens", "p", rate(history[since:], start).alias("w")), "mixing-rates")
+            both = _rates(history[since:], start)
+            held = materialize(held.select("n_tokens", "p", both.alias("w")), "mixing-rates")
             start, since = F.col("w"), len(history)
-        size = LONG_STEP if len(history) % 3 else 1.0
-        history.append([size * m / d if d > 0 else 0.0 for m, d in zip(miss, there)])
+        history.append([*(m / d if d > 0 else 0.0 for m, d in zip(miss, there)), momentum])
     raise RuntimeError(f"the rates still move after {MOST_STEPS} steps")
 
 
 def totals(members: DataFrame, history: list[list[float]], start: float, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
     """domain, there, wanted, reached: tokens, with the rates of ``history``."""
     there, wanted = wanted_tokens(members, targets, budget)
-    reached, _ = _sizes(members, _rates(history, start))
+    reached, _, _ = _sizes(members, _rates(history, _both(F.lit(start), F.lit(start))))
     return members.sparkSession.createDataFrame(list(zip(DOMAINS, there, wanted, reached)), "domain string, there double, wanted double, reached double")
 
 

@@ -464,9 +464,10 @@ def test_mixing_meets_targets_like_a_plain_solver(spark):
     got = np.array([r["w"] for r in rows.select(mixing.rate(history, start).alias("w")).collect()])
     there = (t[:, None] * p).sum(axis=0)
     wanted = 0.5 * t.sum() * np.array(list(targets.values()))
-    w = np.full(300, 0.5)
-    for step in range(len(history)):
-        w = np.maximum(0, w - (mixing.LONG_STEP if step % 3 else 1.0) * p @ ((((w * t)[:, None] * p).sum(axis=0) - wanted) / there))
+    w = before = np.full(300, 0.5)
+    for *_, momentum in history:
+        ahead = w + momentum * (w - before)
+        w, before = np.maximum(0, ahead - p @ ((((ahead * t)[:, None] * p).sum(axis=0) - wanted) / there)), w
     assert got == pytest.approx(w, abs=1e-9) and (got >= 0).all()
     assert ((got * t)[:, None] * p).sum(axis=0) == pytest.approx(wanted, rel=5e-3)
 
