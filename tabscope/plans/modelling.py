@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tabscope.operators import clean, density, features, medoids, models, neighbors, report, silhouette
 from tabscope.plans import Catalog
-from tabscope.plans.views import CREDIT_SQL, FEATURES, on_credit, parts, rounded, scaled_sql, table, with_ctes, written_profile
+from tabscope.plans.views import CREDIT_SQL, FEATURES, on_credit, order_profile, parts, rounded, scaled_sql, table, with_ctes, written_profile
 from tabscope.scratch import materialize, new_path
 
 catalog = Catalog()
@@ -326,7 +326,7 @@ def elbow_facts(spark: SparkSession, folder: str) -> DataFrame:
 @query("m5_simple_regression", on_credit("""SELECT round(regr_slope(ingreso_mensual, edad), 6) AS slope, round(regr_intercept(ingreso_mensual, edad), 6) AS intercept,
 round(regr_r2(ingreso_mensual, edad), 6) AS r2 FROM order_profile"""))
 def simple_regression(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(models.simple_regression(written_profile(spark, folder), "edad", "ingreso_mensual"))
+    return rounded(models.simple_regression(order_profile(spark, folder), "edad", "ingreso_mensual"))
 
 
 @query("m6_multiple_regression_four", regression_sql(FOUR, "ingreso_mensual"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Sizes scale with the cluster: AQE coalesces the shuffle partitions it does not need and splits
-# the skewed ones, so the starting count may be generous.
+# AQE coalesces the shuffle partitions it does not need and splits the skewed ones; their starting
+# count is left to the cluster's own setting.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
