@@ -29,6 +29,7 @@ from tabscope.scratch import materialize, new_path
 
 MIN_REVISIT_BYTES = 0
 RECORDS_PER_ARCHIVE = 2000
+ARCHIVE_BYTES = 256 << 20  # payloads of an archive at most, if no single one is larger: Spark reads an archive as one value
 PIECE = 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2000-01-01T00:00:00Z"  # pages carry no time of capture
@@ -114,8 +115,8 @@ def parse_head(head: bytes) -> dict[str, str]:
     return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
 
 
-def typed(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, revisit, response_id: which rows are stored and which refer to which.
+def typed(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> tuple[DataFrame, int]:
+    """(page_id, url, payload, revisit, response_id; bytes of the largest payload): which rows are stored and which refer to which.
 
     The largest page_id of a payload comes from counts by (payload, page_id), so a payload on a third
     of the pages is one partial sum per task. Rows tied at that id go another way: they are counted
@@ -128,6 +129,7 @@ def typed(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     best = ids.groupBy("digest", "size").agg(F.max(F.struct("page_id", "n", "first")).alias("best"))
     best = best.select("digest", "size", F.col("best.page_id").alias("response_id"), F.col("best.n").alias("tied"), F.col("best.first.url").alias("first_url"))
     best = materialize(best, "warc-best")
+    largest = best.agg(F.max("size")).first()[0] or 0
     small = F.col("size") < min_bytes
     is_best = F.col("page_id").eqNullSafe(F.col("response_id"))
     joined = rows.join(best, ["digest", "size"])
@@ -135,16 +137,21 @@ def typed(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     plain = plain.select("page_id", "url", "payload", (~small & ~is_best).alias("revisit"), "response_id")
     repeated = best.filter("tied > 1")
     if repeated.isEmpty():  # then no payload has to be moved for them
-        return plain
+        return plain, largest
     ties = rows.join(repeated, ["digest", "size"]).filter(~small & is_best)
     ties = ties.groupBy("digest", "size", "page_id", "url", "response_id", "first_url").agg(F.count("*").alias("n"), F.first("payload").alias("payload"))
     copies = ties.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
     first = (F.col("copy") == 1) & F.col("url").eqNullSafe(F.col("first_url"))
-    return plain.union(copies.select("page_id", "url", "payload", (~first).alias("revisit"), "response_id"))
+    return plain.union(copies.select("page_id", "url", "payload", (~first).alias("revisit"), "response_id")), largest
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, per_archive: int = RECORDS_PER_ARCHIVE) -> None:
-    """Write a record per page below ``path``.
+def write_archives(
+    pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, per_archive: int = RECORDS_PER_ARCHIVE, archive_bytes: int = ARCHIVE_BYTES,
+) -> None:
+    """Write a record per page below ``path``, in archives of up to ``per_archive`` records and ``archive_bytes`` of payload.
+
+    Payloads of more than an even share of that are written apart, as many to an archive as the largest
+    of them allows, so a few large pages neither make archives too long nor all of them short.
 
     Spark's text writer commits the files. It puts a line end after every row; here that is the zero
     byte. The last byte of a gzip member is the high byte of its length, zero below 16 MB: such a
@@ -162,8 +169,18 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
                     members.append(member[:-1] if member[-1] == 0 else member)
                 yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["member"])
 
-    members = typed(pages, min_bytes).mapInArrow(run, schema)
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", per_archive).text(path)
+    def write(rows: DataFrame, records: int) -> None:
+        members = rows.mapInArrow(run, schema).select(F.col("member").cast("string").alias("value"))
+        members.write.mode("append").option("lineSep", "\x00").option("maxRecordsPerFile", records).text(path)
+
+    rows, largest = typed(pages, min_bytes)
+    share = max(1, archive_bytes // per_archive)
+    if largest <= share:
+        write(rows, per_archive)
+    else:
+        size = F.coalesce(F.octet_length("payload"), F.lit(0))
+        write(rows.filter(size <= share), per_archive)
+        write(rows.filter(size > share), max(1, archive_bytes // largest))
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -26,6 +26,18 @@ def pages(spark):
     return spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
 
 
+def test_archives_are_rolled_by_bytes(spark, tmp_path):
+    letters = random.Random(3)
+    rows = [(i, "u", "".join(letters.choices("abcdefgh", k=40_000 if i % 10 == 0 else 300))) for i in range(60)] + [(100, "v", None), (101, "v", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/warc"
+    warc.write_archives(pages, path, per_archive=20, archive_bytes=100_000)
+    held = [sum(len(r.block) for r in warc.read_records(f.read_bytes())) for f in sorted(tmp_path.glob("warc/part-*"))]
+    assert len(held) >= 5 and max(held) < 100_000 + 20 * 200
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: len(h or "") for i, _, h in rows}
+
+
 def test_archives_round_trip(spark, pages, tmp_path):
     path = f"{tmp_path}/warc"
     warc.write_archives(pages, path, per_archive=3)
