@@ -4,13 +4,13 @@ DataFrame expressions only. A hashed-word naive Bayes classifier, counted from a
 the labelled documents, gives each document posteriors p over the domains. Its rate w >= 0 says how
 often it is to be drawn. With t tokens in the document, S_k = sum of w t p_k is the expected size of
 domain k and T_k its target; the rates minimise the sum of (S_k - T_k)^2 / D_k, where D_k is the sum
-of t p_k. In the metric of tokens the gradient at a document is sum of p_k (S_k - T_k) / D_k: a
-handful of numbers that all documents share. So a step is one pass that adds up S, and a document's
-rate is a chain of projected steps over the numbers of the passes before; nothing but K numbers
-moves. Posteriors are stated in parts of ``GRAIN``, and documents of equal posteriors have equal rates,
-so they are added up once: the passes read a table of at most half a million rows (three domains),
-however many documents there are. Eigenvalues of the step are at most 1, so whole steps converge;
-momentum, begun anew whenever the misfit grows, shortens the way where domains overlap.
+of t p_k. In the metric of tokens the gradient at a document is a sum of p_k times numbers that all
+documents share, so a step is one pass that adds up S, and a document's rate is a chain of projected
+steps over the numbers of the passes before. The gradient is scaled by the inverse of the sums of
+t p_j p_k over the documents whose rate is above 0: without the projection one step would reach the
+best fit, and with it a dozen do. Nothing but K + K x K numbers moves. Posteriors are stated in parts
+of ``GRAIN``, and documents of equal posteriors have equal rates, so they are added up once: the passes
+read a table of at most half a million rows (three domains), however many documents there are.
 
 Edge cases: null and empty texts have no tokens, prior posteriors, and the rate the steps give them;
 without labels the posteriors are uniform; a domain nobody belongs to is left out of the fit; rates
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def grouped(members: DataFrame) -> DataFrame:
 
 
 def rate(history: list[list[float]], start: float) -> Column:
-    """A document's rate after the steps of ``history``: for each, the scaled residuals by domain and the momentum.
+    """A document's rate after the steps of ``history``, each what a document of a domain alone loses.
 
     The steps are one constant array, so the expression is as small after many steps as after one.
     """
@@ -111,11 +112,6 @@ def _both(now: Column, before: Column) -> Column:
     return F.struct(now.alias("now"), before.alias("before"))
 
 
-def _ahead(w: Column, momentum: Column) -> Column:
-    """Where a step starts: beyond the rate, in the direction of the last step."""
-    return w["now"] + momentum * (w["now"] - w["before"])
-
-
 def _rates(history: list[list[float]], start: Column) -> Column:
     """The rate after the last step and the one before it."""
     if not history:
@@ -125,22 +121,24 @@ def _rates(history: list[list[float]], start: Column) -> Column:
 
     def step(w: Column, row: Column) -> Column:
         slope = sum((F.col("p")[k] * row[k] for k in range(len(DOMAINS))), F.lit(0.0))
-        return _both(F.greatest(F.lit(0.0), _ahead(w, row[len(DOMAINS)]) - slope), w["now"])
+        return _both(F.greatest(F.lit(0.0), w["now"] - slope), w["now"])
 
     return F.aggregate(steps, start, step)
 
 
-def _sizes(members: DataFrame, rates: Column, momentum: float = 0.0) -> tuple[list[float], list[float], float]:
-    """(expected tokens by domain, the same where the next step starts, tokens that the last step moved)."""
-    drawn = members.select(rates.alias("w"), "n_tokens", "p").select("w", _ahead(F.col("w"), F.lit(momentum)).alias("ahead"), "n_tokens", "p")
-    sums = [F.sum(at * F.col("n_tokens") * F.col("p")[k]) for at in (F.col("w")["now"], F.col("ahead")) for k in range(len(DOMAINS))]
-    row = [float(x or 0.0) for x in drawn.agg(*sums, F.sum(F.abs(F.col("w")["now"] - F.col("w")["before"]) * F.col("n_tokens"))).first()]
-    return row[: len(DOMAINS)], row[len(DOMAINS) : -1], row[-1]
+def _sizes(members: DataFrame, rates: Column) -> tuple[np.ndarray, np.ndarray, float]:
+    """(expected tokens by domain, tokens by pair of domains of the documents of a rate above 0, tokens that the last step moved)."""
+    kinds = range(len(DOMAINS))
+    drawn = members.select(rates.alias("w"), "n_tokens", "p")
+    sums = [F.sum(F.col("w")["now"] * F.col("n_tokens") * F.col("p")[k]) for k in kinds]
+    pairs = [F.sum(F.when(F.col("w")["now"] > 0, F.col("n_tokens") * F.col("p")[k] * F.col("p")[j])) for k in kinds for j in kinds]
+    row = np.array([float(x or 0.0) for x in drawn.agg(*sums, *pairs, F.sum(F.abs(F.col("w")["now"] - F.col("w")["before"]) * F.col("n_tokens"))).first()])
+    return row[: len(DOMAINS)], row[len(DOMAINS) : -1].reshape(len(DOMAINS), len(DOMAINS)), float(row[-1])
 
 
 def wanted_tokens(members: DataFrame, targets: dict[str, float], budget: float) -> tuple[list[float], list[float]]:
     """(tokens there are, tokens wanted), by domain."""
-    there, _, _ = _sizes(members, _both(F.lit(1.0), F.lit(1.0)))
+    there = _sizes(members, _both(F.lit(1.0), F.lit(1.0)))[0].tolist()
     return there, [budget * sum(there) * targets[d] / sum(targets.values()) for d in DOMAINS]
 
 
@@ -150,33 +148,27 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, budget: f
     The fit ends when every target is met, or when a step moves next to nothing: then the rates are the
     best ones although domains that cannot be told apart, or have too few tokens, miss their targets.
     """
-    there, wanted = wanted_tokens(members, targets, budget)
-    whole = max(sum(wanted), 1.0)
+    there, wanted = map(np.array, wanted_tokens(members, targets, budget))
+    whole, used = max(wanted.sum(), 1.0), there > 0
+    scale = np.where(used, 1 / np.sqrt(np.where(used, there, 1.0)), 0.0)
     history: list[list[float]] = []
     held, start, since = members, _both(F.lit(budget), F.lit(budget)), 0
-    pace, worst = 1.0, math.inf
     while len(history) < MOST_STEPS:
-        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        momentum = (pace - 1) / faster
-        now, ahead, moved = _sizes(held, _rates(history[since:], start), momentum)
-        short = [abs(s - t) for s, t, d in zip(now, wanted, there) if d > 0]
-        if max(short, default=0.0) <= TOLERANCE * whole or (history and moved <= STILL * whole):
+        now, between, moved = _sizes(held, _rates(history[since:], start))
+        miss = np.where(used, now - wanted, 0.0)
+        if np.abs(miss).max() <= TOLERANCE * whole or (history and moved <= STILL * whole):
             return history, budget
-        miss = [s - t if d > 0 else 0.0 for s, t, d in zip(ahead, wanted, there)]
-        fault = sum(m * m / d for m, d in zip(miss, there) if d > 0)
-        pace, worst = (1.0 if fault > worst else faster), fault  # a step too far: begin anew without momentum
         if len(history) - since == WRITE_AFTER:
-            both = _rates(history[since:], start)
-            held = materialize(held.select("n_tokens", "p", both.alias("w")), "mixing-rates")
+            held = materialize(held.select("n_tokens", "p", _rates(history[since:], start).alias("w")), "mixing-rates")
             start, since = F.col("w"), len(history)
-        history.append([*(m / d if d > 0 else 0.0 for m, d in zip(miss, there)), momentum])
+        history.append((np.linalg.pinv(scale[:, None] * between, rcond=1e-9) @ (scale * miss)).tolist())
     raise RuntimeError(f"the rates still move after {MOST_STEPS} steps")
 
 
 def totals(members: DataFrame, history: list[list[float]], start: float, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
     """domain, there, wanted, reached: tokens, with the rates of ``history``."""
     there, wanted = wanted_tokens(members, targets, budget)
-    reached, _, _ = _sizes(members, _rates(history, _both(F.lit(start), F.lit(start))))
+    reached = _sizes(members, _rates(history, _both(F.lit(start), F.lit(start))))[0].tolist()
     return members.sparkSession.createDataFrame(list(zip(DOMAINS, there, wanted, reached)), "domain string, there double, wanted double, reached double")
 
 

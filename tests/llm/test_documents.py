@@ -462,12 +462,11 @@ def test_mixing_meets_targets_like_a_plain_solver(spark):
     targets = {"good": 0.8, "plain": 0.15, "toxic": 0.05}
     history, start = mixing.fit_rates(rows, targets, 0.5)
     got = np.array([r["w"] for r in rows.select(mixing.rate(history, start).alias("w")).collect()])
-    there = (t[:, None] * p).sum(axis=0)
     wanted = 0.5 * t.sum() * np.array(list(targets.values()))
-    w = before = np.full(300, 0.5)
-    for *_, momentum in history:
-        ahead = w + momentum * (w - before)
-        w, before = np.maximum(0, ahead - p @ ((((ahead * t)[:, None] * p).sum(axis=0) - wanted) / there)), w
+    w = np.full(300, 0.5)
+    for _ in history:  # the step that would meet the targets if no rate became negative
+        on = w > 0
+        w = np.maximum(0, w - p @ np.linalg.solve((p[on] * t[on, None]).T @ p[on], ((w * t)[:, None] * p).sum(axis=0) - wanted))
     assert got == pytest.approx(w, abs=1e-9) and (got >= 0).all()
     assert ((got * t)[:, None] * p).sum(axis=0) == pytest.approx(wanted, rel=5e-3)
 
