@@ -541,11 +541,12 @@ def best_model(spark: SparkSession, folder: str) -> DataFrame:
     return report.best_model(comparison(spark, folder, ("silhouette",)))
 
 
-@query("m16_comparison_facts", comparison_sql("SELECT ord, model, metric, score, note, true AS in_range FROM compared", [k for k in _SCORES if k not in _CLUSTERINGS]))
+@query("m16_comparison_facts", comparison_sql("SELECT ord, model, metric, score, note, true AS in_range FROM compared", list(_SCORES)))
 def comparison_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """The lines of the supervised models, each score in its range."""
-    lines = comparison(spark, folder, ("r2", "accuracy"))
-    return lines.select("ord", "model", "metric", "score", "note", F.coalesce(F.col("score").between(0.0, 1.0), F.lit(True)).alias("in_range"))
+    """All lines of the comparison, each score in its range."""
+    low = F.when(F.col("metric") == "silhouette", -1.0).otherwise(0.0)
+    lines = comparison(spark, folder)
+    return lines.select("ord", "model", "metric", "score", "note", F.coalesce(F.col("score").between(low, F.lit(1.0)), F.lit(True)).alias("in_range"))
 
 
 @query("s7_report", on_credit("""SELECT count(*) AS lines, CAST(sum(n) AS BIGINT) AS n FROM (

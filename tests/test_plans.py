@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tabscope.operators import report
 from tabscope.plans import all_queries
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
@@ -72,3 +73,10 @@ def test_unused_columns_are_not_read(spark):
     assert "l_shipdate" not in plan and "l_tax" not in plan
     plan = QUERIES["a2_income_by_tier"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "l_shipdate" not in plan and "o_orderdate" not in plan
+
+
+def test_comparison_facts_have_every_model(spark):
+    lines = QUERIES["m16_comparison_facts"](spark, FOLDER).orderBy("ord").collect()
+    assert [(r["model"], r["metric"]) for r in lines] == list(report.MODELS)
+    # no tier is binary here, and the smallest table may be noise or a single group to the density clustering
+    assert all(r["in_range"] for r in lines) and {r["ord"] for r in lines if r["score"] is None} <= {2, 8}
