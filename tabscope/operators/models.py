@@ -25,7 +25,10 @@ from tabscope.scratch import remove, written
 # Settings of the compared models.
 CLUSTERS = 3
 ELBOW_RANGE = range(2, 10)
-ROWS_AT_ONCE = 50_000
+# rows a task works on at a time: what a core keeps at hand
+ROWS_AT_ONCE = 4096
+# rows kept side by side for the steps of a fit
+PACKED_ROWS = 1024
 # class scores a task keeps at a time
 SCORES_AT_ONCE = 4_000_000
 CLASSES_AT_ONCE = 20_000
@@ -89,30 +92,55 @@ GAIN = 1e-3
 RIDGE = 1e-6
 
 
+def _packed(vectors: DataFrame, width: int) -> DataFrame:
+    """The rows side by side as bytes, so a step neither converts nor checks them again."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = rows_of(batch.column(0), width)
+            blocks = [x[at:at + PACKED_ROWS].tobytes() for at in range(0, len(x), PACKED_ROWS)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], names=["x"])
+
+    return vectors.select(vector_to_array("features").alias("x")).mapInArrow(pack, "x binary")
+
+
 def _summed(rows: DataFrame, width: int, size: int, partial: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Sum over all rows of a vector of ``size`` numbers: one small vector per task, added up by Spark."""
+    """Sum over all packed rows of a vector of ``size`` numbers: one small vector per task, added up by Spark."""
+    together = max(1, ROWS_AT_ONCE // PACKED_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            x = rows_of(batch.column(0), width)
-            for at in range(0, len(x), ROWS_AT_ONCE):
-                total += partial(x[at:at + ROWS_AT_ONCE])
+            blocks = [np.frombuffer(v.as_buffer(), np.float64).reshape(-1, width) for v in batch.column(0)]
+            for at in range(0, len(blocks), together):
+                total += partial(np.concatenate(blocks[at:at + together]))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(total)], names=["at", "s"])
 
     out = np.zeros(size)
-    for r in rows.select("x").mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
+    for r in rows.mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
         out[r["at"]] = r["s"]
     return out
 
 
 def _gaps(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """Squared distances by plain sums, so equal distances are equal."""
-    out = np.zeros((len(x), len(centers)))
-    for j in range(x.shape[1]):
-        gap = x[:, j, None] - centers[None, :, j]
-        out += gap * gap
-    return out
+    """Squared distances by plain sums, so equal distances are equal; by row and centre, a centre's side by side."""
+    out, columns, gap = np.zeros((len(centers), len(x))), np.ascontiguousarray(x.T), np.empty(len(x))
+    for total, center in zip(out, centers):
+        for column, c in zip(columns, center):
+            np.subtract(column, c, out=gap)
+            gap *= gap
+            total += gap
+    return out.T
+
+
+def _nearest(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the nearest centre, squared distance to it) of each row, the first of equally near ones."""
+    best, at = gaps[:, 0].copy(), np.zeros(len(gaps), np.int64)
+    for g in range(1, gaps.shape[1]):
+        nearer = gaps[:, g] < best
+        at[nearer] = g
+        np.minimum(best, gaps[:, g], out=best)
+    return at, best
 
 
 def _settled(rows: DataFrame, centers: np.ndarray, move: float, max_steps: int) -> tuple[np.ndarray, float]:
@@ -120,10 +148,9 @@ def _settled(rows: DataFrame, centers: np.ndarray, move: float, max_steps: int)
     k, width = centers.shape
 
     def partial(x: np.ndarray) -> np.ndarray:
-        gaps = _gaps(x, centers)
-        nearest = gaps.argmin(axis=1)
-        one = (nearest[:, None] == np.arange(k)).astype(np.float64)
-        return np.concatenate([one.sum(axis=0), (one.T @ x).ravel(), [gaps.min(axis=1).sum()]])
+        nearest, least = _nearest(_gaps(x, centers))
+        one = (nearest == np.arange(k)[:, None]).astype(np.float64)
+        return np.concatenate([one.sum(axis=1), (one @ x).ravel(), [least.sum()]])
 
     for _ in range(max_steps):
         found = _summed(rows, width, k * (1 + width) + 1, partial)
@@ -148,9 +175,9 @@ def fit_kmeans(vectors: DataFrame, key: str, ks: Sequence[int] = (CLUSTERS,), ma
     width = len(starts[0]["x"])
     candidates = np.array([r["x"] for r in starts], dtype=np.float64)
     found = {}
-    with kept(vectors.select(vector_to_array("features").alias("x"))) as rows:
-        n = rows.count()
-        mean = _summed(rows, width, width, lambda x: x.sum(axis=0)) / n
+    with kept(_packed(vectors, width)) as rows:
+        first = _summed(rows, width, width + 1, lambda x: np.append(x.sum(axis=0), len(x)))
+        n, mean = first[-1], first[:-1] / first[-1]
         move = MOVE * float((_summed(rows, width, width, lambda x: np.square(x - mean).sum(axis=0)) / n).mean())
         centers, cost = _settled(rows, mean[None], move, max_steps)
         for k in range(1, max(ks) + 1):
@@ -158,7 +185,7 @@ def fit_kmeans(vectors: DataFrame, key: str, ks: Sequence[int] = (CLUSTERS,), ma
                 here = centers
 
                 def costs(x: np.ndarray) -> np.ndarray:
-                    return np.minimum(_gaps(x, here).min(axis=1)[:, None], _gaps(x, candidates)).sum(axis=0)
+                    return np.minimum(_nearest(_gaps(x, here))[1], _gaps(x, candidates).T).sum(axis=1)
 
                 best = int(_summed(rows, width, len(candidates), costs).argmin())
                 centers, cost = _settled(rows, np.vstack([centers, candidates[best]]), move, max_steps)
@@ -240,7 +267,7 @@ def fit_mixture(vectors: DataFrame, key: str, k: int = CLUSTERS, max_steps: int
     if not fitted:
         return None
     centers = fitted[k][0]
-    with kept(vectors.select(vector_to_array("features").alias("x"))) as rows:
+    with kept(_packed(vectors, centers.shape[1])) as rows:
         model, _ = _maximised(rows, k, centers, lambda x: ((_gaps(x, centers).argmin(axis=1)[:, None] == np.arange(k)).astype(np.float64), np.zeros(len(x))))
         before = -np.inf
         for _ in range(max_steps):

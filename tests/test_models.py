@@ -373,3 +373,34 @@ def test_discriminant_of_many_classes_and_missing_features(spark, monkeypatch, a
     assert (out["prediction"] == out["cls"])[:-1].all() and out["prediction"].iloc[-1] is None
     empty = models.discriminant_predict(df.limit(0), ["a", "b"], "cls")
     assert empty.count() == 0 and empty.columns == ["a", "b", "cls", "prediction"]
+
+
+def test_rows_that_reach_all_boxes_are_handed_on_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(leaves, "SENT_CELLS", 1000)
+    boxes = leaves.Boxes(np.arange(50), np.zeros((50, 10)), np.ones((50, 10)))
+    asking = pd.DataFrame({"asker": range(40), "x": list(np.full((40, 10), 0.5)), "reach2": 1.0})
+    parts = list(boxes.reached(asking, "x", "x"))
+    assert max(map(len, parts)) <= 50
+    assert sorted((a, b) for p in parts for a, b in zip(p["asker"], p["leaf"])) == [(a, b) for a in range(40) for b in range(50)]
+
+
+def test_silhouette_sums_by_tiles(monkeypatch):
+    monkeypatch.setattr(silhouette, "TILE_ROWS", (3, 5))
+    rng = np.random.default_rng(8)
+    a, b, wa, wb = rng.normal(size=(17, 4)), rng.normal(size=(23, 4)), rng.integers(1, 4, 17) * 1.0, rng.integers(1, 4, 23) * 1.0
+    d = np.sqrt(np.square(a[:, None] - b[None]).sum(axis=2))
+    left, right = silhouette._distance_sums(a, wa, b, wb, False)
+    assert np.allclose(left, d @ wb) and np.allclose(right, wa @ d)
+    own = np.sqrt(np.square(a[:, None] - a[None]).sum(axis=2))
+    assert np.allclose(silhouette._distance_sums(a, wa, a, wa, True)[0], own @ wa, atol=1e-12)
+
+
+def test_steps_of_a_fit_get_rows_side_by_side(spark, monkeypatch):
+    monkeypatch.setattr(models, "PACKED_ROWS", 7)
+    x = np.random.default_rng(4).normal(size=(100, 3))
+    vectors = features.assemble(frame(spark, x).repartition(3), names(x))
+    packed = models._packed(vectors, 3)
+    assert max(len(r["x"]) for r in packed.collect()) == 7 * 3 * 8
+    assert np.allclose(models._summed(packed, 3, 4, lambda rows: np.append(rows.sum(axis=0), len(rows))), [*x.sum(axis=0), 100])
+    near, gap = models._nearest(models._gaps(x, np.array([[0.0, 0, 0], [0, 0, 0], [1, 1, 1]])))
+    assert set(near) == {0, 2} and (gap >= 0).all()
