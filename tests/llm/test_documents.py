@@ -429,6 +429,23 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got.values())
 
 
+def test_toxicity_learns_from_all_labelled_texts_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MIN_STEPS", 60)
+    texts = [(i, rude(i)) for i in range(800)] + [(1000 + i, "calm words " * 2000 + ("scoundrel " if i % 2 else "teacup ") * 3) for i in range(20)]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(800)] + [(1000 + i, 1, i % 2) for i in range(20)] + [(7, 1, 0)], "doc_id long, quality int, toxic int")
+    learned = docs.filter(~folds.held_out()).toPandas()
+    packed, _ = toxicity._training_shards(docs, labels, 100 << 10)
+    rows = packed.toPandas()
+    assert len(rows) > 5 and sum(map(len, rows["toxic"])) == len(learned)
+    assert sum(len(v) for v in rows["ids"]) == 2 * len(toxicity.PREFIXES) * sum(len(t.split()) for t in learned["text"])
+    model = toxicity.fit(docs, labels, 100 << 10)
+    got = {r["doc_id"]: r for r in toxicity.with_scores(docs.select("doc_id", folds.held_out().alias("held_out"), "text"), model).collect()}
+    test = [i for i in got if got[i]["held_out"]]
+    wrong = [i for i in test if got[i]["predicted"] != (i % 2 if i >= 1000 else int(i % 4 == 0))]
+    assert len(test) > 100 and len(wrong) <= 0.03 * len(test)
+
+
 def test_slopes_are_fitted_and_keep_the_threshold():
     rng = np.random.default_rng(2)
     z = rng.normal(0, 3, 4000)
