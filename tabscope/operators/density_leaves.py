@@ -15,7 +15,8 @@ meet, not with the neighbours. Clusters are the components of the graph of group
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,9 @@ LEAF_POINTS = 2500
 # arrays or links a task gathers before it hands them on
 HELD = 256
 HELD_LINKS = 200_000
+# chunks of either side that meet in a cell, and pairs a task puts side by side
+CELL_CHUNKS = 64
+PAIRS_AT_ONCE = 64
 
 _CHUNK = "chunk bigint, leaf bigint, sure boolean, top bigint, first binary, w binary, x binary"
 
@@ -79,14 +83,28 @@ def _meetings(leaves: L.Leaves, boxes: DataFrame, chunks: DataFrame, eps2: float
     )
 
 
-def _beside(pairs: DataFrame, chunks: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairs with the content of both chunks, dealt to many tasks."""
-    spark = pairs.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    left = chunks.select("chunk", *columns)
-    right = left.select(*[F.col(c).alias(f"{c}_r") for c in left.columns])
-    # dealt after the joins: Spark sends the smaller side, and that may be the pairs
-    return pairs.join(left, "chunk").join(right, "chunk_r").repartition(tasks, F.xxhash64("chunk", "chunk_r"))
+def _beside(pairs: DataFrame, chunks: DataFrame, columns: Sequence[str], compare: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """What ``compare`` makes of the pairs with the content of both chunks.
+
+    Chunks are dealt to both sides of a square of cells, and a pair belongs to one cell. So a chunk is sent to
+    each cell that needs it, not to each of its pairs, and a cell holds a bounded number of chunks.
+    """
+    spark, first = pairs.sparkSession, pairs.columns
+    side = max(math.ceil(math.sqrt(3 * spark.sparkContext.defaultParallelism)), math.ceil(chunks.count() / CELL_CHUNKS))
+    line, column = (F.pmod(F.xxhash64(c), F.lit(side)) for c in ("chunk", "chunk_r"))
+    dealt = pairs.withColumn("cell", line * side + column)
+    wanted = dealt.select(F.col("cell").alias("home"), F.explode(F.array("chunk", "chunk_r")).alias("name")).distinct()
+    sent = wanted.join(chunks.select(F.col("chunk").alias("name"), *columns), "name")
+
+    def meet(mine: pd.DataFrame, content: pd.DataFrame) -> pd.DataFrame:
+        left = content.drop(columns="home").rename(columns={"name": "chunk"})
+        right = left.add_suffix("_r")
+        batches = (mine[first].iloc[at:at + PAIRS_AT_ONCE].merge(left, on="chunk").merge(right, on="chunk_r") for at in range(0, len(mine), PAIRS_AT_ONCE))
+        made = list(compare(batches))
+        return pd.concat(made) if made else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+
+    cells = max(side * side, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(cells, "cell").groupBy("cell").cogroup(sent.repartition(cells, "home").groupBy("home")).applyInPandas(meet, schema)
 
 
 def _counted(pairs: DataFrame, chunks: DataFrame, width: int, eps2: float) -> DataFrame:
@@ -121,8 +139,8 @@ def _counted(pairs: DataFrame, chunks: DataFrame, width: int, eps2: float) -> Da
         total = sum(np.frombuffer(n, np.float64) for n in group["near"])
         return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "near": [total.tobytes()]})
 
-    beside = _beside(pairs.filter("not both_sure"), chunks, ["sure", "w", "x"])
-    return beside.mapInPandas(count, "chunk bigint, near binary").groupBy("chunk").applyInPandas(add, "chunk bigint, near binary")
+    found = _beside(pairs.filter("not both_sure"), chunks, ["sure", "w", "x"], count, "chunk bigint, near binary")
+    return found.groupBy("chunk").applyInPandas(add, "chunk bigint, near binary")
 
 
 def _inside(x: np.ndarray, first: np.ndarray, eps2: float) -> np.ndarray:
@@ -216,7 +234,7 @@ def _linked(pairs: DataFrame, chunks: DataFrame, width: int, eps2: float) -> Dat
         if held:
             yield out()
 
-    return _beside(pairs, chunks, ["first", "x", "core", "group"]).mapInPandas(link, "kind int, u bigint, v bigint")
+    return _beside(pairs, chunks, ["first", "x", "core", "group"], link, "kind int, u bigint, v bigint")
 
 
 def dbscan_by_leaves(df: DataFrame, features: Sequence[str], key: str, eps: float, min_samples: int) -> DataFrame:

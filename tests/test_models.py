@@ -404,3 +404,19 @@ def test_steps_of_a_fit_get_rows_side_by_side(spark, monkeypatch):
     assert np.allclose(models._summed(packed, 3, 4, lambda rows: np.append(rows.sum(axis=0), len(rows))), [*x.sum(axis=0), 100])
     near, gap = models._nearest(models._gaps(x, np.array([[0.0, 0, 0], [0, 0, 0], [1, 1, 1]])))
     assert set(near) == {0, 2} and (gap >= 0).all()
+
+
+def test_density_sends_a_chunk_to_cells_and_not_to_pairs(spark, monkeypatch):
+    monkeypatch.setattr(density_leaves, "CELL_CHUNKS", 8)
+    monkeypatch.setattr(density_leaves, "PAIRS_AT_ONCE", 7)
+    chunks = spark.createDataFrame([(i, bytes([i])) for i in range(40)], "chunk bigint, x binary")
+    pairs = spark.createDataFrame([(i, j) for i in range(40) for j in range(i, 40)], "chunk bigint, chunk_r bigint")
+
+    def compare(batches):
+        met = [(r.chunk, r.chunk_r, r.x[0] == r.chunk and r.x_r[0] == r.chunk_r, id(r.x)) for b in batches for r in b.itertuples(index=False)]
+        yield pd.DataFrame({"u": [m[0] for m in met], "v": [m[1] for m in met], "right": [m[2] for m in met], "cell": len({m[3] for m in met})})
+
+    got = density_leaves._beside(pairs, chunks, ["x"], compare, "u bigint, v bigint, right boolean, cell bigint").toPandas()
+    assert sorted(zip(got["u"], got["v"])) == sorted((r[0], r[1]) for r in pairs.collect()) and got["right"].all()
+    # 40 chunks, at most 6 cells each as either side, where 820 pairs would have sent 1,640
+    assert got["cell"].max() <= 40
