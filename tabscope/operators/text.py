@@ -48,13 +48,21 @@ def word_counts(
     return _fold_plurals(counts) if fold_plurals else counts
 
 
-def _standard_forms(counts: DataFrame, word: str = "word", beside: Sequence[str] = ()) -> DataFrame:
-    """``standard``: the word, without a last single s where the table has that word too (with equal ``beside``)."""
-    singular = counts.select(*beside, F.col(word).alias("base"), F.lit(True).alias("known"))
-    plural = F.col(word).endswith("s") & ~F.col(word).endswith("ss")
-    based = counts.withColumn("base", F.when(plural, F.substring(F.col(word), F.lit(1), F.length(word) - 1)))
-    joined = based.join(singular, [*beside, "base"], "left")
-    return joined.withColumn("standard", F.when(F.col("known"), F.col("base")).otherwise(F.col(word))).drop("base", "known")
+def _plural(word: str) -> Column:
+    return F.col(word).endswith("s") & ~F.col(word).endswith("ss")
+
+
+def _stem(word: str) -> Column:
+    """The word without a last single s."""
+    return F.when(_plural(word), F.substring(F.col(word), F.lit(1), F.length(word) - 1)).otherwise(F.col(word))
+
+
+def _standard_forms(counts: DataFrame) -> DataFrame:
+    """``standard``: the word, without a last single s where the table has that word too."""
+    singular = counts.select(F.col("word").alias("base"), F.lit(True).alias("known"))
+    based = counts.withColumn("base", F.when(_plural("word"), _stem("word")))
+    joined = based.join(singular, "base", "left")
+    return joined.withColumn("standard", F.when(F.col("known"), F.col("base")).otherwise(F.col("word"))).drop("base", "known")
 
 
 def _fold_plurals(counts: DataFrame) -> DataFrame:
@@ -115,23 +123,29 @@ def term_weights(
     if stop:
         runs = runs.filter(~F.col("a").isin(stop)).withColumn("b", F.when(~F.col("b").isin(stop), F.col("b")))
     # written, because words, pairs and the total all come from it: the texts are read once
-    together = materialize(runs.groupBy("a", "b").agg(F.count("*").cast("double").alias("n")), "pairs")
+    if fold_plurals:
+        # a plural and its singular meet in one row, so pairs are folded where they are counted
+        made = F.count("*").cast("double").alias("n"), F.count_if(_plural("b")).cast("double").alias("plural")
+        together = materialize(runs.groupBy("a", _stem("b").alias("stem")).agg(*made), "pairs")
+    else:
+        together = materialize(runs.groupBy("a", "b").agg(F.count("*").cast("double").alias("n")), "pairs")
     counts = together.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"))
-    pair_counts = together.filter(F.col("b").isNotNull())
     if fold_plurals:
         forms = materialize(_standard_forms(counts), "forms")
-        counts = forms.groupBy("standard").agg(F.sum("n").alias("n")).withColumnRenamed("standard", "word")
-        pair_counts = _standard_forms(pair_counts, "b", ["a"]).groupBy("a", F.col("standard").alias("b")).agg(F.sum("n").alias("n"))
-        standard = forms.select("word", "standard")
-        named = pair_counts.join(standard.toDF("a", "wa"), "a").join(standard.toDF("b", "wb"), "b")
+        counts = materialize(forms.groupBy("standard").agg(F.sum("n").alias("n")), "words")
+        lookup = materialize(forms.select("word", "standard").join(counts, "standard").select("word", "standard", "n"), "lookup")
+        counts = counts.withColumnRenamed("standard", "word")
+        alone = F.col("plural") == F.col("n")
+        pairs = together.filter(F.col("stem").isNotNull()).select("a", F.when(alone, F.concat("stem", F.lit("s"))).otherwise(F.col("stem")).alias("b"), "n")
     else:
-        named = pair_counts.withColumns({"wa": F.col("a"), "wb": F.col("b")})
-    counts = materialize(counts, "words")
+        counts = materialize(counts, "words")
+        lookup = counts.select("word", F.col("word").alias("standard"), "n")
+        pairs = together.filter(F.col("b").isNotNull())
     total = F.lit(float(counts.agg(F.sum("n").alias("t")).first()["t"] or 0.0))
 
     scored = materialize(
-        named.join(counts.select(F.col("word").alias("wa"), F.col("n").alias("na")), "wa")
-        .join(counts.select(F.col("word").alias("wb"), F.col("n").alias("nb")), "wb")
+        pairs.join(lookup.toDF("a", "wa", "na"), "a")
+        .join(lookup.toDF("b", "wb", "nb"), "b")
         .withColumn("score", pair_score(F.col("n"), F.col("na"), F.col("nb"), total))
         .filter(F.col("score") > threshold)
         .select("a", "b", "wa", "wb", "n"),

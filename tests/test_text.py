@@ -80,3 +80,14 @@ def test_terms_with_folded_plurals(spark):
     # "cars" counts as "car", "glass" keeps its double s, the pair takes both words away
     assert got["red car"] == 120 and "red" not in got and "car" not in got and "cars" not in got
     assert got["glass"] == 40 and got["glas"] == 40
+
+
+def test_pairs_are_folded_where_they_are_counted(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(text, "materialize", lambda df, tag, write=text.materialize: made.setdefault(tag, write(df, tag)))
+    lines = ["red cars", "red car", "blue cars", "red glass", "red glas", "big bus", "big bu", "tall s_", "red"]
+    df = spark.createDataFrame([(t,) for t in lines * 20], "text string")
+    got = {r["term"]: r["n"] for r in text.term_weights(df, "text", stop_words=[], fold_plurals=True, threshold=-1.0).collect()}
+    # a plural and its singular after the same word are one row; only a plural that is alone keeps its s
+    assert made["pairs"].filter("a = 'red' and stem = 'car'").count() == 1
+    assert {t: n for t, n in got.items() if " " in t} == {"red car": 40, "blue cars": 20, "red glass": 20, "red glas": 20, "big bu": 40, "tall s_": 20}
