@@ -5,15 +5,19 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabscope.llm import decontaminate, folds, langid, lm, mixing, quality, secrets, simhash, toxicity
+from tabscope.llm import decontaminate, folds, langid, lm, mixing, quality, secrets, simhash, toxicity, words
+from tabscope.llm.rows import with_columns_from
 from tabscope.llm.sql import SQL
 from tabscope.llm.words import ALNUM, NOT_SPACE, Words, hash_of
 
@@ -446,6 +450,38 @@ def test_toxicity_learns_from_all_labelled_texts_in_many_shards(spark, monkeypat
     assert len(test) > 100 and len(wrong) <= 0.03 * len(test)
 
 
+def test_shards_of_texts_are_small_and_read_in_place(spark):
+    texts = [None, "", "ä" * 700_000, *("calm words " * 30_000 for _ in range(9)), "last"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    fields = T.StructType([T.StructField("size", T.LongType()), T.StructField("together", T.LongType())])
+
+    def run(mine):
+        return {"size": [-1 if t is None else len(t) for t in mine], "together": [sum(len(t or b"") for t in mine)] * len(mine)}
+
+    made = with_columns_from(docs, "text", fields, run)
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert [got[i]["text"] for i in range(len(texts))] == texts
+    assert [got[i]["size"] for i in range(len(texts))] == [-1 if t is None else len(t.encode()) for t in texts]
+    assert all(r["together"] <= max(1 << 20, r["size"]) for r in got.values())
+    assert "__utf8" not in made._jdf.queryExecution().toString()  # a text is not handed over twice
+    assert len(words._powers_to(5_000_000)[0]) < 6_000_000
+
+
+def test_shards_of_buckets_are_unpacked_without_large_copies():
+    counts = np.array([0, 300_000, 1, 0, 200_000, 0])
+    some = np.arange(int(counts.sum()) * len(toxicity.PREFIXES)).astype(np.uint16)
+    tracemalloc.start()
+    made = toxicity._unpacked(pa.py_buffer(counts.astype(np.int64).tobytes()), pa.py_buffer(some.tobytes()))
+    assert tracemalloc.get_traced_memory()[1] < 2 * made.ids.nbytes
+    languages = toxicity._language_counts(made, np.array([0, 1, 2, 0, 1, 2]), 3).reshape(-1, 3)
+    assert tracemalloc.get_traced_memory()[1] < 3.5 * made.ids.nbytes
+    tracemalloc.stop()
+    at = np.concatenate([np.arange(f, f + n) for f, n in zip(made.first, counts)])
+    assert (made.ids[at].ravel() == some).all() and (np.delete(made.ids, at, axis=0) == toxicity.BUCKETS).all()
+    assert languages.sum(axis=0).tolist() == [0, 500_000, 1]
+    assert (languages.sum(axis=1) == np.bincount(some[:: len(toxicity.PREFIXES)] % toxicity._LANG_BUCKETS, minlength=toxicity._LANG_BUCKETS)).all()
+
+
 def test_slopes_are_fitted_and_keep_the_threshold():
     rng = np.random.default_rng(2)
     z = rng.normal(0, 3, 4000)
