@@ -143,9 +143,10 @@ def term_weights(
         pairs = together.filter(F.col("b").isNotNull())
     total = F.lit(float(counts.agg(F.sum("n").alias("t")).first()["t"] or 0.0))
 
+    # one row a word, dealt evenly: each task holds its words, and the pairs, many times more, are not sorted to meet them
     scored = materialize(
-        pairs.join(lookup.toDF("a", "wa", "na"), "a")
-        .join(lookup.toDF("b", "wb", "nb"), "b")
+        pairs.join(lookup.toDF("a", "wa", "na").hint("shuffle_hash"), "a")
+        .join(lookup.toDF("b", "wb", "nb").hint("shuffle_hash"), "b")
         .withColumn("score", pair_score(F.col("n"), F.col("na"), F.col("nb"), total))
         .filter(F.col("score") > threshold)
         .select("a", "b", "wa", "wb", "n"),

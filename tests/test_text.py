@@ -91,3 +91,13 @@ def test_pairs_are_folded_where_they_are_counted(spark, monkeypatch):
     # a plural and its singular after the same word are one row; only a plural that is alone keeps its s
     assert made["pairs"].filter("a = 'red' and stem = 'car'").count() == 1
     assert {t: n for t, n in got.items() if " " in t} == {"red car": 40, "blue cars": 20, "red glass": 20, "red glas": 20, "big bu": 40, "tall s_": 20}
+
+
+def test_pairs_meet_their_words_without_being_sorted(spark, monkeypatch):
+    made, write = {}, text.materialize
+    monkeypatch.setattr(text, "materialize", lambda df, tag: write(made.setdefault(tag, df), tag))
+    docs = spark.createDataFrame([("calm rivers run deep",), ("calm rivers run on",), (None,)], "s string")
+    terms = {r["term"]: r["n"] for r in text.term_weights(docs, "s", stop_words=["on"], threshold=1.0).collect()}
+    plan = made["scored"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 2 and "SortMergeJoin" not in plan
+    assert terms["calm rivers"] == terms["rivers run"] == 2
