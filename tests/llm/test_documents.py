@@ -501,6 +501,25 @@ def test_slopes_are_fitted_and_keep_the_threshold():
     assert apart[0] == 0 and 1 < apart[1] <= toxicity.STEEPEST
 
 
+def test_thresholds_of_many_logits_are_those_of_all_logits_unrounded(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(rng.random() < 1 / (1 + np.exp(-z))), float(z), int(rng.integers(1, 4))) for k, n in enumerate((900, 700, 6)) for z in rng.normal(0, 2, n)]
+    rows += [(0, y, 7.5, 1) for y in (0, 1)] + [(1, 1, float(z), 1) for z in range(9, 15)] + [(3, y, y + z / 64, 2) for y in (0, 1) for z in range(12)]
+    counts = spark.createDataFrame(rows, "guess int, toxic int, logit double, n bigint").groupBy("guess", "toxic", "logit").agg(F.sum("n").alias("n"))
+    wanted = toxicity.calibrated_by_language(counts.toPandas(), 4)
+    for most in (100, 3000, 10**6):
+        monkeypatch.setattr(toxicity, "MOST_LOGITS", most)
+        got = toxicity.calibrated_in_chunks(counts, 4)
+        assert (got[:, 0] == wanted[:, 0]).all() and got[:, 1] == pytest.approx(wanted[:, 1], abs=1e-9), most
+    docs = table(spark, [(i, f"{prose(i, 20)} {'awful' if i % 3 == 0 else 'kind'} {i % 11}") for i in range(400)], {i: ("en", "es")[i % 2] for i in range(400)})
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "MIN_STEPS", 20)
+    whole = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "MOST_LOGITS", 10)
+    chunked = toxicity.fit(docs, labels)
+    assert (chunked.thresholds == whole.thresholds).all() and chunked.slopes == pytest.approx(whole.slopes, abs=1e-9)
+
+
 def test_toxicity_without_labels(spark):
     docs = table(spark, [(1, "some words"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
