@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabscope.operators import components, density, density_leaves, features, leaves, medoids, models, neighbors, report, silhouette
+from tabscope.operators import components, density, density_leaves, features, leaves, medoids, models, neighbors, pairwise, report, silhouette
 
 
 def frame(spark, x, **extra):
@@ -446,3 +446,20 @@ def test_groups_of_a_chunk_are_linked_once(spark):
     linked = {(r.u, r.v) for r in found}
     assert {r.kind for r in found} == {0} and {(min(p), max(p)) for p in linked} <= {(a + k, b + k) for k in (0, 9) for a, b in ((0, 100), (0, 200), (100, 200))}
     assert len(linked) >= 4
+
+
+def test_silhouette_strips_are_not_sent_to_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(silhouette, "STRIP_ROWS", 10)
+    monkeypatch.setattr(silhouette, "STRIPS_BYTES", 1000)
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(240, 3)), rng.integers(0, 3, 240)
+    plain, sent = pairwise.new_path, []
+
+    def path(spark, tag):
+        sent.append(plain(spark, tag))
+        return sent[-1]
+
+    monkeypatch.setattr(pairwise, "new_path", path)
+    got = silhouette.silhouette_euclidean(frame(spark, x, cluster=y), names(x)).first()["silhouette"]
+    assert got == pytest.approx(brute_silhouette(distances(x), y), abs=1e-9)
+    assert len(sent) == 1 and "silhouette-met" in sent[0]  # sums alone are written, block by block
