@@ -463,3 +463,32 @@ def test_silhouette_strips_are_not_sent_to_their_pairs(spark, monkeypatch):
     got = silhouette.silhouette_euclidean(frame(spark, x, cluster=y), names(x)).first()["silhouette"]
     assert got == pytest.approx(brute_silhouette(distances(x), y), abs=1e-9)
     assert len(sent) == 1 and "silhouette-met" in sent[0]  # sums alone are written, block by block
+
+
+def test_neighbours_meet_leaves_in_blocks_and_are_not_sent_to_them(spark, monkeypatch):
+    from tabscope.operators import leaves
+
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(leaves, "visits", None)  # no query beside a leaf is written
+    rng = np.random.default_rng(7)
+    # no structure, so all leaves are reached; far from zero, so that a product of short numbers is off
+    x, y = rng.normal(size=(300, 12)) + 1000, [None if v == 3 else f"c{v}" for v in rng.integers(0, 4, 300)]
+    x[40:46], x[50] = x[7], x[9]
+    got = neighbors.knn_predict(frame(spark, x, y=y), names(x), "y", "id", leaf_rows=25).orderBy("id").toPandas()["prediction"].tolist()
+    codes = np.array([-1 if v is None else int(v[1]) for v in y])
+    assert [-1 if v is None else int(v[1]) for v in got] == brute_neighbours(x, codes).tolist()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-12, 1e20])
+def test_closest_rows_are_exact_at_any_scale(scale):
+    rng = np.random.default_rng(9)
+    refs, q = (rng.integers(0, 9, (n, 3)) * scale + 5 * scale for n in (400, 50))
+    d = sum((q[:, None, c] - refs[None, :, c]) ** 2 for c in range(3))
+    bound = np.sort(d, axis=1)[:, 6]
+    i, j, exact = neighbors._closest(q, refs, 5, bound)
+    assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(d <= bound[:, None]))) and (exact == d[i, j]).all()
+    near = neighbors._Nearest(50, 5)
+    i, j, exact = neighbors._closest(q, refs, 5)
+    for some in (j % 2 == 0, j % 2 == 1):
+        near.add(i[some], exact[some], j[some], j[some] % 3)
+    assert (near.id == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
